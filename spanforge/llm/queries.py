@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import embeddings, mixing, quality, sharding
+from spanforge.llm import bpe, embeddings, fingerprints, mixing, quality, sharding
 from spanforge.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edited(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +38,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op8_sharding": op8_sharding,
