@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import bpe, chat, embeddings, fingerprints, mixing, quality, sharding
+from spanforge.llm import bpe, chat, embeddings, fingerprints, mixing, quality, sharding, substrings
 from spanforge.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
+    "op4_substrings": op4_substrings,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op8_sharding": op8_sharding,
