@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import bpe, chat, embeddings, fingerprints, mixing, quality, sharding, substrings
+from spanforge.llm import bpe, chat, embeddings, fingerprints, jaccard, mixing, quality, sharding, substrings
 from spanforge.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: SQL that DuckDB can run over whole tables.
 ORACLE: dict[str, str] = {}
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_fingerprints": op2_fingerprints,
@@ -53,5 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op8_sharding": op8_sharding,
+    "op9_jaccard": op9_jaccard,
     "op10_embeddings": op10_embeddings,
+    "pipeline": pipeline,
 }
