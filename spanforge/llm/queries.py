@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import bpe, chat, embeddings, fingerprints, jaccard, mixing, quality, sharding, substrings
+from spanforge.llm import bpe, chat, embeddings, fingerprints, jaccard, katz, mixing, quality, sharding, substrings
 from spanforge.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
+    "op7_katz": op7_katz,
     "op8_sharding": op8_sharding,
     "op9_jaccard": op9_jaccard,
     "op10_embeddings": op10_embeddings,
