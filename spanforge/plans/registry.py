@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from spanforge.plans import corpus_queries, model_queries
+
+QUERIES: dict = corpus_queries.QUERIES | model_queries.QUERIES
+ORACLE: dict = corpus_queries.ORACLE | model_queries.ORACLE
