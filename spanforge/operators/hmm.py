@@ -49,14 +49,21 @@ def decoder(model: dict[str, DataFrame], types: tuple[str, ...] = schema.LEGACY_
     """A pandas UDF text -> tags; the model (states x characters) is what the driver holds."""
     states = schema.states(types)
     at = {s: i for i, s in enumerate(states)}
-    start = {at[r.state]: r.logp for r in model["start"].collect()}
-    moves = {(at[r.prev], at[r.state]): r.logp for r in model["transition"].collect()}
+    none = F.lit(None).cast("string")
+    tables = [df.select(F.lit(k).alias("kind"), prev.alias("a"), F.col("state").alias("b"), char.alias("c"), "logp") for k, df, prev, char in (
+        ("start", model["start"], none, none), ("transition", model["transition"], F.col("prev"), none), ("unknown", model["unknown"], none, none), ("emission", model["emission"], none, F.col("char")),
+    )]
+    rows = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3]).collect()
+    start = {at[r.b]: r.logp for r in rows if r.kind == "start"}
+    moves = {(at[r.a], at[r.b]): r.logp for r in rows if r.kind == "transition"}
     unknown = [0] * len(states)
-    for r in model["unknown"].collect():
-        unknown[at[r.state]] = r.logp
+    for r in rows:
+        if r.kind == "unknown":
+            unknown[at[r.b]] = r.logp
     emit: dict[str, list[int]] = {}
-    for r in model["emission"].collect():
-        emit.setdefault(r.char, list(unknown))[at[r.state]] = r.logp
+    for r in rows:
+        if r.kind == "emission":
+            emit.setdefault(r.c, list(unknown))[at[r.b]] = r.logp
     final = [i for s, i in at.items() if schema.may_end(s)]
     before = [[p for p in range(len(states)) if (p, c) in moves] for c in range(len(states))]
 
