@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import exchange
-from spanforge.llm.common import stored
+from spanforge.llm.common import release, stored
 from spanforge.llm.exchange import Block, mix, pack, unpack, unpack_sorted
 
 #: Counts above this are not discounted.
@@ -191,12 +190,6 @@ def _totals(t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_STATS)
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop shuffle files of tables that are written by now."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block_words: int = 1 << 21) -> DataFrame:
     """log10 probability of every whole text under a Katz model of the documents that aren't held out.
 
@@ -254,7 +247,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id
         if kind == "count":
             stats = np.array([np.frombuffer(bytes(r.data), np.int64) for r in df.where("block = ''").select("data").toLocalIterator()]).reshape(-1, TOP + 5).sum(axis=0)
             levels[m] = Level(stats[: TOP + 3].tolist(), int(stats[-2]), int(stats[-1]))
-        _release(df)
+        release(df)
 
     def asker(m: int):
         """Asks for the counts of a block's m-grams."""

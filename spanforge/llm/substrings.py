@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import exchange
-from spanforge.llm.common import stored
+from spanforge.llm.common import release, stored
 from spanforge.llm.exchange import Block
 
 
@@ -190,15 +190,120 @@ def _distinct(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[first], v[first], v[last]
 
 
+def _pieces(w: Windows, own: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows) of runs of neighbouring windows with one anchor, among `own`."""
+    if not len(own):
+        return own, own
+    start, a, d = w.start[own], anchors[own], w.doc[own]
+    new = np.concatenate([[True], (start[1:] != start[:-1] + 1) | (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
+    first = np.flatnonzero(new)
+    return own[first], np.diff(np.concatenate([first, [len(own)]]))
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Stretches:
+    """A block's distinct pieces of shared windows, by shard of the reference."""
+
+    def __init__(self, w: Windows, own: np.ndarray, buckets: int):
+        anchors = w.anchors()
+        self.first, self.n = _pieces(w, own, anchors)
+        size = self.n + w.width - 1
+        shard = (anchors[self.first] >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if len(own) else self.first
+        flat = w.symbols[_spread(w.start[self.first], size)] if len(own) else np.zeros(0, np.uint64)
+        # A piece's name: a polynomial over its symbols.
+        power = np.cumprod(np.full(int(size.max(initial=1)), _BASE, np.uint64))
+        place = _spread(np.zeros(len(size), np.int64), size)
+        ends = np.cumsum(size)
+        names = np.add.reduceat(exchange.mix(flat) * power[place], ends - size) if len(own) else np.zeros(0, np.uint64)
+        order = np.lexsort((w.block.numbers()[w.doc[self.first]], names, size, shard)) if len(own) else self.first
+        k = np.stack([shard[order], size[order], names[order].view(np.int64)]) if len(own) else np.zeros((3, 0), np.int64)
+        fresh = np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]) if len(own) else np.zeros(0, bool)
+        self.kept = order[fresh]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(fresh) - 1
+        self.shard, self.size = shard[self.kept], size[self.kept]
+        self.low = w.block.numbers()[w.doc[self.first[self.kept]]] if len(own) else self.first
+        self.symbols = flat[_spread((ends - size)[self.kept], self.size)] if len(own) else flat
+
+    def requests(self, name: str) -> list[dict]:
+        """A row a shard: symbols as numbers into a list, sizes, and smallest ids."""
+        out, ends = [], np.concatenate([[0], np.cumsum(self.size)])
+        cuts = np.flatnonzero(np.concatenate([[True], self.shard[1:] != self.shard[:-1]])) if len(self.shard) else self.shard
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.shard)], strict=False):
+            words, at = np.unique(self.symbols[ends[a] : ends[b]], return_inverse=True)
+            raw = b"".join([np.array([b - a, len(words)], np.uint32).tobytes(), self.low[a:b].tobytes(), words.tobytes(), self.size[a:b].astype(np.uint16).tobytes(), at.astype(np.uint16 if len(words) < 65536 else np.uint32).tobytes()])
+            out.append({"shard": int(self.shard[a]), "block": name, "data": exchange.squeeze(raw), "size": len(raw)})
+        return out
+
+
+def _read_pieces(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest ids, sizes, symbols) of a request."""
+    n, k = np.frombuffer(raw, np.uint32, 2).tolist()
+    low = np.frombuffer(raw, np.int64, n, 8)
+    words = np.frombuffer(raw, np.uint64, k, 8 + 8 * n)
+    size = np.frombuffer(raw, np.uint16, n, 8 + 8 * n + 8 * k).astype(np.int64)
+    at = np.frombuffer(raw, np.uint16 if k < 65536 else np.uint32, int(size.sum()), 8 + 10 * n + 8 * k)
+    return low, size, words[at]
+
+
+def _match_shard(t: pa.Table, width: int) -> pa.Table:
+    """Stream the pieces of a shard, by id, through the automaton of those before; it grows by what is new.
+
+    The answer to a block has a byte a window: whether the longest match with
+    documents of smaller id that ends there is `width` words or more.
+    """
+    rows = t.sort_by("block").to_pylist()
+    parts = [_read_pieces(exchange.stretch(r["data"], r["size"]), width) for r in rows]
+    low, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    _, number = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    ends = np.cumsum(size)
+    begin = ends - size
+    n = size - width + 1
+    to = np.cumsum(n) - n
+    hit = np.zeros(int(n.sum()), np.uint8)
+    automaton, waiting, at_id = SuffixAutomaton(), [], None
+    for k in np.lexsort((begin, low)).tolist():
+        if low[k] != at_id:
+            for piece in waiting:
+                automaton.add(piece)
+            waiting, at_id = [], low[k]
+        piece = number[begin[k] : ends[k]].tolist()
+        found = [m >= width for m in automaton.matching(piece)[width - 1 :]]
+        hit[to[k] : to[k] + n[k]] = found
+        if not all(found):
+            waiting.append(piece)
+    out, done = [], 0
+    for r, p in zip(rows, parts, strict=True):
+        m = int((p[1] - width + 1).sum())
+        data, length = exchange.pack(hit[done : done + m])
+        out.append({"block": r["block"], "bucket": r["shard"], "data": data, "size": length})
+        done += m
+    return pa.Table.from_pylist(out, schema=exchange._ANSWER)
+
+
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", carried: Column | None = None, block_words: int = exchange.BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
     """Remove each word in a window of `width` words that also starts in a document of smaller id.
 
-    Windows are judged on the input. First a sieve: each window has an anchor,
-    the smallest hash of its shingles, which equal windows share; blocks ask
-    which of their distinct anchors other documents have. Then blocks ask,
-    for windows with such an anchor only, whether a document of smaller id
-    has the window (by its 64-bit hash). A passage in every document costs
-    one item for each block. Nothing else is shuffled but the blocks themselves.
+    Windows are judged on the input, in three steps.
+
+    1. A sieve by anchors: the smallest hash of a window's shingles, which
+       equal windows share. Blocks ask which of theirs other documents have.
+    2. A sieve by windows: of those with such an anchor, blocks ask which
+       another document has (by 64-bit hash).
+    3. What is left, runs of shared windows of one anchor, goes to the shard of
+       the anchor. A shard's suffix automaton holds the runs of smaller ids;
+       documents stream through it in the order of their id for their matching
+       statistics, and a window is covered where these reach `width`.
+
+    The automata aren't broadcast whole: the reference is the corpus itself,
+    so a shard's automaton is built where its runs meet, and only documents
+    with runs of that shard come. A block sends a run once, however often it
+    has it; runs that no other document has are not sent, so a passage in
+    every document costs a few items for each block.
 
     A null text has no words; a text shorter than a window loses none. Rows
     of equal id don't remove each other's words; a null id counts as the
@@ -210,6 +315,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     import hashlib
 
     made = stored(exchange.blocks(docs, id_col, text_col, carried, block_words=block_words), "blocks")
+    release(made)
     buckets = exchange.buckets_of(made)
 
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +330,17 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     def shared(inverse, several, n):
         return (np.bincount(inverse, weights=1 + several, minlength=n) > 1)[inverse]
 
-    anchors = exchange.answered(made.mapInArrow(ask_anchors, exchange.ASK), shared, np.uint8, np.uint8)
-    anchors = stored(anchors, "anchors")
+    anchors = stored(exchange.answered(made.mapInArrow(ask_anchors, exchange.ASK), shared, np.uint8, np.uint8), "anchors")
+    release(made)
+
+    def told(said: pa.Table, which: int) -> pa.Table:
+        return said.filter(pa.compute.equal(said["which"], which))
 
     def suspects(w: Windows, said: pa.Table) -> np.ndarray:
         """Indices of the windows whose anchor other documents have."""
         a = w.anchors()
         keys = np.unique(a)
-        known = exchange.read_answers(said, np.uint8).astype(bool)
+        known = exchange.read_answers(told(said, 0), np.uint8).astype(bool)
         return np.flatnonzero(known[np.searchsorted(keys, a)]) if len(a) else np.zeros(0, np.int64)
 
     def ask_windows(t: pa.Table, said: pa.Table) -> pa.Table:
@@ -239,18 +348,38 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         for row in t.to_pylist():
             w = Windows(Block(row), width)
             own = suspects(w, said)
-            keys, low, _ = _distinct(w.hashes()[own], w.block.numbers()[w.doc[own]])
-            rows += exchange.questions(w.block.name, keys, low, buckets)
+            keys, low, high = _distinct(w.hashes()[own], w.doc[own])
+            rows += exchange.questions(w.block.name, keys, (low != high).astype(np.uint8), buckets)
         return exchange.asked(rows)
 
-    def earlier(inverse, low, n):
-        least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, low)
-        return least[inverse] < low
+    mark = lambda df, which: df.select("*", F.lit(which).alias("which"))
+    requests = made.groupBy("block").cogroup(mark(anchors, 0).groupBy("block")).applyInArrow(ask_windows, exchange.ASK)
+    windows = stored(exchange.answered(requests, shared, np.uint8, np.uint8), "windows")
+    del requests
+    release(made)
+    both = mark(anchors, 0).union(mark(windows, 1))
+
+    def repeated(w: Windows, said: pa.Table) -> np.ndarray:
+        """Indices of the windows that another document has."""
+        own = suspects(w, said)
+        h = w.hashes()[own]
+        known = exchange.read_answers(told(said, 1), np.uint8).astype(bool)
+        return own[known[np.searchsorted(np.unique(h), h)]] if len(own) else own
+
+    def send(t: pa.Table, said: pa.Table) -> pa.Table:
+        rows = []
+        for row in t.to_pylist():
+            w = Windows(Block(row), width)
+            rows += Stretches(w, repeated(w, said), buckets).requests(w.block.name)
+        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("size", pa.int32())]))
+
+    def match(t: pa.Table) -> pa.Table:
+        return _match_shard(t, width)
 
-    requests = made.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_windows, exchange.ASK)
-    windows = stored(exchange.answered(requests, earlier, np.int64, np.uint8), "windows")
-    both = anchors.select("*", F.lit(0).alias("which")).union(windows.select("*", F.lit(1).alias("which")))
+    pieces = made.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(send, "shard int, block string, data binary, size int")
+    matched = stored(pieces.groupBy("shard").applyInArrow(match, exchange.ANSWER), "matched")
+    del pieces
+    release(made)
     out_kind = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def judge(t: pa.Table, said: pa.Table) -> pa.Table:
@@ -258,24 +387,25 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         for row in t.to_pylist():
             w = Windows(Block(row), width)
             b = w.block
-            own = suspects(w, said.filter(pa.compute.equal(said["which"], 0)))
-            h, ids = w.hashes()[own], b.numbers()[w.doc[own]]
-            keys, low, _ = _distinct(h, ids)
-            known = exchange.read_answers(said.filter(pa.compute.equal(said["which"], 1)), np.uint8).astype(bool)
-            if len(h):
-                at = np.searchsorted(keys, h)
-                hit = w.start[own][known[at] | (low[at] < ids)]
-            else:
-                hit = np.zeros(0, np.int64)
+            s = Stretches(w, repeated(w, said), buckets)
+            found = exchange.read_answers(told(said, 2), np.uint8).astype(bool)
+            # A run stands for its equals; those of larger ids in the block are covered whole.
+            n = s.size - width + 1
+            at = np.cumsum(n) - n
+            later = np.repeat(b.numbers()[w.doc[s.first]] > s.low[s.of], s.n) if len(s.first) else np.zeros(0, bool)
+            mine = found[_spread(at[s.of], s.n)] if len(s.first) else later
+            starts = _spread(w.start[s.first], s.n) if len(s.first) else s.first
+            hit = starts[mine | later]
             gone = _covered(hit + width - 1, np.full(len(hit), width), len(b.at)) if len(b.at) else np.zeros(0, bool)
             names = np.array(b.words, dtype=object)
             for i, (doc, more) in enumerate(zip(b.ids, b.rows, strict=True)):
-                s = slice(b.first[i], b.first[i + 1])
-                kept = " ".join(names[b.at[s][~gone[s]]].tolist()) if b.counts[i] else ""
-                rows.append({"doc_id": doc, "row": more, "n_words": int(b.counts[i]), "n_removed": int(gone[s].sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), "kept": kept if keep_text else None})
+                own = slice(b.first[i], b.first[i + 1])
+                kept = " ".join(names[b.at[own][~gone[own]]].tolist()) if b.counts[i] else ""
+                rows.append({"doc_id": doc, "row": more, "n_words": int(b.counts[i]), "n_removed": int(gone[own].sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), "kept": kept if keep_text else None})
         return pa.Table.from_pylist(rows, schema=out_kind)
 
-    return made.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(judge, "doc_id long, row string, n_words long, n_removed long, kept_sha256 string, kept string")
+    every = both.union(mark(matched, 2))
+    return made.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(judge, "doc_id long, row string, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
