@@ -85,7 +85,7 @@ def test_hmm_closed_loop(spark):
     rows = [(str(i), f"we met {w} there", [(7, 7 + len(w), "PER")]) for i, w in enumerate(["Anna", "Bob", "Anna", "Bob"])]
     cases = spark.createDataFrame(rows, "sid string, text string, spans array<struct<start:int,end:int,type:string>>")
     decode = hmm.decoder(hmm.train(tags.exploded(cases)))
-    got = cases.select("spans", tags.tags_to_spans(decode("text")).alias("found")).collect()
+    got = cases.select("spans", decode("text").alias("t")).select("spans", tags.tags_to_spans(F.col("t")).alias("found")).collect()
     assert all([tuple(x) for x in r.found] == [tuple(x) for x in r.spans] for r in got)
 
 
@@ -171,11 +171,10 @@ def test_packed_weights_refuse_faults(spark, tmp_path):
             sinks.unpack_weights(path)
 
 
-def annotator(rows):
-    return {i: json.dumps([{"start": 0, "end": 1, "type": "PER", "text": t[:1]}]) for i, t in rows}
-
-
 def test_streamed_annotation_resumes(spark, tmp_path):
+    def annotator(rows):  # inside, so that it is sent by value
+        return {i: json.dumps([{"start": 0, "end": 1, "type": "PER", "text": t[:1]}]) for i, t in rows}
+
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in ([("1", "ab"), ("2", "cd")], [("2", "cd"), ("3", "ef")]):
         spark.createDataFrame(part, "id string, text string").coalesce(1).write.mode("append").parquet(src)
