@@ -50,8 +50,36 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_SUBSTRINGS = f"""WITH w AS (SELECT doc_id, {_WORDS} AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(l[i : i + 12], ' ') AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN firsts USING (k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM w),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, (len(l) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+_REACHED = """reach AS (SELECT a AS node, a AS c FROM links UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.node WHERE r.c < l.b),
+smallest AS (SELECT node, min(c) AS c FROM reach GROUP BY node), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)"""
+
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, array_to_string(l[i : i + 4], ' ') AS sh FROM (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - 3))) AS i FROM w WHERE len(l) > 0))),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE k >= 0.8 * (p.n + q.n - k)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.doc_id <> y.doc_id AND len(x.l) = 0 AND len(y.l) = 0),
+{_REACHED}
+SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, doc_id) = doc_id AS kept FROM documents LEFT JOIN smallest ON node = doc_id LEFT JOIN degree ON a = doc_id"""
+
+_EMBEDDINGS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+{_REACHED}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN smallest ON node = vec_id LEFT JOIN degree ON a = vec_id"""
+
 #: SQL that DuckDB can run over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_substrings": _SUBSTRINGS, "op9_jaccard": _JACCARD, "op10_embeddings": _EMBEDDINGS}
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
