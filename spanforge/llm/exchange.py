@@ -27,8 +27,11 @@ BLOCK = "block string, words binary, words_size int, at binary, at_size int, row
 _ARROW = pa.schema([("block", pa.string()), ("words", pa.binary()), ("words_size", pa.int32()), ("at", pa.binary()), ("at_size", pa.int32()), ("rows", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
 def squeeze(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return _CODEC.compress(raw, asbytes=True) if raw else b""
 
 
 def stretch(blob: bytes, size: int) -> bytes:
@@ -76,7 +79,7 @@ class Block:
         self.name = row["block"]
         raw = stretch(row["words"], row["words_size"])
         self.words = raw.decode("utf-8", "surrogatepass").split(" ") if raw else []
-        self.at = np.frombuffer(stretch(row["at"], row["at_size"]), np.uint32)
+        self.at = unpack(row["at"], row["at_size"], np.uint32)
         self.rows, self.ids = row["rows"], row["ids"]
         self.counts = np.array(row["counts"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
@@ -107,9 +110,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None =
         def flush():
             nonlocal made, held, known, rows, ids, at
             raw = " ".join(known).encode("utf-8", "surrogatepass")  # no word holds a space
-            flat = np.concatenate(at) if at else np.zeros(0, np.uint32)
-            flat = flat.astype(np.uint32).tobytes()
-            out = pa.RecordBatch.from_pylist([{"block": f"{task}-{made}", "words": squeeze(raw), "words_size": len(raw), "at": squeeze(flat), "at_size": len(flat), "rows": rows, "ids": ids, "counts": [len(x) for x in at]}], schema=_ARROW)
+            flat, size = pack(np.concatenate(at).astype(np.uint32)) if at else (b"", 0)
+            out = pa.RecordBatch.from_pylist([{"block": f"{task}-{made}", "words": squeeze(raw), "words_size": len(raw), "at": flat, "at_size": size, "rows": rows, "ids": ids, "counts": [len(x) for x in at]}], schema=_ARROW)
             made, held, known, rows, ids, at = made + 1, 0, {}, [], [], []
             return out
 
