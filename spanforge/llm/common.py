@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,8 +38,10 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of what is written by now."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for _ in range(2):  # the driver's Python first lets go, then its JVM, then the cleaner
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def words(text: Column) -> Column:

@@ -9,6 +9,7 @@ lists travel compressed. The number of buckets follows the shuffle partitions.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -23,8 +24,13 @@ from spanforge.llm.common import WORD, parallelism
 
 #: Word positions in a block: one document or so many.
 BLOCK_WORDS = 1 << 20
-BLOCK = "block string, words binary, words_size int, at binary, at_size int, rows array<string>, ids array<bigint>, counts array<int>"
-_ARROW = pa.schema([("block", pa.string()), ("words", pa.binary()), ("words_size", pa.int32()), ("at", pa.binary()), ("at_size", pa.int32()), ("rows", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+BLOCK = "block string, words binary, words_size int, at binary, at_size int, ids array<bigint>, counts array<int>, rows array<string>, gaps binary, gaps_size int, gap_at binary, gap_at_size int"
+#: The columns of a block that its questions need; the others wait for the answer.
+ASKING = ["block", "words", "words_size", "at", "at_size", "ids", "counts"]
+_ARROW = pa.schema([
+    ("block", pa.string()), ("words", pa.binary()), ("words_size", pa.int32()), ("at", pa.binary()), ("at_size", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+    ("rows", pa.list_(pa.string())), ("gaps", pa.binary()), ("gaps_size", pa.int32()), ("gap_at", pa.binary()), ("gap_at_size", pa.int32()),
+])
 
 
 _CODEC = pa.Codec("zstd", compression_level=3)
@@ -80,10 +86,24 @@ class Block:
         raw = stretch(row["words"], row["words_size"])
         self.words = raw.decode("utf-8", "surrogatepass").split(" ") if raw else []
         self.at = unpack(row["at"], row["at_size"], np.uint32)
-        self.rows, self.ids = row["rows"], row["ids"]
+        self.rows, self.ids, self._row = row.get("rows"), row["ids"], row
         self.counts = np.array(row["counts"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
+    def texts(self, wanted) -> dict[int, str]:
+        """The texts of some documents as they were, from words and what stood between them."""
+        r = self._row
+        gaps = json.loads(stretch(r["gaps"], r["gaps_size"])) if r["gaps_size"] else []
+        at = unpack(r["gap_at"], r["gap_at_size"], np.uint32)
+        out = {}
+        for i in wanted:
+            a, b = int(self.first[i]), int(self.first[i + 1])
+            parts = [""] * (2 * (b - a) + 1)
+            parts[0::2] = [gaps[g] for g in at[a + i : b + i + 1].tolist()]
+            parts[1::2] = [self.words[k] for k in self.at[a:b].tolist()]
+            out[i] = "".join(parts)
+        return out
+
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the words."""
         return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.words), np.uint64, len(self.words))
@@ -97,22 +117,33 @@ class Block:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None = None, lower: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Documents as blocks. carried: text that each row takes along. lower: A-Z as a-z."""
-    find = re.compile(WORD).findall
+def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None = None, lower: bool = False, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
+    """Documents as blocks.
+
+    carried: text that each row takes along. lower: A-Z as a-z. whole: keep what
+    stands between the words too, for `Block.texts`.
+    """
+    find, between = re.compile(WORD).findall, re.compile(WORD).split
     table = {c: c + 32 for c in range(65, 91)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held = TaskContext.get().partitionId(), 0, 0
         known: dict[str, int] = {}
         rows, ids, at = [], [], []
+        gaps: dict[str, int] = {}
+        gap_at = []
 
         def flush():
-            nonlocal made, held, known, rows, ids, at
+            nonlocal made, held, known, rows, ids, at, gaps, gap_at
             raw = " ".join(known).encode("utf-8", "surrogatepass")  # no word holds a space
             flat, size = pack(np.concatenate(at).astype(np.uint32)) if at else (b"", 0)
-            out = pa.RecordBatch.from_pylist([{"block": f"{task}-{made}", "words": squeeze(raw), "words_size": len(raw), "at": flat, "at_size": size, "rows": rows, "ids": ids, "counts": [len(x) for x in at]}], schema=_ARROW)
-            made, held, known, rows, ids, at = made + 1, 0, {}, [], [], []
+            names = json.dumps(list(gaps)).encode() if whole else b""
+            spots, spots_size = pack(np.concatenate(gap_at).astype(np.uint32)) if gap_at else (b"", 0)
+            out = pa.RecordBatch.from_pylist([{
+                "block": f"{task}-{made}", "words": squeeze(raw), "words_size": len(raw), "at": flat, "at_size": size, "ids": ids, "counts": [len(x) for x in at],
+                "rows": rows, "gaps": squeeze(names), "gaps_size": len(names), "gap_at": spots, "gap_at_size": spots_size,
+            }], schema=_ARROW)
+            made, held, known, rows, ids, at, gaps, gap_at = made + 1, 0, {}, [], [], [], {}, []
             return out
 
         for b in batches:
@@ -121,6 +152,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None =
                 found = find(text.translate(table) if lower else text)
                 n = len(found)
                 at.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.uint32, n))
+                if whole:
+                    gap_at.append(np.fromiter((gaps.setdefault(g, len(gaps)) for g in between(text)), np.uint32, n + 1))
                 rows.append(more)
                 ids.append(doc)
                 held += n + 8

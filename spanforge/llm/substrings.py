@@ -309,12 +309,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     of equal id don't remove each other's words; a null id counts as the
     largest. Repeated rows are each judged. An empty table gives no rows; other
     columns are left out, but for `carried`. Returns doc_id, row (carried),
-    n_words, n_removed, kept_sha256 and kept (words joined by a space; null
-    unless `keep_text`).
+    n_words, n_removed, kept_sha256 and kept (the text as it was if no word is
+    removed, else the kept words joined by a space; null unless `keep_text`).
     """
     import hashlib
 
-    made = stored(exchange.blocks(docs, id_col, text_col, carried, block_words=block_words), "blocks")
+    whole = stored(exchange.blocks(docs, id_col, text_col, carried, block_words=block_words, whole=keep_text), "blocks")
+    made = whole.select(*exchange.ASKING)
     release(made)
     buckets = exchange.buckets_of(made)
 
@@ -398,23 +399,25 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             hit = starts[mine | later]
             gone = _covered(hit + width - 1, np.full(len(hit), width), len(b.at)) if len(b.at) else np.zeros(0, bool)
             names = np.array(b.words, dtype=object)
+            cut = np.add.reduceat(np.append(gone, False).astype(np.int64), b.first[:-1]) * (b.counts > 0) if len(b.counts) else b.counts
+            texts = b.texts(np.flatnonzero(cut == 0).tolist()) if keep_text else {}
             for i, (doc, more) in enumerate(zip(b.ids, b.rows, strict=True)):
                 own = slice(b.first[i], b.first[i + 1])
                 kept = " ".join(names[b.at[own][~gone[own]]].tolist()) if b.counts[i] else ""
-                rows.append({"doc_id": doc, "row": more, "n_words": int(b.counts[i]), "n_removed": int(gone[own].sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), "kept": kept if keep_text else None})
+                rows.append({"doc_id": doc, "row": more, "n_words": int(b.counts[i]), "n_removed": int(gone[own].sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), "kept": texts.get(i, kept) if keep_text else None})
         return pa.Table.from_pylist(rows, schema=out_kind)
 
     every = both.union(mark(matched, 2))
-    return made.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(judge, "doc_id long, row string, n_words long, n_removed long, kept_sha256 string, kept string")
+    return whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(judge, "doc_id long, row string, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept words as text where words were removed; rows of which no word is left go."""
     other = [c for c in docs.columns if c != text_col]
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in other]), {"ignoreNullFields": "false"})
-    out = remove_repeats(docs, id_col=id_col, text_col=text_col, carried=F.to_json(F.struct(whole.alias("o"), F.col(text_col).alias("t")), {"ignoreNullFields": "false"}), keep_text=True)
-    out = out.where("n_words = 0 or n_removed < n_words").withColumn("_r", F.from_json("row", "o string, t string"))
+    taken = F.to_json(F.struct(F.to_json(F.struct(*[F.col(f"`{c}`") for c in other]), {"ignoreNullFields": "false"}).alias("o"), F.col(text_col).isNull().alias("none")))
+    out = remove_repeats(docs, id_col=id_col, text_col=text_col, carried=taken, keep_text=True)
+    out = out.where("n_words = 0 or n_removed < n_words").withColumn("_r", F.from_json("row", "o string, none boolean"))
     out = out.withColumn("_o", F.from_json("_r.o", docs.select(*[F.col(f"`{c}`") for c in other]).schema))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_r.t"))
-    cols = [text.alias(c) if c == text_col else F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_o.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_o.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*cols)
+    text = F.when(~F.col("_r.none"), F.col("kept"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_o.n_chars") if "n_chars" in other else F.lit(None))
+    return out.select(*[text.alias(c) if c == text_col else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_o.`{c}`").alias(c) for c in docs.columns])
