@@ -59,8 +59,9 @@ class Level:
 class Grams:
     """A block as symbols with a start and an end for each document, and its n-grams."""
 
-    def __init__(self, row: dict, held: tuple[int, int]):
+    def __init__(self, row: dict, held: tuple[int, int], bits: int = 64):
         b = self.block = Block(row)
+        self.mask = np.uint64((1 << 64) - (1 << (64 - bits)))
         n = b.counts
         self.first = np.concatenate([[0], np.cumsum(n + 2)])
         size = int(self.first[-1])
@@ -83,7 +84,7 @@ class Grams:
     def key(self, m: int) -> np.ndarray:
         """Hash of the m symbols that end at each place."""
         if m not in self.keys:
-            x = self.symbols if m == 1 else mix(np.concatenate([self.key(m - 1)[:1], self.key(m - 1)[:-1]]) * _BASE + self.symbols)
+            x = self.symbols if m == 1 else mix(np.concatenate([self.key(m - 1)[:1], self.key(m - 1)[:-1]]) * _BASE + self.symbols) & self.mask
             self.keys[m] = x
         return self.keys[m]
 
@@ -206,6 +207,10 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id
     owns each n-gram and adds it to its history's sums, so a history of a third
     of all tokens is one item a block. The driver sees counts of counts only.
 
+    n-grams are known by a hash of 24 bits more than the number of tokens has
+    (48 at least), so one in 16 million that weren't seen is taken for another,
+    at any size.
+
     held_out: crc32 of the id as text, modulo `folds`, is `held_out`; null ids
     aren't. Null texts are empty: one token, the end. Repeated rows count each.
     An empty table gives no rows; other columns are left out. Returns doc_id,
@@ -221,7 +226,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id
 
     def known(row: dict, said: pa.Table) -> Grams:
         """A block with all that it has been told."""
-        g = Grams(row, fold)
+        g = Grams(row, fold, bits)
         for k, (kind, m, _) in enumerate(answers_seen):
             own = said.filter(pc.equal(said["stage"], k))
             if kind == "count":
@@ -290,9 +295,11 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id
         return run
 
     answers_seen: list = []
+    bits = 64
     for m in range(1, order + 1):
         keep("count", m, asker(m).groupBy("bucket").applyInArrow(counter(start_key if m == 1 else None), exchange.ANSWER))
         answers_seen = [(k, n, None) for k, n, _ in answers]
+        bits = min(64, max(48, 24 + levels[1].tokens.bit_length()))
         if m > 1:
             keep("sums", m, adder(m).groupBy("bucket").applyInArrow(_totals, exchange.ANSWER))
             answers_seen = [(k, n, None) for k, n, _ in answers]
