@@ -57,6 +57,26 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _copies(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows with `copies`: whole documents in place of the words that are taken of them.
+
+    A document comes as often as it is taken whole, and once more if the
+    running sum of the rest, as shares of documents, passes a whole number
+    there (so with the rest as its chance). The sum runs over a cell from its
+    largest document down, from an offset that is seeded by source and spread
+    over its cells: the words of a cell's copies differ from those taken by less
+    than its largest document. A document without words has its source's
+    share, or one copy in a source without words.
+    """
+    n = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
+    down = Window.partitionBy("source", "cell").orderBy(F.desc("size"), F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "taken")
+    at = F.pmod(F.xxhash64(F.lit(seed + 3), "source"), F.lit(1 << 20)) / (1 << 20) + F.col("cell") * 0.6180339887498949
+    r = rows.withColumn("_whole", F.floor(n)).withColumn("_rest", n - F.col("_whole")).withColumn("_from", at - F.floor(at))
+    r = r.withColumn("_sum", F.sum("_rest").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    more = F.floor(F.col("_from") + F.col("_sum")) - F.floor(F.col("_from") + F.coalesce(F.lag("_sum").over(down), F.lit(0.0)))
+    return r.withColumn("copies", (F.col("_whole") + more).cast("int"))
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, limit: int = 2, block: int = 512, least_blocks: int = 1000, cell_words: int = 1 << 18, most_cells: int = 4096, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False,
@@ -72,8 +92,9 @@ def mix(
     stream and, for the rest of its quota, blocks spread evenly from a seeded
     offset. No document is taken more than `limit` times.
 
-    Returns doc_id, size, source_size, target, taken (and the columns of
-    `docs` first if `keep`). Null text: size 0, taken 0. A null source is a
+    Returns doc_id, size, source_size, target, taken. With `keep` the columns
+    of `docs` come first and `copies` last, for who takes whole documents (see
+    `_copies`). Null text: size 0, taken 0. A null source is a
     source, the last one. Repeated rows count each by itself; rows equal in
     id, source and size are interchangeable. An empty table gives no rows.
     """
@@ -113,4 +134,6 @@ def mix(
         lambda acc, j: acc + F.when(picked(j), F.greatest(F.lit(0), F.least(F.col("_end"), cut(j + 1)) - F.greatest(F.col("_from"), cut(j)))).otherwise(0).cast("long"),
     )
     taken = (F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("part") > 0), overlap).otherwise(0)).cast("long")
-    return out.select(*(["_row.*"] if keep else []), *([] if keep else ["doc_id"]), "size", "source_size", "target", taken.alias("taken"))
+    if keep:
+        return _copies(out.withColumn("taken", taken), seed).select("_row.*", "size", "source_size", "target", "taken", "copies")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

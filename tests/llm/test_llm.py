@@ -188,6 +188,34 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixed_copies_meet_the_targets(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["x"] * int(n)), None if i % 4 == 3 else f"s{i % 4}") for i, n in enumerate(rng.integers(20, 400, 1600))]
+    rows += [(2000 + i, "", f"s{i % 3}") for i in range(300)] + [(3000 + i, None, "none") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    target, taken, emitted, empty = {}, collections.Counter(), collections.Counter(), collections.Counter()
+    for r in mixing.mix(d, keep=True).collect():
+        target[r.source] = r.target, r.source_size
+        assert 0 <= r.copies <= 2 and (not r["size"] or abs(r.copies - r.taken / r["size"]) < 1)
+    said = [(r.doc_id, r.source) for r in p.mixed(spark, d, "").collect()]
+    for i, s in said:
+        emitted[s] += size[i]
+        empty[s] += not size[i]
+    assert len({round(t / n, 2) for t, n in target.values() if n}) > 2
+    for s, (want, whole) in target.items():
+        assert abs(emitted[s] - want) <= max(400, 0.01 * want)
+        assert abs(empty[s] - (want / whole * 100 if s in ("s0", "s1", "s2") else 5 * (s == "none"))) <= 1
+    assert sorted(said, key=str) == sorted([(r.doc_id, r.source) for r in p.mixed(spark, d.repartition(5), "").collect()], key=str)
+    emitted.clear()
+    for r in mixing.mix(d, cell_words=5000, keep=True).collect():
+        taken[r.source] += r.taken
+        emitted[r.source] += r.copies * r["size"]
+    assert all(abs(emitted[s] - taken[s]) <= 0.03 * taken[s] for s in target)
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0, "e": 1.2}
     p = spark.createDataFrame([(k, v, 17, 0) for k, v in votes.items()], "party string, votes double, seats long, g int")
