@@ -235,7 +235,7 @@ class Stretches:
         cuts = np.flatnonzero(np.concatenate([[True], self.shard[1:] != self.shard[:-1]])) if len(self.shard) else self.shard
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.shard)], strict=False):
             words, at = np.unique(self.symbols[ends[a] : ends[b]], return_inverse=True)
-            raw = b"".join([np.array([b - a, len(words)], np.uint32).tobytes(), self.low[a:b].tobytes(), words.tobytes(), self.size[a:b].astype(np.uint16).tobytes(), at.astype(np.uint16 if len(words) < 65536 else np.uint32).tobytes()])
+            raw = b"".join([np.array([b - a, len(words)], np.uint32).tobytes(), self.low[a:b].tobytes(), words.tobytes(), self.size[a:b].astype(np.uint32).tobytes(), at.astype(np.uint16 if len(words) < 65536 else np.uint32).tobytes()])
             out.append({"shard": int(self.shard[a]), "block": name, "data": exchange.squeeze(raw), "size": len(raw)})
         return out
 
@@ -245,8 +245,8 @@ def _read_pieces(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n, k = np.frombuffer(raw, np.uint32, 2).tolist()
     low = np.frombuffer(raw, np.int64, n, 8)
     words = np.frombuffer(raw, np.uint64, k, 8 + 8 * n)
-    size = np.frombuffer(raw, np.uint16, n, 8 + 8 * n + 8 * k).astype(np.int64)
-    at = np.frombuffer(raw, np.uint16 if k < 65536 else np.uint32, int(size.sum()), 8 + 10 * n + 8 * k)
+    size = np.frombuffer(raw, np.uint32, n, 8 + 8 * n + 8 * k).astype(np.int64)
+    at = np.frombuffer(raw, np.uint16 if k < 65536 else np.uint32, int(size.sum()), 8 + 12 * n + 8 * k)
     return low, size, words[at]
 
 

@@ -136,6 +136,13 @@ def test_substrings(docs, empty):
     assert by[50].text == [r for r in corpus_rows() if r[0] == 50][0][1] and PASSAGE not in by[52].text and by[52].n_chars == len(by[52].text)
 
 
+def test_substrings_of_one_word_over_and_over(spark):
+    rows = [(1, "again " * 70_000), (2, "first " + "again " * 70_000 + "last"), (3, PASSAGE), (4, f"{PASSAGE} more"), (5, "a b " * 40_000), (6, "a b " * 40_000)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {1: (70_000, 0), 2: (70_002, 70_000), 3: (40, 0), 4: (41, 40), 5: (80_000, 0), 6: (80_000, 80_000)}
+    assert {r.doc_id: r.kept for r in got}[2] == "first last"
+
+
 def test_suffix_automaton():
     a = substrings.SuffixAutomaton()
     a.add("abcbc")
