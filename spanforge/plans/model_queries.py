@@ -577,12 +577,12 @@ def generic_cases(spark: SparkSession, sf_dir: str, which: str = "train") -> Dat
 
 @query()
 def perceptron_train_exact(spark, sf_dir):
-    return perceptron.train_exact(generic_cases(spark, sf_dir, "dev"), epochs=2)
+    return perceptron.train_exact(generic_cases(spark, sf_dir))
 
 
 @query()
 def perceptron_train_mixed(spark, sf_dir):
-    return perceptron.train_mixed(generic_cases(spark, sf_dir, "dev"), shards=4, epochs=2)
+    return perceptron.train_mixed(generic_cases(spark, sf_dir), shards=4)
 
 
 @query(sql.base(sql.LEXICON, sql.MATCHES) + r""" SELECT sid, start, "end", (60.0 * ("end" - start) - 10.0)::FLOAT AS score FROM matches WHERE word IN (SELECT unnest(string_split(p_name, ' ')) FROM part)

@@ -2,6 +2,7 @@
 
 import decimal
 import glob
+import inspect
 import math
 import os
 
@@ -51,3 +52,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("form", ["train_exact", "train_mixed"])
+def test_perceptron_queries_train_on_all_train_cases(spark, monkeypatch, form):
+    from spanforge.plans import model_queries as mq
+
+    kind, seen = inspect.signature(getattr(mq.perceptron, form)), []
+    monkeypatch.setattr(mq.perceptron, form, lambda *a, **k: seen.append(kind.bind(*a, **k)))
+    registry.QUERIES[f"perceptron_{form}"](spark, SF)
+    seen[0].apply_defaults()
+    assert seen[0].arguments["epochs"] == kind.parameters["epochs"].default
+    want = mq.split_rows(spark, SF).where("split = 'train'").select("sid")
+    assert sorted(r.sid for r in seen[0].arguments["cases"].select("sid").collect()) == sorted(r.sid for r in want.collect())
