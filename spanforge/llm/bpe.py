@@ -8,6 +8,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import parallelism
-
 #: How byte-level BPE cuts text before its merges (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -159,27 +158,37 @@ def asked(docs: DataFrame, coder_of, block_bytes: int, buckets: int) -> DataFram
     return docs.mapInArrow(run, _ASKED)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str | None = None, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Distinct words whose ids a bucket keeps at hand while its requests stream by.
+KEPT_WORDS = 1 << 20
+
+
+def encode_decode(docs: DataFrame, vocabulary: str | None = None, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every whole text.
 
     Texts are split into words in blocks of documents that a task holds at
     once (`block_bytes` of word positions, or one document). A block asks
     for each of its distinct words; requests meet by a hash of the word, where
-    each distinct word of the corpus is encoded exactly once, and the ids
+    each distinct word of the corpus is encoded once, and the ids
     go back to the blocks, which join them to their words by position and
     decode through the id-to-piece table of the vocabulary. A word that is
     everywhere is asked for once a block, so no key is hot; requests, answers
     and positions are compressed lists, and whole texts are never shuffled.
-    The number of buckets follows the number of shuffle partitions.
+    There is a bucket for `bucket_bytes` of text; its requests stream by, and
+    only its distinct words are held (beyond KEPT_WORDS they are encoded anew).
+    Rows are sorted within their partitions, so that a block that is made again
+    after a lost executor is the same block, whatever order its rows come in.
 
     A null text counts as an empty one (no tokens); null and repeated ids are
-    rows by themselves; an empty table gives no rows; other columns are left
-    out. Ids must be integers. The vocabulary's path is read on the driver.
+    rows by themselves; very long texts are whole, one is a block; an empty table
+    gives no rows; other columns are left out, whatever their names. Ids must be
+    integers. The vocabulary's path is read on the driver.
     """
     spark = docs.sparkSession
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # of a fixed size
-    buckets = max(32, min(4096, 2 * parallelism(spark)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(32, -(-size // bucket_bytes))
     cache: list[Coder] = []
 
     def coder_of() -> Coder:
@@ -187,25 +196,26 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, block_bytes: i
             cache.append(Coder(shared.value))
         return cache[0]
 
-    requests = asked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), coder_of, block_bytes, buckets)
-
-    def answer(asks: pa.Table) -> pa.Table:
-        rows = []
-        if asks.num_rows and asks["key"][0].as_py().startswith("w"):
-            asks = asks.select(["block", "part", "data", "size"]).to_pylist()
-            lists = [_unpack(x["data"], x["size"]) for x in asks]
-            table = Numbering()
-            where = [np.fromiter(map(table.__getitem__, ws), np.int64, len(ws)) for ws in lists]
-            ids = coder_of().encode(list(table))
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = np.cumsum(count) - count
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
-            for x, at in zip(asks, where, strict=True):
-                n = count[at]
-                take = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                raw = np.concatenate([[len(at)], n, flat[take]]).astype(np.uint32).tobytes()
+    requests = asked(rows.sortWithinPartitions("doc_id", F.xxhash64("text")), coder_of, block_bytes, buckets)
+    answer_kind = pa.schema([("key", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("size", pa.int32())])
+
+    def answer(asks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in asks:
+            rows = []
+            for x in batch.to_pylist():
+                if x["part"] < 0:  # a block, which asks for nothing
+                    continue
+                words = _unpack(x["data"], x["size"])
+                if len(known) > KEPT_WORDS:
+                    known = {}
+                new = [w for w in words if w not in known]
+                known.update(zip(new, coder_of().encode(new), strict=True))
+                ids = [known[w] for w in words]
+                count = [len(i) for i in ids]
+                raw = np.fromiter(chain([len(ids)], count, chain.from_iterable(ids)), np.uint32, 1 + len(ids) + sum(count)).tobytes()
                 rows.append({"key": f"b{x['block']}", "part": x["part"], "data": pa.compress(raw, codec="zstd", asbytes=True), "size": len(raw)})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("size", pa.int32())]))
+            yield pa.RecordBatch.from_pylist(rows, schema=answer_kind)
 
     answers = requests.groupBy("key").applyInArrow(answer, "key string, part int, data binary, size int")
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from spanforge.llm.common import stored
 
 ROLES = ("system", "user", "assistant")
 #: States: the role of the last turn written, or the start.
@@ -44,10 +49,12 @@ def _moves() -> dict[str | None, list[list[tuple[float, int, int, tuple[int, ...
 MOVES = _moves()
 
 
-def costs(roles: list[str | None], start: int) -> tuple[list[float], list[list[tuple[int, tuple] | None]]]:
-    """Cheapest way from `start` to each state over a run of turns, with the steps back."""
-    now, back = [math.inf] * len(STATES), []
-    now[start] = 0.0
+def walk(roles: list[str | None], now: list[float]) -> tuple[list[float], list[list[tuple[int, tuple] | None]]]:
+    """Cheapest ways on from states with costs `now` over some turns, with the steps back.
+
+    Of equal ways the one from the first state is kept, and of its moves the first.
+    """
+    back = []
     for role in roles:
         then, via = [math.inf] * len(STATES), [None] * len(STATES)
         moves = MOVES[role if role in ROLES else None]
@@ -61,113 +68,167 @@ def costs(roles: list[str | None], start: int) -> tuple[list[float], list[list[t
     return now, back
 
 
-def repair(roles: list[str | None], start: int, end: int) -> list[tuple]:
-    """The moves of a cheapest way from `start` to `end`."""
-    _, back = costs(roles, start)
+def from_state(s: int) -> list[float]:
+    return [0.0 if s == t else math.inf for t in range(len(STATES))]
+
+
+def steps_to(back: list, end: int) -> tuple[int, list[tuple]]:
+    """(state before the turns, their moves) of the cheapest way to `end`."""
     steps = []
     for via in reversed(back):
         end, move = via[end]
         steps.append(move)
-    return steps[::-1]
+    return end, steps[::-1]
 
 
-def render(turns: list[tuple[str | None, str]], steps: list[tuple]) -> list[list]:
-    """Repaired turns [role, text]; a leading role of None goes on with the turn before the run."""
-    out: list[list] = []
-    for (_, text), (_, state, _, before, merged) in zip(turns, steps, strict=True):
-        out += [[STATES[t], ""] for t in before]
-        if merged and out and out[-1][0] in (STATES[state], None):
-            out[-1][1] = f"{out[-1][1]}\n{text}" if out[-1][1] else text
-        else:
-            out.append([None if merged else STATES[state], text])
-    return out
+def render(texts: list[str], steps: list[tuple], first: bool, last: bool) -> str:
+    """The text of some turns of a conversation; those of its runs, joined, are the whole.
 
+    A turn is closed by what follows it: the next turn that isn't merged into it, or the end.
+    """
+    out = []
+    for k, (text, (_, state, _, before, merged)) in enumerate(zip(texts, steps, strict=True)):
+        if merged:
+            out.append(f"\n{text}")
+            continue
+        if k or not first:
+            out.append("<|end|>\n")
+        out += [f"<|{STATES[t]}|>\n<|end|>\n" for t in before]
+        out.append(f"<|{STATES[state]}|>\n{text}")
+    return "".join([*out, "<|end|>\n"] if last else out)
 
-def template(turns: list[list]) -> str:
-    return "".join(f"<|{role}|>\n{text}<|end|>\n" if role else f"\n{text}<|end|>\n" for role, text in turns)
 
+_RUN = "key string, part int, seq long"
+_RUN_KIND = [("key", pa.string()), ("part", pa.int32()), ("seq", pa.int64())]
 
-def format_chats(turns: DataFrame, run: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Repaired and rendered conversations; one row for each run of turns of a conversation.
 
-    Legal: at most one system turn, first; then user and assistant in turn,
-    user first; no other turn alone. Repairs: merge a turn into the one before
-    (1), relabel it (2; roles that aren't known always need it), insert an
-    empty turn before it (3). Costs add; the cheapest sequence is taken, and of
-    equals the one whose moves come first in MOVES.
-
-    A conversation is cut into runs by turn number // `run`, so that a task
-    holds one run of it and not the whole. Each run gives the cheapest cost from
-    each state to each state; a fold over a conversation's runs (a row of 16
-    numbers each) chooses the states at the cuts, and each run is then
-    repaired between its own two states. Its first turn may go on with the
-    last turn of the run before (`continues`), which the rendered text shows
-    by having no header; `rendered` of a conversation's runs, in order, joined
-    with the open end of such a turn dropped, is the whole conversation.
-
-    Turns stand in the order of their number (null last), then role and text,
-    so ties and repeated rows have one result. A null role is unknown, a null
-    text empty, a null conversation a conversation of its own. An empty
-    table gives no rows; other columns are left out. Returns conv_id, run,
-    n_turns, n_out, merges, relabels, inserts, cost, continues, rendered.
+def _along(rows: DataFrame, down: bool, step, schema: str, kind: pa.Schema) -> DataFrame:
+    """step(row, what it said of the run before, or None) -> row, over the runs of each conversation in order.
+
+    A conversation's runs stream through one task, a few numbers each; none is held.
     """
-    conv = turns.schema[conv_col].dataType.simpleString()
-    rows = turns.select(
-        F.col(conv_col).alias("conv_id"), F.floor(F.coalesce(F.col(turn_col), F.lit(2**62)) / run).cast("long").alias("run"), F.coalesce(F.col(turn_col), F.lit(2**62)).cast("long").alias("turn"),
-        F.lower(F.trim(F.col(role_col))).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-
-    def ordered(t: pa.Table) -> list[dict]:
-        return sorted(t.to_pylist(), key=lambda r: (r["turn"], r["role"] or "", r["text"]))
-
-    def matrix(t: pa.Table) -> pa.Table:
-        own = ordered(t)
-        roles = [r["role"] for r in own]
-        cells = [x for s in range(len(STATES)) for x in costs(roles, s)[0]]
-        return pa.Table.from_pylist([{"conv_id": own[0]["conv_id"], "run": own[0]["run"], "cells": cells}], schema=kind)
-
-    kind = pa.schema([("conv_id", rows_type(conv)), ("run", pa.int64()), ("cells", pa.list_(pa.float64()))])
-    runs = rows.groupBy("conv_id", "run").applyInArrow(matrix, f"conv_id {conv}, run long, cells array<double>")
-
-    def fold(t: pa.Table) -> pa.Table:
-        own = t.sort_by("run")
-        k = len(STATES)
-        now, back = [0.0 if s == START else math.inf for s in range(k)], []
-        for cells in own["cells"].to_pylist():
-            step = [min((now[s] + cells[s * k + e], s) for s in range(k)) for e in range(k)]
-            now, via = [c for c, _ in step], [s for _, s in step]
-            back.append(via)
-        end = min(ENDS, key=lambda e: (now[e], e))
-        out = []
-        for via in reversed(back):
-            out.append((via[end], end))
-            end = via[end]
-        out.reverse()
-        return pa.table({"conv_id": own["conv_id"], "run": own["run"], "first": pa.array([a for a, _ in out], pa.int32()), "last": pa.array([b for _, b in out], pa.int32())})
-
-    path = runs.groupBy("conv_id").applyInArrow(fold, f"conv_id {conv}, run long, first int, last int")
-
-    def write(t: pa.Table, at: pa.Table) -> pa.Table:
-        own = ordered(t)
-        if not own:
-            return shape.empty_table()
-        states = at.to_pylist()[0]
-        steps = repair([r["role"] for r in own], states["first"], states["last"])
-        said = render([(r["role"], r["text"]) for r in own], steps)
-        relabels = sum(r["role"] != STATES[s[1]] for r, s in zip(own, steps, strict=True))
-        return pa.Table.from_pylist([{
-            "conv_id": own[0]["conv_id"], "run": own[0]["run"], "n_turns": len(own), "n_out": len(said), "merges": sum(s[4] for s in steps), "relabels": relabels, "inserts": sum(len(s[3]) for s in steps),
-            "cost": sum(s[0] for s in steps), "continues": said[0][0] is None, "rendered": template(said),
-        }], schema=shape)
-
-    shape = pa.schema([("conv_id", rows_type(conv)), ("run", pa.int64()), *[(c, pa.int64()) for c in ("n_turns", "n_out", "merges", "relabels", "inserts")], ("cost", pa.float64()), ("continues", pa.bool_()), ("rendered", pa.string())])
-    # Keys that may be null meet as text.
-    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("_key")
-    left, right = rows.select("*", key), path.select("*", key)
-    out = left.groupBy("_key", "run").cogroup(right.groupBy("_key", "run")).applyInArrow(write, f"conv_id {conv}, run long, n_turns long, n_out long, merges long, relabels long, inserts long, cost double, continues boolean, rendered string")
-    return out.select("conv_id", "run", "n_turns", "n_out", "merges", "relabels", "inserts", "cost", "continues", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))
-
-
-def rows_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
+    order = [F.desc("part"), F.desc("seq")] if down else ["part", "seq"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                said = step(row, said if said and said["key"] == row["key"] else None)
+                out.append(said)
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(run, schema)
 
+
+def _each(rows: DataFrame, one, schema: str, kind: pa.Schema) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([one(r) for r in b.to_pylist()], schema=kind)
+
+    return rows.mapInArrow(run, schema)
+
+
+def cut(rows: DataFrame, run: int, run_chars: int) -> DataFrame:
+    """Conversations as runs of up to `run` turns and about `run_chars` characters, in order of (part, seq).
+
+    Turns are sorted over the cluster by range, so a conversation of any size
+    is spread; a run ends where its range does.
+    """
+    kind = pa.schema([*_RUN_KIND, ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))])
+    order = ["key", "turn", "role", "hash"]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text").select("key", "role", "text")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, key, roles, texts, held = TaskContext.get().partitionId(), 0, None, [], [], 0
+        for b in batches:
+            for k, role, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if roles and (k != key or len(roles) >= run or held >= run_chars):
+                    yield pa.RecordBatch.from_pylist([{"key": key, "part": part, "seq": seq, "roles": roles, "texts": texts}], schema=kind)
+                    seq, roles, texts, held = seq + 1, [], [], 0
+                key = k
+                roles.append(role)
+                texts.append(text)
+                held += len(text)
+        if roles:
+            yield pa.RecordBatch.from_pylist([{"key": key, "part": part, "seq": seq, "roles": roles, "texts": texts}], schema=kind)
+
+    return dealt.mapInArrow(runs, f"{_RUN}, roles array<string>, texts array<string>")
+
+
+def format_chats(turns: DataFrame, run: int = 256, run_chars: int = 1 << 20, part_chars: int = 1 << 26, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Repaired and rendered conversations, a row each.
+
+    Legal: at most one system turn, first; then user and assistant in turn,
+    user first; no other turn alone. Repairs: merge a turn into the one before,
+    on a new line (1), relabel it (2; roles that aren't known always need it),
+    insert an empty turn before it (3). Costs add; the cheapest sequence is
+    taken. Of equal ones, from the last turn back, the one that comes from the
+    first state, by the first move in MOVES.
+
+    The dynamic programme goes over a conversation in runs, so that no task
+    holds the whole: each run tells what it costs from each state to each; a
+    fold over these tells what each state costs before each run; with that, each
+    run tells from which state a way to each state comes; a fold back over these
+    chooses the states at the cuts, and each run is rendered between its own
+    two. Costs are whole, so the result is that of one programme over the whole
+    conversation, for every `run`.
+
+    A conversation is one row (`part` 0) unless its text is longer than
+    `part_chars`: it then goes on in further rows, and the counts are those of each.
+    Turns stand in the order of their number (null last), then role, then a hash
+    of the text and the text, so ties and repeated rows have one result. A null role is unknown, a null
+    text empty, null conversation ids are one conversation. Very long texts
+    are whole. An empty table gives no rows; other columns are left out, whatever
+    their names. Returns conv_id, part, n_turns, n_out, merges, relabels, inserts,
+    cost, rendered, rendered_sha256.
+    """
+    conv = turns.schema[conv_col].dataType
+    key = F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("n"))
+    rows = turns.select(key.alias("key"), F.coalesce(F.col(turn_col).cast("long"), F.lit(2**63 - 1)).alias("turn"), F.lower(F.trim(F.col(role_col))).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    runs = stored(cut(rows, run, run_chars), "runs")
+    numbers = pa.list_(pa.float64())
+    own = lambda r: {"key": r["key"], "part": r["part"], "seq": r["seq"]}
+    k = len(STATES)
+
+    def matrix(r: dict) -> dict:
+        return own(r) | {"cells": [c for s in range(k) for c in walk(r["roles"], from_state(s))[0]]}
+
+    def forward(r: dict, before: dict | None) -> dict:
+        start = before["end"] if before else from_state(START)
+        return own(r) | {"start": start, "end": [min(start[s] + r["cells"][s * k + e] for s in range(k)) for e in range(k)]}
+
+    def came(r: dict) -> dict:
+        _, back = walk(r["roles"], r["start"])
+        return own(r) | {"end": r["end"], "came": [steps_to(back, e)[0] if r["end"][e] < math.inf else -1 for e in range(k)]}
+
+    def backward(r: dict, after: dict | None) -> dict:
+        last = after is None
+        state = min(ENDS, key=lambda e: (r["end"][e], e)) if last else after["before"]
+        return own(r) | {"state": state, "before": r["came"][state], "last": last}
+
+    def write(r: dict) -> dict:
+        _, back = walk(r["roles"], r["start"])
+        before, steps = steps_to(back, r["state"])
+        relabels = sum(a != STATES[s[1]] for a, s in zip(r["roles"], steps, strict=True))
+        inserts, merges = sum(len(s[3]) for s in steps), sum(s[4] for s in steps)
+        return own(r) | {
+            "n_turns": len(steps), "n_out": len(steps) - merges + inserts, "merges": merges, "relabels": relabels, "inserts": inserts,
+            "cost": sum(s[0] for s in steps), "rendered": render(r["texts"], steps, before == START, r["last"]),
+        }
+
+    at = ["key", "part", "seq"]
+    cells = _each(runs.select(*at, "roles"), matrix, f"{_RUN}, cells array<double>", pa.schema([*_RUN_KIND, ("cells", numbers)]))
+    ways = stored(_along(cells, False, forward, f"{_RUN}, start array<double>, end array<double>", pa.schema([*_RUN_KIND, ("start", numbers), ("end", numbers)])), "ways")
+    backs = _each(runs.select(*at, "roles").join(ways, at), came, f"{_RUN}, end array<double>, came array<int>", pa.schema([*_RUN_KIND, ("end", numbers), ("came", pa.list_(pa.int32()))]))
+    states = _along(backs, True, backward, f"{_RUN}, state int, before int, last boolean", pa.schema([*_RUN_KIND, ("state", pa.int32()), ("before", pa.int32()), ("last", pa.bool_())]))
+    counts = ("n_turns", "n_out", "merges", "relabels", "inserts")
+    kind = pa.schema([*_RUN_KIND, *[(c, pa.int64()) for c in counts], ("cost", pa.float64()), ("rendered", pa.string())])
+    said = _each(runs.join(ways.drop("end"), at).join(states.drop("before"), at), write, f"{_RUN}, {', '.join(f'{c} long' for c in counts)}, cost double, rendered string", kind)
+    said = said.withColumn("size", F.length("rendered"))
+    along = Window.partitionBy("key").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    said = said.withColumn("piece", F.floor(F.coalesce(F.sum("size").over(along), F.lit(0)) / part_chars).cast("int"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq", "rendered"))), lambda x: x["rendered"]), "")
+    out = said.groupBy("key", "piece").agg(*[F.sum(c).alias(c) for c in counts], F.sum("cost").alias("cost"), whole.alias("rendered"))
+    name = F.when(F.col("key") != "n", F.expr("substring(key, 2)")).cast(conv)
+    return out.select(name.alias("conv_id"), F.col("piece").alias("part"), *counts, "cost", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))

@@ -4,7 +4,9 @@ A block is what a task holds at once: some documents as positions into a list
 of their distinct words. Blocks send sorted hashes to buckets, where those of
 all blocks meet, and get an answer of one item for each hash. Each block
 asks once about a hash, however often it occurs in it, so that no key is hot;
-lists travel compressed. The number of buckets follows the shuffle partitions.
+lists travel compressed. The number of buckets follows the number of words, so
+that what meets in one has a bound at every size of the input; on very large
+inputs a block has few items for each bucket, and lists come near plain rows.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD, parallelism
+from spanforge.llm.common import WORD
 
-#: Word positions in a block: one document or so many.
-BLOCK_WORDS = 1 << 20
-BLOCK = "block string, words binary, words_size int, at binary, at_size int, ids array<bigint>, counts array<int>, rows array<string>, gaps binary, gaps_size int, gap_at binary, gap_at_size int"
+#: Word positions in a block: one document or so many. Positions of the corpus for each bucket.
+BLOCK_WORDS, BUCKET_WORDS = 1 << 20, 1 << 21
+BLOCK = "block string, words binary, words_size int, at binary, at_size int, ids array<bigint>, counts array<int>, rows binary, gaps binary, gaps_size int, gap_at binary, gap_at_size int"
 #: The columns of a block that its questions need; the others wait for the answer.
 ASKING = ["block", "words", "words_size", "at", "at_size", "ids", "counts"]
 _ARROW = pa.schema([
     ("block", pa.string()), ("words", pa.binary()), ("words_size", pa.int32()), ("at", pa.binary()), ("at_size", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-    ("rows", pa.list_(pa.string())), ("gaps", pa.binary()), ("gaps_size", pa.int32()), ("gap_at", pa.binary()), ("gap_at_size", pa.int32()),
+    ("rows", pa.binary()), ("gaps", pa.binary()), ("gaps_size", pa.int32()), ("gap_at", pa.binary()), ("gap_at_size", pa.int32()),
 ])
 
 
@@ -73,9 +75,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def buckets_of(df: DataFrame) -> int:
-    """A power of two, about twice the shuffle partitions."""
-    return 1 << max(5, min(12, parallelism(df.sparkSession).bit_length()))
+def buckets_of(made: DataFrame) -> int:
+    """A power of two, about a bucket for BUCKET_WORDS positions of all blocks, 32 at least."""
+    n = made.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    return 1 << max(5, (n // BUCKET_WORDS).bit_length())
 
 
 class Block:
@@ -86,10 +89,15 @@ class Block:
         raw = stretch(row["words"], row["words_size"])
         self.words = raw.decode("utf-8", "surrogatepass").split(" ") if raw else []
         self.at = unpack(row["at"], row["at_size"], np.uint32)
-        self.rows, self.ids, self._row = row.get("rows"), row["ids"], row
+        self.ids, self._row = row["ids"], row
         self.counts = np.array(row["counts"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
+    def rows(self) -> pa.Array | None:
+        """What was carried along with each document."""
+        raw = self._row.get("rows")
+        return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks() if raw else None
+
     def texts(self, wanted) -> dict[int, str]:
         """The texts of some documents as they were, from words and what stood between them."""
         r = self._row
@@ -117,14 +125,25 @@ class Block:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def _bytes(rows: list[pa.Array]) -> bytes:
+    """Rows of one type as an Arrow stream."""
+    whole = pa.concat_arrays(rows)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("row", whole.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([whole], names=["row"]))
+    return sink.getvalue().to_pybytes()
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None = None, lower: bool = False, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
     """Documents as blocks.
 
-    carried: text that each row takes along. lower: A-Z as a-z. whole: keep what
-    stands between the words too, for `Block.texts`.
+    carried: what each row takes along, of any type. lower: A-Z as a-z. whole:
+    keep what stands between the words too, for `Block.texts`.
     """
     find, between = re.compile(WORD).findall, re.compile(WORD).split
     table = {c: c + 32 for c in range(65, 91)}
+    taken = [carried.alias("_row")] if carried is not None else []
+    along = bool(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held = TaskContext.get().partitionId(), 0, 0
@@ -141,20 +160,21 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None =
             spots, spots_size = pack(np.concatenate(gap_at).astype(np.uint32)) if gap_at else (b"", 0)
             out = pa.RecordBatch.from_pylist([{
                 "block": f"{task}-{made}", "words": squeeze(raw), "words_size": len(raw), "at": flat, "at_size": size, "ids": ids, "counts": [len(x) for x in at],
-                "rows": rows, "gaps": squeeze(names), "gaps_size": len(names), "gap_at": spots, "gap_at_size": spots_size,
+                "rows": _bytes(rows) if along else None, "gaps": squeeze(names), "gaps_size": len(names), "gap_at": spots, "gap_at_size": spots_size,
             }], schema=_ARROW)
             made, held, known, rows, ids, at, gaps, gap_at = made + 1, 0, {}, [], [], [], {}, []
             return out
 
         for b in batches:
-            for doc, more, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 text = text.as_py() or ""
                 found = find(text.translate(table) if lower else text)
                 n = len(found)
                 at.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.uint32, n))
                 if whole:
                     gap_at.append(np.fromiter((gaps.setdefault(g, len(gaps)) for g in between(text)), np.uint32, n + 1))
-                rows.append(more)
+                if along:
+                    rows.append(b.column(2).slice(k, 1))
                 ids.append(doc)
                 held += n + 8
                 if held >= block_words:
@@ -162,7 +182,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carried: Column | None =
         if ids:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), (carried if carried is not None else F.lit(None).cast("string")).alias("_row"), F.col(text_col)).mapInArrow(run, BLOCK)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *taken).mapInArrow(run, BLOCK)
 
 
 #: What is sent to buckets: sorted hashes, and one more array or bits.

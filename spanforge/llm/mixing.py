@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import n_words
+from spanforge.llm.common import n_words, stored
 
 
 def apportion(parties: DataFrame, by: list[str], votes: str, seats: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _copies(rows: DataFrame, seed: int) -> DataFrame:
     share, or one copy in a source without words.
     """
     n = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
-    down = Window.partitionBy("source", "cell").orderBy(F.desc("size"), F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "taken")
+    down = Window.partitionBy("source", "cell").orderBy(F.desc("size"), F.xxhash64(F.lit(seed + 2), "doc_id", "_th"), "doc_id", "_th", "taken")
     at = F.pmod(F.xxhash64(F.lit(seed + 3), "source"), F.lit(1 << 20)) / (1 << 20) + F.col("cell") * 0.6180339887498949
     r = rows.withColumn("_whole", F.floor(n)).withColumn("_rest", n - F.col("_whole")).withColumn("_from", at - F.floor(at))
     r = r.withColumn("_sum", F.sum("_rest").over(down.rowsBetween(Window.unboundedPreceding, 0)))
@@ -78,44 +78,50 @@ def _copies(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, limit: int = 2, block: int = 512, least_blocks: int = 1000, cell_words: int = 1 << 18, most_cells: int = 4096, seed: int = 17,
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, limit: int = 2, block: int = 512, least_blocks: int = 1000, few_blocks: int = 32, cell_words: int = 1 << 18, fan: int = 8192, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False,
 ) -> DataFrame:
     """Words that a mix takes from every document, so that sources come near their targets.
 
-    A source's documents are dealt by a seeded hash of the id into cells of
-    about `cell_words` words (the shards of the apportionment, `most_cells` at
-    most), and each cell is a seeded stream of words cut into equal blocks.
-    There are total / block blocks, and `least_blocks` for each source at
-    least. Sainte-Laguë gives each source its blocks by target, then each
-    cell of a source its quota by size. A cell takes whole passes over its
+    A source's documents are dealt by a seeded hash of id and text into cells of
+    about `cell_words` words (the shards of the apportionment), and each cell
+    is a seeded stream of words cut into equal blocks. There are total / block
+    blocks, and `least_blocks` for each source at least. Sainte-Laguë gives each
+    source its blocks by target; one that wins less than `few_blocks` is
+    apportioned word by word instead, so that it comes near its target however
+    large the others are. It then gives each group of `fan` cells of a source, and
+    each cell of a group, its quota by size. A cell takes whole passes over its
     stream and, for the rest of its quota, blocks spread evenly from a seeded
     offset. No document is taken more than `limit` times.
 
-    Returns doc_id, size, source_size, target, taken. With `keep` the columns
-    of `docs` come first and `copies` last, for who takes whole documents (see
-    `_copies`). Null text: size 0, taken 0. A null source is a
-    source, the last one. Repeated rows count each by itself; rows equal in
-    id, source and size are interchangeable. An empty table gives no rows.
+    Returns doc_id, size, source_size, target, taken. With `keep` also `row`,
+    the columns of `docs` as a struct, and `copies`, for who takes whole
+    documents (see `_copies`). Null text: size 0, taken 0. A null source is a
+    source, the last one. Null ids are dealt by their texts. Repeated rows count
+    each by itself; rows equal in id and text are interchangeable. Very long
+    texts are whole. Columns of `docs` may have any names. An empty table gives no rows.
     """
-    extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *extra)
+    extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_th"), *extra)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = source_targets(sizes, weights, total_share, limit)
     whole = Window.partitionBy(F.lit(0))
     goal = goal.withColumn("_total", F.sum("target").over(whole)).withColumn("party", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
     goal = goal.withColumn("blocks", F.greatest(F.ceil(F.col("_total") / block), F.lit(least_blocks) * F.count("*").over(whole)).cast("long")).withColumn("_one", F.lit(0))
+    few = F.col("won") < few_blocks
     goal = apportion(goal, ["_one"], "target", "blocks").select(
-        "source", "source_size", "target", F.col("won").alias("source_blocks"), (F.col("_total") / F.col("blocks")).alias("block_words"),
-        F.least(F.lit(most_cells), F.greatest(F.lit(1), F.ceil(F.col("source_size") / cell_words))).cast("int").alias("cells"),
+        "source", "source_size", "target", F.when(few, F.round("target").cast("long")).otherwise(F.col("won")).alias("source_blocks"),
+        F.when(few, F.lit(1.0)).otherwise(F.col("_total") / F.col("blocks")).alias("block_words"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / cell_words)).cast("int").alias("cells"),
     )
+    goal = stored(goal, "goal")
     dealt = rows.join(goal.select(F.col("source").alias("_s"), "cells"), _same(F.col("source"), F.col("_s"))).drop("_s")
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("cells")).cast("int"))
-    # The same deal without the rows' other columns, for the sums.
-    in_cells = dealt.groupBy("source", "cell").agg(F.sum("size").alias("cell_words"))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_th"), F.col("cells")).cast("int"))
+    in_cells = stored(dealt.groupBy("source", "cell").agg(F.sum("size").alias("cell_words")), "cells")
     quota = in_cells.join(goal.withColumnRenamed("source", "_s"), _same(F.col("source"), F.col("_s"))).drop("_s")
-    quota = quota.withColumn("votes", F.col("cell_words").cast("double")).withColumn("party", F.col("cell")).withColumn("_sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
-    quota = apportion(quota, ["_sk"], "votes", "source_blocks")
+    quota = quota.withColumn("votes", F.col("cell_words").cast("double")).withColumn("_sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))).withColumn("_group", F.floor(F.col("cell") / fan).cast("int"))
+    groups = quota.groupBy("_sk", F.col("_group").alias("party")).agg(F.sum("votes").alias("votes"), F.first("source_blocks").alias("source_blocks"))
+    groups = apportion(groups, ["_sk"], "votes", "source_blocks").select("_sk", F.col("party").alias("_group"), F.col("won").alias("group_blocks"))
+    quota = apportion(quota.join(groups, ["_sk", "_group"]).withColumn("party", F.col("cell")), ["_sk", "_group"], "votes", "group_blocks")
     w = F.greatest("cell_words", F.lit(1))
     quota = quota.withColumn("_wanted", F.col("won") * F.col("block_words")).withColumn("passes", F.least(F.floor(F.col("_wanted") / w), F.lit(limit)).cast("long"))
     quota = quota.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("cell_words") / F.greatest("block_words", F.lit(1e-9)))).cast("long"))
@@ -123,7 +129,7 @@ def mix(
     quota = quota.withColumn("part", part.cast("long")).withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "_sk", "cell"), F.col("n_blocks")))
     quota = quota.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), "source_size", "target", "cell_words", "passes", "part", "n_blocks", "offset")
     out = dealt.join(quota, _same(F.col("source"), F.col("_s")) & (F.col("cell") == F.col("_c")))
-    stream = Window.partitionBy("source", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    stream = Window.partitionBy("source", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_th"), "doc_id", "_th", "size")
     out = out.withColumn("_end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.col("_end") - F.col("size"))
     cut = lambda j: F.floor(j * F.col("cell_words") / F.col("n_blocks"))
     picked = lambda j: F.floor(((j + 1) * F.col("part") + F.col("offset")) / F.col("n_blocks")) > F.floor((j * F.col("part") + F.col("offset")) / F.col("n_blocks"))
@@ -135,5 +141,5 @@ def mix(
     )
     taken = (F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("part") > 0), overlap).otherwise(0)).cast("long")
     if keep:
-        return _copies(out.withColumn("taken", taken), seed).select("_row.*", "size", "source_size", "target", "taken", "copies")
+        return _copies(out.withColumn("taken", taken), seed).select("doc_id", "size", "source_size", "target", "taken", "copies", "row")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

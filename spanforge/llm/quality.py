@@ -8,12 +8,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanforge.llm.common import WORD, stored
+from spanforge.llm.common import WORD
 
 _WORDS = re.compile(WORD)
 #: Names of the statistics, in the order of `statistics`.
@@ -48,16 +48,21 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, stats binary of float32), computed in Arrow batches."""
+def matrix(texts) -> np.ndarray:
+    """Statistics of texts, a row each."""
+    return np.array([statistics(t) for t in texts], np.float32).astype(np.float64).reshape(-1, len(NAMES))
+
+
+def with_statistics(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep..., stats binary of float32), computed in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = [np.array(statistics(t), np.float32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats, pa.binary())], names=["doc_id", "stats"])
+            stats = [np.array(statistics(t), np.float32).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(stats, pa.binary())], names=[*keep, "stats"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, stats binary")
+    rows = docs.select(F.col(text_col), *[F.col(c) for c in keep])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("stats", T.BinaryType())]))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,31 +169,55 @@ def held_out(doc_id: Column, parts: int = 5, rest: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:
-    """Score of every document for label 1, learnt from labelled rows outside the held-out fold.
+def learnt(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> Model:
+    """The model of the labelled rows outside the held-out fold.
 
-    At most about `most_labels` labelled documents (by a hash of the id) are
-    used to fit; all documents are scored. A document with several labels has
-    the lowest of them. Null labels are ignored. Null and empty texts have
-    zero statistics and get a score like any other; rows with a null id are
-    scored and never learnt from; repeated rows are each scored. Without
-    labels every score is 0.5. Label, language, source and id are no inputs.
-    Returns doc_id, held_out, score, predicted.
+    At most about `most_labels` labels (by a hash of the id) are used, so the
+    table of labels is broadcast to the texts and only their statistics are
+    computed. A document with several labels has the lowest of them; null
+    labels and null ids are ignored; of rows of one id each counts.
     """
-    stats = stored(with_statistics(docs, id_col, text_col), "statistics")
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
-    marks = marks.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     n = marks.count()
     if n > most_labels:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_labels / n))
-    model = fit(stats.join(marks, "doc_id").select("stats", "y"), **fitting)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["score"] = shared.value.score(_matrix(pdf["stats"])) if len(pdf) else np.zeros(0)
-            yield pdf.drop(columns="stats")
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = stats.withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+        marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * most_labels / n))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id")
+    return fit(with_statistics(rows, "text", "y").select("stats", "y"), **fitting)
+
+
+def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+    """Score of every document for label 1, learnt from labelled rows outside the held-out fold.
+
+    See `learnt` for the labels that are used; all documents are scored where
+    they are read, in one pass without a shuffle. Null and empty texts have
+    zero statistics and get a score like any other, very long ones are whole;
+    rows with a null id are scored and never learnt from; repeated rows are
+    each scored. Without labels every score is 0.5. An empty table gives no
+    rows. Label, language, source and id are no inputs; other columns
+    are left out, whatever their names. Returns doc_id, held_out, score, predicted.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, id_col=id_col, text_col=text_col, **learning))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(matrix(b.column(1).to_pylist())), pa.float64())], names=["doc_id", "score"])
+
+    out = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+    """The rows of docs that score `cut` or more, as they are: each is judged by its own text.
+
+    Rows of one id, or of a null one, are judged apart; all else is as in `classify`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, id_col=id_col, text_col=text_col, **learning))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(matrix(b.column(at).to_pylist())) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

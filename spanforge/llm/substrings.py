@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.llm import exchange
 from spanforge.llm.common import stored
@@ -308,9 +309,10 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     A null text has no words; a text shorter than a window loses none. Rows
     of equal id don't remove each other's words; a null id counts as the
     largest. Repeated rows are each judged. An empty table gives no rows; other
-    columns are left out, but for `carried`. Returns doc_id, row (carried),
-    n_words, n_removed, kept_sha256 and kept (the text as it was if no word is
-    removed, else the kept words joined by a space; null unless `keep_text`).
+    columns are left out, but for `carried`. Very long texts are whole: one is a
+    block. Returns doc_id, n_words, n_removed, kept_sha256, kept (the text as it
+    was if no word is removed, else the kept words joined by a space; null unless
+    `keep_text`) and row (carried), if there is one.
     """
     import hashlib
 
@@ -375,11 +377,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
     pieces = made.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(send, "shard int, block string, data binary, size int")
     matched = stored(pieces.groupBy("shard").applyInArrow(match, exchange.ANSWER), "matched")
-    out_kind = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    out_kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    taken = docs.select(carried.alias("row")).schema.fields if carried is not None else []
+    along = bool(taken)
 
     def judge(t: pa.Table, said: pa.Table) -> pa.Table:
-        rows = []
+        parts = []
         for row in t.to_pylist():
+            rows = []
             w = Windows(Block(row), width)
             b = w.block
             s = Stretches(w, repeated(w, said), buckets)
@@ -395,23 +400,30 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             names = np.array(b.words, dtype=object)
             cut = np.add.reduceat(np.append(gone, False).astype(np.int64), b.first[:-1]) * (b.counts > 0) if len(b.counts) else b.counts
             texts = b.texts(np.flatnonzero(cut == 0).tolist()) if keep_text else {}
-            for i, (doc, more) in enumerate(zip(b.ids, b.rows, strict=True)):
+            for i, doc in enumerate(b.ids):
                 own = slice(b.first[i], b.first[i + 1])
                 kept = " ".join(names[b.at[own][~gone[own]]].tolist()) if b.counts[i] else ""
-                rows.append({"doc_id": doc, "row": more, "n_words": int(b.counts[i]), "n_removed": int(gone[own].sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), "kept": texts.get(i, kept) if keep_text else None})
-        return pa.Table.from_pylist(rows, schema=out_kind)
+                rows.append({"doc_id": doc, "n_words": int(b.counts[i]), "n_removed": int(gone[own].sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), "kept": texts.get(i, kept) if keep_text else None})
+            part = pa.Table.from_pylist(rows, schema=out_kind)
+            parts.append(part.append_column("row", b.rows()) if along else part)
+        return pa.concat_tables(parts)
 
     every = both.union(mark(matched, 2))
-    return whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(judge, "doc_id long, row string, n_words long, n_removed long, kept_sha256 string, kept string")
-
-
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept words as text where words were removed; rows of which no word is left go."""
-    other = [c for c in docs.columns if c != text_col]
-    taken = F.to_json(F.struct(F.to_json(F.struct(*[F.col(f"`{c}`") for c in other]), {"ignoreNullFields": "false"}).alias("o"), F.col(text_col).isNull().alias("none")))
-    out = remove_repeats(docs, id_col=id_col, text_col=text_col, carried=taken, keep_text=True)
-    out = out.where("n_words = 0 or n_removed < n_words").withColumn("_r", F.from_json("row", "o string, none boolean"))
-    out = out.withColumn("_o", F.from_json("_r.o", docs.select(*[F.col(f"`{c}`") for c in other]).schema))
-    text = F.when(~F.col("_r.none"), F.col("kept"))
-    size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_o.n_chars") if "n_chars" in other else F.lit(None))
-    return out.select(*[text.alias(c) if c == text_col else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_o.`{c}`").alias(c) for c in docs.columns])
+    shape = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType()), *taken])
+    return whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(judge, shape)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """docs with the kept words as text where words were removed; rows of which no word is left go.
+
+    Other rows, null and empty texts among them, stay as they are, and so do
+    all other columns, whatever their type and name; only `size_col`, if
+    there is one, is the new text's length where words were removed.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("_no_text"))
+    out = remove_repeats(docs, id_col=id_col, text_col=text_col, carried=row, keep_text=True)
+    cut = F.col("n_removed") > 0
+    new = {text_col: F.when(~F.col("row._no_text"), F.col("kept"))}
+    if size_col in docs.columns:
+        new[size_col] = F.when(cut, F.length("kept").cast(docs.schema[size_col].dataType)).otherwise(F.col(f"row.`{size_col}`"))
+    return out.where("n_words = 0 or n_removed < n_words").select(*[new.get(c, F.col(f"row.`{c}`") if c != text_col else None).alias(c) for c in docs.columns])

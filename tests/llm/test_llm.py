@@ -186,9 +186,9 @@ def test_mixing(docs, empty):
     got = mixing.mix(docs, keep=True).collect()
     taken = collections.Counter()
     for r in got:
-        assert r["size"] == len(WORD.findall(r.text or "")) and 0 <= r.taken <= 2 * r["size"]
-        assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], rel_tol=1e-9)
-        taken[r.source] += r.taken
+        assert r["size"] == len(WORD.findall(r.row.text or "")) and 0 <= r.taken <= 2 * r["size"]
+        assert r.source_size == sizes[r.row.source] and math.isclose(r.target, want[r.row.source], rel_tol=1e-9)
+        taken[r.row.source] += r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= max(2, 0.02 * want[s]) for s in sizes)
     again = {(ident(r), r.taken) for r in mixing.mix(docs.repartition(5)).collect()}
     assert again == {(ident(r), r.taken) for r in got}
@@ -205,7 +205,7 @@ def test_mixed_copies_meet_the_targets(spark):
     size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
     target, taken, emitted, empty = {}, collections.Counter(), collections.Counter(), collections.Counter()
     for r in mixing.mix(d, keep=True).collect():
-        target[r.source] = r.target, r.source_size
+        target[r.row.source] = r.target, r.source_size
         assert 0 <= r.copies <= 2 and (not r["size"] or abs(r.copies - r.taken / r["size"]) < 1)
     said = [(r.doc_id, r.source) for r in p.mixed(spark, d, "").collect()]
     for i, s in said:
@@ -218,8 +218,8 @@ def test_mixed_copies_meet_the_targets(spark):
     assert sorted(said, key=str) == sorted([(r.doc_id, r.source) for r in p.mixed(spark, d.repartition(5), "").collect()], key=str)
     emitted.clear()
     for r in mixing.mix(d, cell_words=5000, keep=True).collect():
-        taken[r.source] += r.taken
-        emitted[r.source] += r.copies * r["size"]
+        taken[r.row.source] += r.taken
+        emitted[r.row.source] += r.copies * r["size"]
     assert all(abs(emitted[s] - taken[s]) <= 0.03 * taken[s] for s in target)
 
 
@@ -235,29 +235,62 @@ def test_sainte_lague(spark):
 
 
 def test_chat(spark):
-    kind = "conv_id long, turn long, role string, text string, run string"
+    kind = "conv_id long, turn long, role string, text string, run string, key string"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "assistant", "first"), (3, 0, "user", "a"), (3, 1, "user", "b"), (3, 2, "assistant", "c"), (4, 0, "system", "s"), (4, 1, "bot", None), (None, None, None, "odd"), (5, 0, "user", "x"), (5, 0, "user", "x")]
-    rows += [(6, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(1000)]
-    d = spark.createDataFrame([(*r, "z") for r in rows], kind)
-    got = {(r.conv_id, r.run): r for r in chat.format_chats(d).collect()}
-    assert got[1, 0].rendered == "<|user|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n" and got[1, 0].cost == 0
-    assert (got[2, 0].relabels, got[2, 0].inserts, got[2, 0].cost) == (1, 0, 2.0)
-    assert got[3, 0].rendered.startswith("<|user|>\na\nb<|end|>") and got[3, 0].merges == 1
-    assert got[4, 0].cost == 2.0 and (None, 2**62 // 256) in got and got[5, 0].merges == 1
-    assert sum(r.n_turns for (c, _), r in got.items() if c == 6) == 1000 and sum(r.cost for (c, _), r in got.items() if c == 6) == 0
+    rows += [(6, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(1000)] + [(7, 0, "user", "long " * 500_000), (8, 0, None, None), (9, 0, "assistant", ""), (9, 1, " Assistant ", "b"), (9, None, "user", "last")]
+    d = spark.createDataFrame([(*r, "z", "k") for r in rows], kind)
+    got = {r.conv_id: r for r in chat.format_chats(d, run_chars=10_000).collect()}
+    assert len(got) == 10
+    assert got[1].rendered == "<|user|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n" and got[1].cost == 0
+    assert (got[2].relabels, got[2].inserts, got[2].cost) == (1, 0, 2.0)
+    assert got[3].rendered.startswith("<|user|>\na\nb<|end|>") and got[3].merges == 1
+    assert got[4].cost == 2.0 and got[None].rendered == "<|user|>\nodd<|end|>\n" and got[5].rendered == "<|user|>\nx\nx<|end|>\n"
+    assert got[6].n_turns == 1000 and got[6].cost == 0 and got[6].rendered.count("<|end|>") == 1000 and got[7].rendered == "<|user|>\n" + "long " * 500_000 + "<|end|>\n"
+    assert got[8].rendered == "<|user|>\n<|end|>\n" and got[9].n_turns == 3 and got[9].rendered.endswith("last<|end|>\n")
+    parts = chat.format_chats(d, run=100, part_chars=4000).where("conv_id = 6").orderBy("part").collect()
+    assert len(parts) > 1 and "".join(p.rendered for p in parts) == got[6].rendered and sum(p.n_turns for p in parts) == 1000
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
-def test_chat_runs_add_up_to_the_whole(spark):
+def cheapest_repair(roles):
+    """The least cost over all ways to merge, relabel and insert, tried one by one."""
+    legal = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    best = [math.inf]
+
+    def go(i, last, cost):
+        if i == len(roles):
+            if last in ("user", "assistant"):
+                best[0] = min(best[0], cost)
+            return
+        if last is not None:
+            go(i + 1, last, cost + 1 + 2 * (roles[i] != last))
+        for t in legal[last]:
+            go(i + 1, t, cost + 2 * (roles[i] != t))
+            for u in legal[t]:
+                go(i + 1, u, cost + 3 + 2 * (roles[i] != u))
+                for v in legal[u]:
+                    go(i + 1, v, cost + 6 + 2 * (roles[i] != v))
+
+    go(0, None, 0)
+    return best[0]
+
+
+def test_chat_equals_brute_force_for_every_run(spark):
     rng = np.random.default_rng(2)
-    rows = [(c, i, str(rng.choice(["user", "assistant", "system", "tool"])), f"{c}-{i}") for c in range(6) for i in range(9)]
-    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    cost = lambda run: {r.conv_id: r.c for r in chat.format_chats(d, run=run).groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()}
-    whole = cost(256)
-    assert cost(2) == whole
-    for c in range(6):
-        best = chat.costs([r[2] for r in rows if r[0] == c], chat.START)[0]
-        assert whole[c] == min(best[e] for e in chat.ENDS)
+    rows = [(c, i, str(rng.choice(["user", "assistant", "system", "tool"])), rng.choice(["", f"{c}-{i}"])) for c in range(40) for i in range(1 + c % 6)]
+    d = spark.createDataFrame([(*r[:3], str(r[3])) for r in rows], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(d).collect()}
+    for c, r in got.items():
+        own = [x for x in rows if x[0] == c]
+        assert r.cost == cheapest_repair([x[2] for x in own]) == r.merges + 2 * r.relabels + 3 * r.inserts
+        said = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", r.rendered, re.S)
+        assert len(said) == r.n_out == r.n_turns - r.merges + r.inserts and "".join(f"<|{a}|>\n{t}<|end|>\n" for a, t in said) == r.rendered
+        order = [a for a, _ in said]
+        alternating = order[order[0] == "system" :]
+        assert alternating and alternating == [("user", "assistant")[k % 2] for k in range(len(alternating))]
+        assert [x for _, t in said for x in t.split("\n") if x] == [x[3] for x in own if x[3]]
+    for run in (1, 2, 4):
+        assert {r.conv_id: r.rendered for r in chat.format_chats(d.repartition(3), run=run).collect()} == {c: r.rendered for c, r in got.items()}
 
 
 def brute_katz(rows, order):
