@@ -1,4 +1,11 @@
-"""Corpus pipeline: quality, near duplicates, substring duplicates, mixing, tokens."""
+"""Corpus pipeline: quality, near duplicates, substring duplicates, mixing, tokens.
+
+Stages take documents with any further columns, whatever their names, and
+return the same columns (the last one token counts). Null ids are rows like
+others; null and empty texts are scored, are copies of each other, lose no
+words, come by their source's share, and have no tokens. Very long texts are
+whole. Equal and repeated rows are judged alike; an empty table gives none.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +17,8 @@ from spanforge.llm.common import stored, table
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the quality classifier keeps, each judged by its own text; null ids are judged too."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document in whole copies, so many that the words of a source's cells meet what the mix takes."""
     taken = mixing.mix(docs, keep=True)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
