@@ -61,6 +61,11 @@ def char_class(c: Column) -> Column:
     )
 
 
+#: Characters that a name may hold (see `is_body`), and marks between two of them.
+BODY = r"[0-9\x{ff10}-\x{ff19}A-Za-z\x{c0}-\x{24f}\x{370}-\x{52f}\x{3400}-\x{9fff}\x{20000}-\x{2ebef}]"
+CONNECTOR = r"[\x{b7}\-\x{2010}\x{2011}&/]"
+
+
 def is_digit(cp: Column) -> Column:
     return cp.between(0x30, 0x39) | cp.between(0xFF10, 0xFF19)
 
@@ -111,6 +116,16 @@ def fnv1a64(value: Column) -> Column:
     return F.when(value == "", h0).otherwise(F.aggregate(bytes_of, h0, step)).cast("decimal(20,0)")
 
 
-def fixed(values, name: str):
-    """A literal array of strings."""
-    return F.array(*[F.lit(v) for v in values]).alias(name)
+def runs(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of what a pattern without groups finds in a text, from left to right."""
+    # Cut at the pattern, and what it found between the cuts: their lengths give the places.
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: F.length(f))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def put(done, x):
+        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["gap"]
+        return F.concat(done, F.array(F.struct(start.cast("int").alias("start"), (start + x["n"]).cast("int").alias("end"))))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, n: F.struct(g.alias("gap"), n.alias("n")))
+    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, none, put))

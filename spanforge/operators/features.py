@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
 from spanforge.operators.viterbi import STATES
@@ -38,6 +39,91 @@ def emissions(features: DataFrame, weights: DataFrame, key: str = "sid") -> Data
     return features.join(weights, "feature", "left").groupBy(key, "pos").agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in lower])
 
 
+# Features by what they look at, and how far their place is from there.
+_CHARS = {"c0=": 0, "c-1=": 1, "c+1=": -1, "c-2=": 2, "c+2=": -2}
+_PAIRS = {"c-1c0=": 1, "c0c+1=": 0}
+_TRIPLES = {"c-2c-1c0=": 2, "c0c+1c+2=": 0}
+_CLASSES = ("HAN", "DIGIT", "LATIN", "SPACE", "PUNCT", "OTHER", "<")
+_LOWER = [s.lower() for s in STATES]
+
+
+#: A weight table of at most so many features is broadcast; a larger one is joined by shuffle.
+BROADCAST_FEATURES = 300_000
+
+
+def _side(weights: DataFrame):
+    """broadcast, or nothing, for tables that have at most a row a feature."""
+    return F.broadcast if weights.limit(BROADCAST_FEATURES + 1).count() <= BROADCAST_FEATURES else lambda df: df
+
+
+def _by_key(weights: DataFrame, names: dict[str, int], key: str) -> DataFrame:
+    """(key, a struct of five weights for each name) of the features `name` + key."""
+    w = F.struct(*[F.col(s) for s in _LOWER])
+    part = [F.when(F.col("feature").startswith(n), F.substring("feature", F.lit(len(n) + 1), F.length("feature"))) for n in names]
+    own = weights.select(F.coalesce(*part).alias(key), *[F.when(F.col("feature").startswith(n), w).alias(n) for n in names]).where(F.col(key).isNotNull())
+    return own.groupBy(key).agg(*[F.first(f"`{n}`", ignorenulls=True).alias(n) for n in names])
+
+
+def contexts(weights: DataFrame) -> DataFrame:
+    """(before, own, after, o, b, m, e, s): the sums of the bias and all class features, for each three classes."""
+    explode = lambda more: F.explode(F.array(*[F.lit(c) for c in (*_CLASSES, *more)]))
+    three = weights.sparkSession.range(1).select(explode(["<BOS1>"]).alias("before")).select("*", explode([]).alias("own")).select("*", explode(["<EOS1>"]).alias("after"))
+    cat = lambda *parts: F.concat(*[F.lit(x) if x[-1] in "=:" else F.col(x) for x in parts])
+    names = F.array(F.lit("bias"), cat("k0=", "own"), cat("k-1=", "before"), cat("k+1=", "after"), cat("k-1k0=", "before", ":", "own"), cat("k0k+1=", "own", ":", "after"))
+    rows = three.select("*", F.explode(names).alias("feature")).join(weights, "feature", "left")
+    return rows.groupBy("before", "own", "after").agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in _LOWER])
+
+
+def scored(sentences: DataFrame, weights: DataFrame, key: str = "sid", text: str = "text", gate: DataFrame | None = None) -> DataFrame:
+    """(key, text, pos, o, b, m, e, s, pair, triple): the emissions of each place of the features of `char_features`.
+
+    Equal to `emissions` of these, without a row a feature: a character, a pair
+    and a triple are each looked up once, with the weights that they have for
+    the places around, and the class features once for three classes. The
+    tables are broadcast if Spark finds them small. Sentences are dealt by key
+    once, before they are exploded; all else goes on in place.
+    pair, triple: whether one of `gate` (key, arity) starts here (null without);
+    these also start up to two places before a text.
+    """
+    side = _side(weights)
+    tasks = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as short rows that become many would be put together
+    at = lambda d: tx.char_at(F.col(text), F.col("pos") + d)
+    n = F.length(text)
+    c = sentences.where(n > 0).select(key, text).repartition(tasks, key).select(key, text, n.alias("_n"), F.explode(F.sequence(F.lit(-2), n + 1)).alias("pos"))
+    c = c.select("*", *[at(d).alias(f"_c{d}") for d in (-1, 0, 1, 2)])
+    c = c.select("*", F.concat("_c0", "_c1").alias("_p"), F.concat("_c0", "_c1", "_c2").alias("_t"), tx.char_class(F.col("_c-1")).alias("before"), tx.char_class(F.col("_c0")).alias("own"), tx.char_class(F.col("_c1")).alias("after"))
+    c = c.drop("_c-1", "_c1", "_c2")
+    for names, k in ((_CHARS, "_c0"), (_PAIRS, "_p"), (_TRIPLES, "_t")):
+        c = c.join(side(_by_key(weights, names, k)), k, "left")
+    c = c.join(F.broadcast(contexts(weights)), ["before", "own", "after"], "left")  # 448 rows
+    if gate is not None:
+        for arity, k, name in ((2, "_p", "pair"), (3, "_t", "triple")):
+            c = c.join(side(gate.where(F.col("arity") == arity).select(F.col("key").alias(k), F.lit(True).alias(name)).distinct()), k, "left")
+    else:
+        c = c.withColumn("pair", F.lit(None).cast("boolean")).withColumn("triple", F.lit(None).cast("boolean"))
+    w = Window.partitionBy(key).orderBy("pos")
+    names = {k: d for t in (_CHARS, _PAIRS, _TRIPLES) for k, d in t.items()}
+    near = c.select(key, text, "_n", "pos", "pair", "triple", *_LOWER, *[(F.lag(f"`{k}`", d).over(w) if d > 0 else F.lead(f"`{k}`", -d).over(w) if d < 0 else F.col(f"`{k}`")).alias(k) for k, d in names.items()])
+    total = lambda s: sum((F.coalesce(F.col(f"`{k}`")[s], F.lit(0)) for k in names), F.coalesce(s, F.lit(0)))
+    return near.select(key, text, "_n", "pos", *[total(s).alias(s) for s in _LOWER], "pair", "triple")
+
+
+def in_text(found: DataFrame) -> DataFrame:
+    """The rows of `scored` that are places of the text."""
+    return found.where("pos >= 0 and pos < _n").drop("_n")
+
+
+def by_sentence(found: DataFrame, key: str = "sid", text: str = "text") -> DataFrame:
+    """(key, text, scores, pairs, triples): rows of `scored` as arrays, without another shuffle.
+
+    pairs, triples: where one of the gate starts.
+    """
+    inside = (F.col("pos") >= 0) & (F.col("pos") < F.col("_n"))
+    rows = F.array_sort(F.collect_list(F.when(inside, F.struct("pos", F.array(*_LOWER).alias("x")))))
+    g = found.groupBy(key).agg(F.first(text).alias(text), rows.alias("r"), *[F.array_sort(F.collect_list(F.when(F.col(k), F.col("pos")))).alias(f"{k}s") for k in ("pair", "triple")])
+    return g.select(key, text, F.transform("r", lambda r: r["x"]).alias("scores"), "pairs", "triples")
+
+
 def wide(weights: DataFrame) -> DataFrame:
     """(feature, state, weight) as a row a feature."""
     return weights.groupBy("feature").agg(*[F.sum(F.when(F.col("state") == s, F.col("weight")).otherwise(0)).alias(s.lower()) for s in STATES])

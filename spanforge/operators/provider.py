@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
 from spanforge.operators import features as ft
@@ -45,46 +44,87 @@ def register(name: str, kind: str, provider) -> None:
     REGISTRY[name] = provider
 
 
+#: A run without hard boundaries: any character that no name holds is one, but for a connector between two that one may hold.
+_SEGMENT = f"{tx.BODY}+(?:{tx.CONNECTOR}{tx.BODY}+)*"
+
+
+def segments_of(text: Column, least: int = 2) -> Column:
+    """array<struct<start, end>> of the runs without hard boundaries of `least` characters or more."""
+    return F.filter(tx.runs(text, _SEGMENT), lambda s: s["end"] - s["start"] >= least)
+
+
 def segments(sentences: DataFrame, least: int = 2, key: str = "sid") -> DataFrame:
-    """(key, seg_start, seg_end): runs without hard boundaries of `least` characters or more.
+    """(key, seg_start, seg_end) of these; an expression on the text, without a shuffle."""
+    return sentences.select(key, F.explode(segments_of(F.col("text"), least)).alias("s")).select(key, F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"))
+
+
+def _proposed(pairs: Column, triples: Column, words: Column):
+    """Whether a segment is proposed: by an n-gram of the gate that reaches into it, or a word inside it."""
+    touches = lambda at, n, s: F.exists(at, lambda i: (i + n > s["start"]) & (i < s["end"]))
+    return lambda s: touches(pairs, 2, s) | touches(triples, 3, s) | F.exists(words, lambda w: (w["start"] >= s["start"]) & (w["end"] <= s["end"]))
+
+
+def _words_in(sentences: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(key, words): places of lexicon words of three characters or more."""
+    hit = lx.match(sentences, words.where(F.length("word") >= 3), keep=(key, "text"))
+    return hit.groupBy(key).agg(F.collect_set(F.struct("start", "end")).alias("words"))
+
+
+_NO_PLACES = "array<struct<start:int,end:int>>"
+
+
+def proposed(sentences: DataFrame, gate: DataFrame, words: DataFrame, weights: DataFrame, least: int = 2, key: str = "sid") -> DataFrame:
+    """Segments that the gate (key, arity) or a lexicon word of three characters or more proposes (lossy: opt in).
 
-    A boundary is any character that no name holds, but for a connector
-    between two that one may hold.
+    N-grams of the gate count if they reach into the segment, also from a
+    character before it or to one after it; words must be inside.
     """
-    c = ft.characters(sentences, key).select(key, "text", "pos", F.ascii(F.expr("substring(text, pos + 1, 1)")).alias("cp"))
-    w = Window.partitionBy(key).orderBy("pos")
-    body = tx.is_body(F.col("cp"))
-    c = c.select(key, "pos", body.alias("body"), (tx.is_connector(F.col("cp")) & F.lag(body, 1, False).over(w) & F.lead(body, 1, False).over(w)).alias("link"))
-    c = c.withColumn("hard", ~(F.col("body") | F.col("link")))
-    c = c.withColumn("run", F.sum(F.col("hard").cast("int")).over(w)).where("not hard")
-    return c.groupBy(key, "run").agg(F.min("pos").alias("seg_start"), (F.max("pos") + 1).alias("seg_end")).where(F.col("seg_end") - F.col("seg_start") >= least).drop("run")
+    g = ft.by_sentence(ft.scored(sentences, weights, key, gate=gate), key)
+    g = g.join(_words_in(sentences, words, key), key, "left").withColumn("words", F.coalesce("words", F.array().cast(_NO_PLACES)))
+    kept = F.filter(segments_of(F.col("text"), least), _proposed(F.col("pairs"), F.col("triples"), F.col("words")))
+    return g.select(key, F.explode(kept).alias("s")).select(key, F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"))
 
 
-def proposed(found: DataFrame, sentences: DataFrame, gate: DataFrame, words: DataFrame, key: str = "sid") -> DataFrame:
-    """Segments that hold an n-gram of the gate or a lexicon word of three characters or more (lossy: opt in)."""
-    keys = gate.select(F.col("key").alias("word")).unionByName(words.select("word").where(F.length("word") >= 3)).distinct()
-    hit = lx.match(sentences, keys).select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return found.join(hit, (F.col(key) == F.col("_k")) & (F.col("_s") >= F.col("seg_start")) & (F.col("_e") <= F.col("seg_end")), "left_semi")
+# States that may stand before each, and last, in the order in which ties are broken here: O, E, S.
+_BEFORE = [[0, 3, 4], [0, 3, 4], [1, 2], [1, 2], [0, 3, 4]]
+_FINAL = [0, 3, 4]
+#: Spans in a path of one letter a place.
+_SPAN = "S|BM*E"
 
 
-def candidates(sentences: DataFrame, weights: DataFrame, transitions: dict[tuple[str, str], int], general: DataFrame, options: Options = Options(), key: str = "sid") -> DataFrame:
+def candidates(
+    sentences: DataFrame, weights: DataFrame, transitions: dict[tuple[str, str], int], general: DataFrame, options: Options = Options(), key: str = "sid", gate: DataFrame | None = None, entities: DataFrame | None = None
+) -> DataFrame:
     """(key, start, end, score, margin): decoded spans of segments that pass length, border, lexicon and margin.
 
-    Features look at the whole sentence, the decoder at its segment. Weights
-    are whole millionths. Each emission is one row a character; a segment's rows
-    meet once, for its decoding.
+    Features look at the whole sentence, the decoder at its segment: it comes
+    from <START> only where the segment starts the text, else from an O, and
+    moves to an O where text follows. With a `gate` (key, arity) only segments are
+    decoded that it or an `entities` word proposes. Weights are whole
+    millionths. A sentence is one row from its emissions on; all is native.
     """
-    seg = segments(sentences, options.min_chars, key)
-    em = ft.emissions(ft.char_features(sentences, key), weights, key)
-    inside = em.join(seg, key).where("pos >= seg_start and pos < seg_end")
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.array("o", "b", "m", "e", "s").alias("x"))))
-    g = inside.groupBy(key, "seg_start").agg(F.transform(rows, lambda r: r["x"]).alias("scores"))
-    paths = viterbi.decode(g.select(F.struct(key, "seg_start").alias("at"), "scores"), transitions, "at").select(F.col(f"at.{key}").alias(key), F.col("at.seg_start").alias("seg_start"), "tags")
-    spans = paths.select(key, "seg_start", "tags", F.explode(F.expr(r"filter(transform(sequence(1, length(tags)), i -> struct(i - 1 as s, length(regexp_extract(substring(tags, i), '^(S|BM*E)', 1)) as n)), x -> x.n > 0)")).alias("x"))
-    spans = spans.select(key, (F.col("seg_start") + F.col("x.s")).alias("start"), (F.col("seg_start") + F.col("x.s") + F.col("x.n")).alias("end")).where((F.col("end") - F.col("start")).between(options.min_chars, options.max_chars))
-    scored = ft.margins(em, spans, key).join(sentences.select(key, "text"), key)
-    scored = scored.withColumn("word", F.expr("substring(text, start + 1, end - start)")).where(~tx.ascii_cut(F.col("text"), F.col("start"), F.col("end")))
-    out = scored.join(general.select("word").distinct(), "word", "left_anti").withColumn("margin", F.col("margin") / 1_000_000).where(F.col("margin") >= options.min_margin)
+    g = ft.by_sentence(ft.scored(sentences, weights, key, gate=gate), key)
+    own = segments_of(F.col("text"), options.min_chars)
+    if gate is not None:
+        none = F.array().cast(_NO_PLACES)
+        g = g.join(_words_in(sentences, entities, key), key, "left").withColumn("words", F.coalesce("words", none)) if entities is not None else g.withColumn("words", none)
+        own = F.filter(own, _proposed(F.col("pairs"), F.col("triples"), F.col("words")))
+    seg = g.select(key, "text", "scores", F.explode(own).alias("seg")).select(key, "text", "seg", F.slice("scores", F.col("seg.start") + 1, F.col("seg.end") - F.col("seg.start")).alias("scores"))
+    tags = viterbi.fold(F.col("scores"), transitions, _BEFORE, _FINAL, F.col("seg.start") == 0, F.col("seg.end") < F.length("text"))
+    spans = seg.select(key, "text", "seg", "scores", tags.alias("tags")).select("*", F.explode(tx.runs(F.col("tags"), _SPAN)).alias("x"))
+    spans = spans.where((F.col("x.end") - F.col("x.start")).between(options.min_chars, options.max_chars))
+
+    def over(total, i):
+        x = F.element_at("scores", i)
+        role = F.substring("tags", i, F.lit(1))
+        chosen = {n: x[k] for k, n in enumerate(viterbi.STATES)}
+        best = F.coalesce(*[F.when(role == n, v - F.greatest(*[o for m, o in chosen.items() if m != n])) for n, v in chosen.items()])
+        return total + best
+
+    total = F.aggregate(F.sequence(F.col("x.start") + 1, F.col("x.end")), F.lit(0).cast("long"), over)
+    found = spans.select(key, "text", (F.col("seg.start") + F.col("x.start")).alias("start"), (F.col("seg.start") + F.col("x.end")).alias("end"), (total / (F.col("x.end") - F.col("x.start")) / 1_000_000).alias("margin"))
+    found = found.where((F.col("margin") >= options.min_margin) & ~tx.ascii_cut(F.col("text"), F.col("start"), F.col("end"))).withColumn("word", F.expr("substring(text, start + 1, end - start)"))
+    out = found.join(general.select("word").distinct(), "word", "left_anti")
     return out.select(key, "start", "end", F.round(F.least(F.lit(options.most_score), F.col("margin") * options.margin_weight - options.edge_penalty), 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 

@@ -53,29 +53,37 @@ def decode(emissions: DataFrame, transitions: dict[tuple[str, str], int], key: s
     return emissions.select(key, path("scores").alias("tags"))
 
 
-def fold(scores: Column, transitions: dict[tuple[str, str], int]) -> Column:
-    """The same as a column expression, for short rows: a fold over positions that carries five paths."""
+def fold(scores: Column, transitions: dict[tuple[str, str], int], before: list[list[int]] = BEFORE, final: list[int] = FINAL, start_from: Column | None = None, ends_inside: Column | None = None) -> Column:
+    """The same as a column expression: a fold over positions that carries five paths; no Python.
+
+    start_from: whether the row starts its text (the move from <START> holds),
+    else it goes on after an O. ends_inside: whether text follows, so that the
+    move to O counts at the end. Both are left out for whole texts. A path
+    is copied at each position, so this is for rows of sentence length.
+    """
     t = lambda p, c: F.lit(transitions.get((p, c), 0)).cast("long")
     low = F.lit(-(2**60)).cast("long")
     names = dict(enumerate(STATES))
     cell = lambda score, path: F.struct(score.alias("score"), path.alias("path"))
     first = F.element_at(scores, 1)
-    start = F.array(*[cell(first[i].cast("long") + t("<START>", s) if s in "OBS" else low, F.lit(s)) for i, s in names.items()])
+    begin = lambda s: t("<START>", s) if start_from is None else F.when(start_from, t("<START>", s)).otherwise(t("O", s))
+    start = F.array(*[cell(first[i].cast("long") + begin(s) if s in "OBS" else low, F.lit(s)) for i, s in names.items()])
+
+    def best_of(options: list[Column]) -> Column:
+        best = options[0]
+        for o in options[1:]:
+            best = F.when(o["score"] > best["score"], o).otherwise(best)
+        return best
 
     def step(acc, e):
         out = []
-        for c, ps in enumerate(BEFORE):
-            options = [cell(acc[p]["score"] + t(names[p], names[c]), acc[p]["path"]) for p in ps]
-            best = options[0]
-            for o in options[1:]:
-                best = F.when(o["score"] > best["score"], o).otherwise(best)
+        for c, ps in enumerate(before):
+            best = best_of([cell(acc[p]["score"] + t(names[p], names[c]), acc[p]["path"]) for p in ps])
             out.append(cell(F.when(best["score"] <= low / 2, low).otherwise(best["score"] + e[c].cast("long")), F.concat(best["path"], F.lit(names[c]))))
         return F.array(*out)
 
     def finish(acc):
-        best = acc[FINAL[0]]
-        for f in FINAL[1:]:
-            best = F.when(acc[f]["score"] > best["score"], acc[f]).otherwise(best)
-        return best["path"]
+        more = lambda f: F.lit(0).cast("long") if ends_inside is None else F.when(ends_inside, t(names[f], "O")).otherwise(F.lit(0).cast("long"))
+        return best_of([cell(acc[f]["score"] + more(f), acc[f]["path"]) for f in final])["path"]
 
     return F.when(F.size(scores) == 0, F.lit("")).otherwise(F.aggregate(F.slice(scores, 2, F.size(scores)), start, step, finish))

@@ -373,7 +373,7 @@ def char_features(spark, sf_dir):
 
 
 def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.emissions(ft.char_features(cq.firsts(spark, sf_dir)), weight_table(spark))
+    return ft.in_text(ft.scored(cq.firsts(spark, sf_dir), weight_table(spark))).select("sid", "pos", "o", "b", "m", "e", "s")
 
 
 @query(sql.base(_EMIT) + " SELECT sid, pos, o, b, m, e, s FROM em")
@@ -398,13 +398,15 @@ best AS (SELECT sid, path AS tags FROM (SELECT w.*, row_number() OVER (PARTITION
 
 @query(sql.base(_PATHS) + " SELECT sid, tags FROM best")
 def viterbi_decode(spark, sf_dir):
-    return viterbi.decode(ft.score_rows(emitted(spark, sf_dir)), TRANSITIONS)
+    rows = ft.by_sentence(ft.scored(cq.firsts(spark, sf_dir), weight_table(spark)))
+    return rows.select("sid", viterbi.fold(F.col("scores"), TRANSITIONS).alias("tags"))
 
 
-@query(sql.base(_PATHS) + " SELECT sid, tags FROM best WHERE length(tags) <= 40")
-def viterbi_fold(spark, sf_dir):
-    rows = ft.score_rows(emitted(spark, sf_dir)).where(F.size("scores") <= 40)
-    return rows.select("sid", viterbi.fold(F.col("scores"), TRANSITIONS).alias("tags"))
+@query(sql.base(_PATHS) + " SELECT sid, tags FROM best")
+def viterbi_arrow(spark, sf_dir):
+    """The same by the decoder for rows of any length, on emissions that come as rows of features."""
+    em = ft.emissions(ft.char_features(cq.firsts(spark, sf_dir)), weight_table(spark))
+    return viterbi.decode(ft.score_rows(em), TRANSITIONS)
 
 
 # --- candidates -----------------------------------------------------------------
@@ -538,35 +540,73 @@ def hard_boundary_segments(spark, sf_dir):
     return provider.segments(cq.firsts(spark, sf_dir))
 
 
-@query(sql.base(_SEG, sql.LEXICON, _GATE, """keys AS (SELECT key AS k FROM gate UNION SELECT word FROM lexicon WHERE length(word) >= 3)""") + """
-SELECT sid, seg_start, seg_end::INT AS seg_end FROM seg WHERE EXISTS (SELECT 1 FROM firsts f, keys WHERE f.sid = seg.sid AND contains(f.text[seg.seg_start + 1 : seg.seg_end], k))""")
+#: Places where n-grams of the gate start, from two before the text on, and segments that these or words propose.
+_PROPOSED = _GATE.replace(f"{_W_SQL}, ", "", 1) + f""", gpos AS (SELECT sid, text, unnest(range(-2, length(text)))::INT AS pos FROM firsts),
+gch AS (SELECT sid, pos, {", ".join(_char(d) for d in (0, 1, 2))} FROM gpos),
+hits AS (SELECT sid, pos, arity FROM gch JOIN gate ON (arity = 2 AND key = c2 || c3) OR (arity = 3 AND key = c2 || c3 || c4)),
+words3 AS (SELECT f.sid, strpos(text[i :], word) + i - 2 AS s, length(word) AS n FROM (SELECT sid, text, unnest(range(1, length(text) + 1)) AS i FROM firsts) f JOIN lexicon l ON length(word) >= 3 AND starts_with(f.text[i :], word)),
+wanted AS (SELECT DISTINCT seg.* FROM seg JOIN hits h ON h.sid = seg.sid AND h.pos + h.arity > seg_start AND h.pos < seg_end UNION SELECT DISTINCT seg.* FROM seg JOIN words3 w ON w.sid = seg.sid AND w.s >= seg_start AND w.s + w.n <= seg_end)"""
+
+
+@query(sql.base(_W_SQL, _SEG, sql.LEXICON, _PROPOSED) + " SELECT sid, seg_start, seg_end::INT AS seg_end FROM wanted")
 def segment_proposals(spark, sf_dir):
-    s = cq.firsts(spark, sf_dir)
-    return provider.proposed(provider.segments(s), s, gt.proposals(weight_table(spark), 7_000_000, 400_000), cq.lexicon(spark, sf_dir))
+    gate = gt.proposals(weight_table(spark), 7_000_000, 400_000)
+    return provider.proposed(cq.firsts(spark, sf_dir), gate, cq.lexicon(spark, sf_dir), weight_table(spark))
 
 
-_PROVIDED = _EMIT + ", " + _SEG + ", " + sql.LEXICON + ", tr(prev, state, t, ord) AS (VALUES " + _PATHS.split("tr(prev, state, t, ord) AS (VALUES ")[1].split("),\nel AS")[0] + """),
-el AS (SELECT g.sid, g.seg_start, em.pos, unnest(['O', 'B', 'M', 'E', 'S']) AS state, unnest([o, b, m, e, s]) AS x FROM em JOIN seg g ON g.sid = em.sid AND em.pos >= g.seg_start AND em.pos < g.seg_end),
+# Ties are broken in the order O, E, S; B, M. A segment starts from <START> or from O, and moves to O where text follows.
+_RUN_ORDER = {"O": 0, "E": 1, "S": 2, "B": 0, "M": 1}
+_RUN = "tr(prev, state, t, ord) AS (VALUES " + ", ".join(f"('{viterbi.STATES[p]}', '{viterbi.STATES[c]}', {_T(viterbi.STATES[p], viterbi.STATES[c])}, {_RUN_ORDER[viterbi.STATES[p]]})" for c, ps in enumerate(viterbi.BEFORE) for p in ps)
+_RUN += "), st(state, first, later) AS (VALUES " + ", ".join(f"('{s}', {_T('<START>', s)}, {_T('O', s)})" for s in "OBS") + "), fin(state, t, ord) AS (VALUES " + ", ".join(f"('{s}', {_T(s, 'O')}, {i})" for i, s in enumerate("OES")) + ")"
+
+
+def _provided(which: str) -> str:
+    """Candidates of the segments of a table."""
+    return f"""{_RUN},
+el AS (SELECT g.sid, g.seg_start, em.pos, unnest(['O', 'B', 'M', 'E', 'S']) AS state, unnest([o, b, m, e, s]) AS x FROM em JOIN {which} g ON g.sid = em.sid AND em.pos >= g.seg_start AND em.pos < g.seg_end),
 walk AS (
-  SELECT el.sid, el.seg_start, el.pos, el.state, el.x + st.t AS score, el.state AS path FROM el JOIN st ON st.state = el.state WHERE el.pos = el.seg_start
+  SELECT el.sid, el.seg_start, el.pos, el.state, el.x + CASE WHEN el.pos = 0 THEN st.first ELSE st.later END AS score, el.state AS path FROM el JOIN st ON st.state = el.state WHERE el.pos = el.seg_start
   UNION ALL
   SELECT sid, seg_start, pos, state, score, path FROM (
     SELECT w.sid, w.seg_start, el.pos, el.state, w.score + tr.t + el.x AS score, w.path || el.state AS path, row_number() OVER (PARTITION BY w.sid, w.seg_start, el.state ORDER BY w.score + tr.t DESC, tr.ord) AS r
     FROM walk w JOIN tr ON tr.prev = w.state JOIN el ON el.sid = w.sid AND el.seg_start = w.seg_start AND el.pos = w.pos + 1 AND el.state = tr.state) WHERE r = 1
 ),
-best AS (SELECT sid, seg_start, path FROM (SELECT w.*, row_number() OVER (PARTITION BY w.sid, w.seg_start ORDER BY score DESC, CASE state WHEN 'O' THEN 0 WHEN 'E' THEN 1 ELSE 2 END) AS r FROM walk w JOIN seg g ON g.sid = w.sid AND g.seg_start = w.seg_start AND w.pos = g.seg_end - 1 WHERE state IN ('O', 'E', 'S')) WHERE r = 1),
+best AS (SELECT sid, seg_start, path FROM (SELECT w.*, row_number() OVER (PARTITION BY w.sid, w.seg_start ORDER BY score + CASE WHEN g.seg_end < length(f.text) THEN fin.t ELSE 0 END DESC, fin.ord) AS r
+  FROM walk w JOIN {which} g ON g.sid = w.sid AND g.seg_start = w.seg_start AND w.pos = g.seg_end - 1 JOIN firsts f ON f.sid = w.sid JOIN fin ON fin.state = w.state) WHERE r = 1),
 sp AS (SELECT sid, seg_start + i AS start, seg_start + i + length(regexp_extract(path[i + 1 :], '^(S|BM*E)', 1)) AS "end" FROM (SELECT *, unnest(range(0, length(path))) AS i FROM best)),
 sc AS (SELECT sp.sid, start, "end", sum(CASE WHEN "end" - start = 1 THEN s - greatest(o, b, m, e) WHEN pos = start THEN b - greatest(o, m, e, s) WHEN pos = "end" - 1 THEN e - greatest(o, b, m, s) ELSE m - greatest(o, b, e, s) END) / count(*) / 1000000 AS margin
   FROM sp JOIN em ON em.sid = sp.sid AND em.pos >= start AND em.pos < "end" WHERE "end" - start BETWEEN 2 AND 64 GROUP BY sp.sid, start, "end")"""
 
 
-@query(sql.base(_PROVIDED) + r""" SELECT sc.sid, start::INT AS start, "end"::INT AS "end", round(least(400.0::DOUBLE, margin * 3.0::DOUBLE - 10.0::DOUBLE), 6) AS score, round(margin, 6) AS margin FROM sc JOIN firsts f ON f.sid = sc.sid
-WHERE margin >= 0.5 AND f.text[start + 1 : "end"] NOT IN (SELECT word FROM lexicon)
-AND NOT (start > 0 AND regexp_full_match(substring(text, start, 2), '[0-9A-Za-z]{2}')) AND NOT ("end" < length(text) AND regexp_full_match(substring(text, "end", 2), '[0-9A-Za-z]{2}'))""")
+_KEPT = r""" SELECT sc.sid, start::INT AS start, "end"::INT AS "end", round(least(400.0::DOUBLE, margin * 3.0::DOUBLE - 10.0::DOUBLE), 6) AS score, round(margin, 6) AS margin FROM sc JOIN firsts f ON f.sid = sc.sid
+WHERE margin >= {least} AND f.text[start + 1 : "end"] NOT IN (SELECT word FROM lexicon)
+AND NOT (start > 0 AND regexp_full_match(substring(text, start, 2), '[0-9A-Za-z]{{2}}')) AND NOT ("end" < length(text) AND regexp_full_match(substring(text, "end", 2), '[0-9A-Za-z]{{2}}'))"""
+
+
+@query(sql.base(_EMIT, _SEG, sql.LEXICON, _provided("seg")) + _KEPT.format(least=0.5))
 def provider_candidates(spark, sf_dir):
     return provider.candidates(cq.firsts(spark, sf_dir), weight_table(spark), TRANSITIONS, cq.lexicon(spark, sf_dir), provider.Options(min_margin=0.5))
 
 
+#: Weights large enough for the provider's own margin, with a gate.
+STRONG = 20
+
+
+def strong_weights(spark: SparkSession) -> DataFrame:
+    return weight_table(spark).select("feature", *[(F.col(s) * STRONG).alias(s) for s in "obmes"])
+
+
+_STRONG_EMIT = _EMIT.replace(", em AS (SELECT f.sid, f.pos, " + ", ".join(f"coalesce(sum(w.{s}), 0)::BIGINT AS {s}" for s in "obmes"), ", em AS (SELECT f.sid, f.pos, " + ", ".join(f"coalesce(sum(w.{s}), 0)::BIGINT * {STRONG} AS {s}" for s in "obmes"))
+
+
+@query(sql.base(_STRONG_EMIT, _SEG, sql.LEXICON, _PROPOSED, _provided("wanted")) + _KEPT.format(least=35.0))
+def provider_gated(spark, sf_dir):
+    """The provider as it runs by default: gate and entity words first, margin 35."""
+    gate = gt.proposals(weight_table(spark), 7_000_000, 400_000)
+    words = cq.lexicon(spark, sf_dir)
+    return provider.candidates(cq.firsts(spark, sf_dir), strong_weights(spark), TRANSITIONS, words, gate=gate, entities=words)
+
+
 # --- training and extension points (no SQL) ------------------------------------------
 
 

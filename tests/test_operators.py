@@ -187,3 +187,28 @@ def test_streamed_annotation_resumes(spark, tmp_path):
 def test_sentences_of_empty_and_null(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "long enough? yes it is!")], "doc_id long, text string")
     assert [r.text for r in corpus.sentences(d, keep=("doc_id",)).collect()] == ["long enough?", "yes it is!"]
+
+
+def test_segments_start_from_o_and_move_to_o(spark):
+    """By hand: "ab!cd"; only the second segment comes after text, only the first has text behind it."""
+    from spanforge.operators import provider
+
+    zero = [("c0=a", "B", 40), ("c0=b", "E", 40), ("c0=c", "B", 40), ("c0=d", "E", 40)]
+    rows = [(f, *[v * 1_000_000 if s == k else 0 for k in "OBMES"]) for f, s, v in zero]
+    w = spark.createDataFrame(rows, "feature string, o long, b long, m long, e long, s long")
+    text = spark.createDataFrame([("x", "ab!cd")], "sid string, text string")
+    none = spark.createDataFrame([], "word string")
+
+    def spans(moves):
+        return sorted((r.start, r.end, r.margin) for r in provider.candidates(text, w, {k: v * 1_000_000 for k, v in moves.items()}, none).collect())
+
+    assert spans({}) == [(0, 2, 40.0), (3, 5, 40.0)]
+    assert spans({("<START>", "B"): -500}) == [(3, 5, 40.0)]
+    assert spans({("O", "B"): -500}) == [(0, 2, 40.0)]
+    assert spans({("E", "O"): -500}) == [(3, 5, 40.0)]
+    gate = spark.createDataFrame([("b!c", 3)], "key string, arity int")
+    assert len(provider.candidates(text, w, {}, none, gate=gate).collect()) == 2  # it reaches into both
+    gate = spark.createDataFrame([("<BOS1>a", 2)], "key string, arity int")
+    assert [(r.start, r.end) for r in provider.candidates(text, w, {}, none, gate=gate).collect()] == [(0, 2)]
+    words = spark.createDataFrame([("cd",), ("b!cd",)], "word string")
+    assert not provider.candidates(text, w, {}, none, gate=gate.limit(0), entities=words).collect()  # two characters, or not inside
