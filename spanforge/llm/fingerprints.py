@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import parallelism, words
+from spanforge.llm.common import parallelism, stored, words
 
 #: At most so many ranges of ids; each is a task's share.
 MOST_RANGES = 4096
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct lower-case words of a text."""
-    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
+    """The distinct lower-case words of a text as numbers of 60 bits (from MD5, so that any engine can tell them)."""
+    return F.transform(F.array_distinct(words(F.lower(text))), lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long"))
 
 
-def _rare(t: Column, level: Column | int) -> Column:
+def _rare(t: Column, level: Column) -> Column:
     """Whether a lexicon of this level may hold a term: one term in 2**level."""
     return F.expr("(1L << 40) - 1").bitwiseAND(t) % F.pow(F.lit(2.0), level).cast("long") == 0
 
 
-def signature(held: Column, level: Column | int, lexicons: int) -> Column:
+def signature(held: Column, level: Column, lexicons: int) -> Column:
     """One hash for each randomised lexicon: of the sorted terms that the text has in it, or null."""
-    own = lambda k: F.array_sort(F.filter(held, lambda t: (F.pmod(F.shiftright(t, 40), F.lit(lexicons)) == k) & _rare(t, level)))
-    one = lambda s: F.when(F.size(s) > 0, F.xxhash64(s))
+    own = lambda k: F.array_sort(F.filter(held, lambda t: (F.shiftright(t, 40) % lexicons == k) & _rare(t, level)))
+    one = lambda s: F.when(F.size(s) > 0, F.substring(F.md5(F.array_join(F.transform(s, lambda t: t.cast("string")), ",")), 1, 16))
     return F.transform(F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda k: one(own(k)))
 
 
 def level_of(n_terms: Column, lexicons: int) -> Column:
-    """The level at which a lexicon meets one to two terms of a text."""
-    return F.when(n_terms < 2 * lexicons, 0).otherwise(F.floor(F.log2(n_terms / lexicons))).cast("int")
+    """The level at which a lexicon meets one to two of so many terms."""
+    return sum(((n_terms >= lexicons << i).cast("int") for i in range(1, 30)), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -57,7 +55,7 @@ def likeness(a: Column, b: Column) -> Column:
 def in_order(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds next_text, the text of the row with the next smaller id (after the last: the first).
 
-    Rows are dealt into ranges of ids by quantiles, at most MOST_RANGES of
+    Rows are dealt into ranges of ids by quantiles, MOST_RANGES at most, of
     which the driver knows only the borders, and shuffled once; the last row of
     a range takes the first text of the next range that has rows. Equal ids
     stand in the order of their texts' hashes, null ids come last. Also adds
@@ -84,35 +82,44 @@ def in_order(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(*rows.columns, F.coalesce("_next", "_text").alias("next_text"), (F.shiftleft(F.col("_part").cast("long") + 1, 40) + F.col("_rn")).alias("_row"))
 
 
-def fingerprint_edited(
-    docs: DataFrame, lexicons: int = 16, least_docs: int = 2, low_idf: float = math.log(5.0), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def fingerprint_edited(docs: DataFrame, lexicons: int = 16, least_docs: int = 2, one_in: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and of the next text.
 
-    The band keeps terms that `least_docs` documents have and whose inverse
-    document frequency ln(documents / documents with the term) is `low_idf` or
-    more. A text none of whose chosen terms is in the band uses all of them
-    instead (its fingerprint says so). A lexicon of level L holds one term in
-    `lexicons` * 2**L, chosen by hash; a text takes the level at which each lexicon
-    meets one to two of its terms, and the next one. Its fingerprint is the
-    hash of its sorted terms in each lexicon at both levels.
-
-    A null text counts as empty; an empty one has a fingerprint without
-    terms, like only its equals. Rows with equal or null ids are rows by
-    themselves. One document is its own next one. An empty table gives no
-    rows; other columns are left out. Document frequencies count all rows.
+    The band keeps terms that `least_docs` documents have and no more than one
+    document in `one_in` (an inverse document frequency of ln(one_in) or more).
+    A lexicon is a random subset of the band: at level L, one of its terms in
+    `lexicons` * 2**L, by hash. A text takes the level at which each lexicon
+    meets one to two of its terms that aren't too frequent, and the next one; its fingerprint is
+    the hash of its sorted terms in each lexicon at both levels. A text that
+    has no term of the band in any lexicon uses the rarer terms that it has
+    there instead (its fingerprint says so).
+
+    The upper edge of the band is a set of at most one_in * (distinct terms of a
+    mean document) terms, as each has a share 1 / one_in of all documents; it is
+    broadcast and taken out of every text first. The lower edge is then looked
+    up, by a join, for those terms alone that lexicons of the text's level hold;
+    the result is the same as if it had been for all.
+
+    Texts whose levels differ by more than one have likeness 0: one has more
+    than twice as many terms as the other. A null text counts as empty; an empty one has a fingerprint without
+    terms, like only its equals. Very long texts are whole. Rows with equal or
+    null ids are rows by themselves. One document is its own next one. An empty
+    table gives no rows; other columns are left out, whatever their names.
+    Document frequencies count all rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = stored(rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_docs), "frequencies")
     total = rows.count()
-    df = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = df.where((F.col("df") >= least_docs) & (F.col("df") <= total * math.exp(-low_idf))).select("term", F.lit(True).alias("banded"))
+    often = F.col("df") * one_in > total
+    frequent = df.where(often).agg(F.collect_list("term").alias("_frequent"))
+    band = df.where(~often).select("term", F.lit(True).alias("banded"))
     r = in_order(rows, "doc_id", "text")
     r = r.withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
     r = r.withColumn("edited", F.concat(F.expr("substring(text, 1, n - cut)"), F.expr("substring(next_text, 1, cut)")))
     kinds = ("text", "edited", "next_text")
-    for k in kinds:
-        r = r.withColumn(f"t_{k}", terms(F.col(k)))
-    r = r.select("_row", "doc_id", "n", F.sha2("edited", 256).alias("sha"), *[F.col(f"t_{k}") for k in kinds], *[level_of(F.size(f"t_{k}"), lexicons).alias(f"l_{k}") for k in kinds])
+    r = r.join(F.broadcast(frequent))  # one row
+    r = r.select("_row", "doc_id", "n", F.sha2("edited", 256).alias("sha"), *[F.array_except(terms(F.col(k)), "_frequent").alias(f"t_{k}") for k in kinds])
+    r = r.select("*", *[level_of(F.size(f"t_{k}"), lexicons).alias(f"l_{k}") for k in kinds])
     choose = lambda k: F.filter(f"t_{k}", lambda t: _rare(t, F.col(f"l_{k}")))
     chosen = [choose(k) for k in kinds]
     r = r.select("_row", "doc_id", "n", "sha", *[c.alias(f"c_{k}") for k, c in zip(kinds, chosen, strict=True)], *[F.col(f"l_{k}") for k in kinds])
@@ -136,7 +143,7 @@ def fingerprint_edited(
         level = F.col(f"head.l_{k}")
         g = g.withColumn(f"f_{k}", F.struct(F.col(f"b_{k}").alias("banded"), level.alias("level"), signature(F.col(f"h_{k}"), level, lexicons).alias("fine"), signature(F.col(f"h_{k}"), level + 1, lexicons).alias("coarse")))
     g = g.select("head", *[F.col(f"f_{k}") for k in kinds])
-    text = lambda f: F.concat_ws(":", F.when(f["banded"], "b").otherwise("a"), f["level"].cast("string"), *[F.array_join(F.transform(f[x], lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-"))), ",") for x in ("fine", "coarse")])
+    text = lambda f: F.concat_ws(":", F.when(f["banded"], "b").otherwise("a"), f["level"].cast("string"), *[F.array_join(f[x], ",", "-") for x in ("fine", "coarse")])
     return g.select(
         F.col("head.doc_id").alias("doc_id"), F.col("head.n").cast("long").alias("n_chars"), F.col("head.sha").alias("edited_sha256"),
         text(F.col("f_text")).alias("fingerprint"), text(F.col("f_edited")).alias("edited_fingerprint"),
