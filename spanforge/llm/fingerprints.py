@@ -10,6 +10,8 @@ from spanforge.llm.common import parallelism, stored, words
 
 #: At most so many ranges of ids; each is a task's share.
 MOST_RANGES = 4096
+#: A text needs so many terms that aren't too frequent.
+FEW = 4
 
 
 def terms(text: Column) -> Column:
@@ -92,7 +94,8 @@ def fingerprint_edited(docs: DataFrame, lexicons: int = 16, least_docs: int = 2,
     meets one to two of its terms that aren't too frequent, and the next one; its fingerprint is
     the hash of its sorted terms in each lexicon at both levels. A text that
     has no term of the band in any lexicon uses the rarer terms that it has
-    there instead (its fingerprint says so).
+    there instead (its fingerprint says so); one that has less than FEW terms
+    which aren't too frequent uses those that are, too.
 
     The upper edge of the band is a set of at most one_in * (distinct terms of a
     mean document) terms, as each has a share 1 / one_in of all documents; it is
@@ -118,7 +121,9 @@ def fingerprint_edited(docs: DataFrame, lexicons: int = 16, least_docs: int = 2,
     r = r.withColumn("edited", F.concat(F.expr("substring(text, 1, n - cut)"), F.expr("substring(next_text, 1, cut)")))
     kinds = ("text", "edited", "next_text")
     r = r.join(F.broadcast(frequent))  # one row
-    r = r.select("_row", "doc_id", "n", F.sha2("edited", 256).alias("sha"), *[F.array_except(terms(F.col(k)), "_frequent").alias(f"t_{k}") for k in kinds])
+    r = r.select("_row", "doc_id", "n", F.sha2("edited", 256).alias("sha"), "_frequent", *[terms(F.col(k)).alias(f"t_{k}") for k in kinds])
+    rarer = lambda k: F.array_except(f"t_{k}", "_frequent")
+    r = r.select("_row", "doc_id", "n", "sha", *[F.when(F.size(rarer(k)) < FEW, F.col(f"t_{k}")).otherwise(rarer(k)).alias(f"t_{k}") for k in kinds])
     r = r.select("*", *[level_of(F.size(f"t_{k}"), lexicons).alias(f"l_{k}") for k in kinds])
     choose = lambda k: F.filter(f"t_{k}", lambda t: _rare(t, F.col(f"l_{k}")))
     chosen = [choose(k) for k in kinds]

@@ -91,14 +91,16 @@ def _likeness(x: str, y: str) -> str:
 _FINGERPRINTS = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) AS r, count(*) OVER () AS total FROM documents),
 e AS (SELECT a.doc_id, a.text, b.text AS nxt, left(a.text, length(a.text) - length(a.text) // 3) || left(b.text, length(a.text) // 3) AS edited FROM d a JOIN d b ON b.r = a.r % a.total + 1),
 x AS (SELECT doc_id, unnest([0, 1, 2]) AS k, unnest([text, edited, nxt]) AS s FROM e),
-t AS (SELECT DISTINCT doc_id, k, unnest(list_transform(list_distinct(regexp_extract_all(lower(s), '[^ 	-]+')), lambda w: ('0x' || md5(w)[1:15])::BIGINT)) AS h FROM x),
+t AS (SELECT DISTINCT doc_id, k, unnest(list_transform(list_distinct(regexp_extract_all(lower(s), '[^ 	-
+]+')), lambda w: ('0x' || md5(w)[1:15])::BIGINT)) AS h FROM x),
 df AS (SELECT h, count(*) AS df FROM t WHERE k = 0 GROUP BY h),
-u AS (SELECT t.*, df FROM t LEFT JOIN df USING (h) WHERE coalesce(df, 0) * 5 <= (SELECT count(*) FROM documents)),
+m AS (SELECT t.*, df, coalesce(df, 0) * 5 <= (SELECT count(*) FROM documents) AS rarer FROM t LEFT JOIN df USING (h)),
+u AS (SELECT * EXCLUDE (rarer, few) FROM (SELECT *, count(*) FILTER (WHERE rarer) OVER (PARTITION BY doc_id, k) < 4 AS few FROM m) WHERE rarer OR few),
 lv AS (SELECT doc_id, k, len(list_filter(range(1, 30), lambda i: count(*) >= 16 * (1::BIGINT << i))) AS level FROM u GROUP BY doc_id, k),
 c AS (SELECT u.*, level FROM u JOIN lv USING (doc_id, k) WHERE {_MASK} % (1::BIGINT << level) = 0),
-b AS (SELECT doc_id, k, bool_or(coalesce(df, 0) >= 2) AS banded FROM c GROUP BY doc_id, k),
+b AS (SELECT doc_id, k, bool_or(coalesce(df, 0) >= 2 AND df * 5 <= (SELECT count(*) FROM documents)) AS banded FROM c GROUP BY doc_id, k),
 sig AS (SELECT doc_id, k, (h >> 40) % 16 AS l, substr(md5(string_agg(h::VARCHAR, ',' ORDER BY h)), 1, 16) AS fine, substr(md5(string_agg(h::VARCHAR, ',' ORDER BY h) FILTER (WHERE {_MASK} % (1::BIGINT << (level + 1)) = 0)), 1, 16) AS coarse
-  FROM c JOIN b USING (doc_id, k) WHERE df >= 2 OR NOT banded GROUP BY doc_id, k, (h >> 40) % 16),
+  FROM c JOIN b USING (doc_id, k) WHERE (df >= 2 AND df * 5 <= (SELECT count(*) FROM documents)) OR NOT banded GROUP BY doc_id, k, (h >> 40) % 16),
 g AS (SELECT x.doc_id, x.k, list(fine ORDER BY lex.l) AS fine, list(coarse ORDER BY lex.l) AS coarse FROM x CROSS JOIN (SELECT unnest(range(16)) AS l) lex LEFT JOIN sig ON sig.doc_id = x.doc_id AND sig.k = x.k AND sig.l = lex.l GROUP BY x.doc_id, x.k),
 f AS (SELECT g.*, coalesce(level, 0) AS level, concat_ws(':', CASE WHEN banded THEN 'b' ELSE 'a' END, coalesce(level, 0)::VARCHAR, array_to_string(list_transform(fine, lambda z: coalesce(z, '-')), ','), array_to_string(list_transform(coarse, lambda z: coalesce(z, '-')), ',')) AS shown
   FROM g LEFT JOIN lv USING (doc_id, k) LEFT JOIN b USING (doc_id, k))
