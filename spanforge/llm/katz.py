@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import exchange
 from spanforge.llm.common import stored
-from spanforge.llm.exchange import Block, mix, pack, unpack, unpack_sorted
+from spanforge.llm.exchange import Block, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Counts above this are not discounted.
 TOP = 5
@@ -59,9 +59,8 @@ class Level:
 class Grams:
     """A block as symbols with a start and an end for each document, and its n-grams."""
 
-    def __init__(self, row: dict, held: tuple[int, int], bits: int = 64):
+    def __init__(self, row: dict, held: tuple[int, int]):
         b = self.block = Block(row)
-        self.mask = np.uint64((1 << 64) - (1 << (64 - bits)))
         n = b.counts
         self.first = np.concatenate([[0], np.cumsum(n + 2)])
         size = int(self.first[-1])
@@ -84,7 +83,7 @@ class Grams:
     def key(self, m: int) -> np.ndarray:
         """Hash of the m symbols that end at each place."""
         if m not in self.keys:
-            x = self.symbols if m == 1 else mix(np.concatenate([self.key(m - 1)[:1], self.key(m - 1)[:-1]]) * _BASE + self.symbols) & self.mask
+            x = self.symbols if m == 1 else mix(np.concatenate([self.key(m - 1)[:1], self.key(m - 1)[:-1]]) * _BASE + self.symbols)
             self.keys[m] = x
         return self.keys[m]
 
@@ -140,10 +139,18 @@ class Grams:
 
 
 _STATS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("data", pa.binary()), ("size", pa.int32())])
+#: Rows of a bucket that aren't answers to a block: counts of counts, and its part of the model's table.
+_COUNTED, _KEYS, _VALUES = "#", "=keys", "=values"
+
+
+def _table(bucket: int, keys: np.ndarray, values: np.ndarray) -> list[dict]:
+    """A bucket's part of a table: its sorted keys, and eight bytes or so for each."""
+    (k, ks), (v, vs) = pack_sorted(keys), pack(values)
+    return [{"block": _KEYS, "bucket": bucket, "data": k, "size": ks}, {"block": _VALUES, "bucket": bucket, "data": v, "size": vs}]
 
 
 def _counts(t: pa.Table, skip: np.uint64 | None) -> pa.Table:
-    """Counts of a bucket over all blocks: an answer to each, and a row of counts of counts."""
+    """Counts of a bucket over all blocks: an answer to each, a row of counts of counts, and the table."""
     rows = t.sort_by("block").to_pylist()
     lists = [unpack_sorted(r["hashes"], r["hashes_size"]) for r in rows]
     own = np.concatenate([unpack(r["extra"], r["extra_size"], np.uint32) for r in rows]).astype(np.int64)
@@ -159,8 +166,8 @@ def _counts(t: pa.Table, skip: np.uint64 | None) -> pa.Table:
     seen = total if skip is None else total[keys != skip]
     hist = np.bincount(np.minimum(seen, TOP + 2), minlength=TOP + 3)
     stats = np.concatenate([hist, [seen.sum(), (seen > 0).sum()]]).astype(np.int64).tobytes()
-    out.append({"block": "", "bucket": 2 * rows[0]["bucket"], "data": stats, "size": len(stats)})
-    return pa.Table.from_pylist(out, schema=_STATS)
+    out.append({"block": _COUNTED, "bucket": rows[0]["bucket"], "data": stats, "size": len(stats)})
+    return pa.Table.from_pylist(out + _table(rows[0]["bucket"], keys[total > 0], total[total > 0]), schema=_STATS)
 
 
 def _read_counts(t: pa.Table) -> np.ndarray:
@@ -169,13 +176,12 @@ def _read_counts(t: pa.Table) -> np.ndarray:
 
 
 def _totals(t: pa.Table) -> pa.Table:
-    """Sums of a bucket's histories over all blocks, for the blocks that want them."""
+    """Sums of a bucket's histories over all blocks, for the blocks that want them, and the table."""
     rows = t.sort_by("block").to_pylist()
     lists = [unpack_sorted(r["hashes"], r["hashes_size"]) for r in rows]
     extra = [unpack(r["extra"], r["extra_size"], "V16").view(np.float64) for r in rows]
     keys, number = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.zeros((len(keys), 2))
-    start = 0
     out = []
     for want in (False, True):
         start = 0
@@ -188,104 +194,156 @@ def _totals(t: pa.Table) -> pa.Table:
                     out.append({"block": r["block"][1:], "bucket": r["bucket"], "data": data, "size": size})
                 else:
                     total[at] += e.reshape(-1, 2)
-    return pa.Table.from_pylist(out, schema=_STATS)
+    some = total[:, 0] > 0
+    return pa.Table.from_pylist(out + _table(rows[0]["bucket"], keys[some], np.ascontiguousarray(total[some]).view("V16").reshape(-1)), schema=_STATS)
 
 
-def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block_words: int = 1 << 21) -> DataFrame:
-    """log10 probability of every whole text under a Katz model of the documents that aren't held out.
+def _looked_up(kind: str, t: pa.Table, table: pa.Table) -> pa.Table:
+    """Answers to the requests of a bucket from its part of a stored table: zeros for what isn't there."""
+    part = {r["block"]: r for r in table.to_pylist()}
+    keys = unpack_sorted(part[_KEYS]["data"], part[_KEYS]["size"]) if part else np.zeros(0, np.uint64)
+    width = np.int64 if kind == "count" else np.dtype("V16")
+    values = unpack(part[_VALUES]["data"], part[_VALUES]["size"], width) if len(keys) else np.zeros(0, width)
+    out = []
+    for r in t.to_pylist():
+        asked = unpack_sorted(r["hashes"], r["hashes_size"])
+        at = np.searchsorted(keys, asked)
+        at[at == len(keys)] = 0
+        known = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+        said = np.zeros(len(asked), width)
+        said[known] = values[at[known]]
+        data, size = pack((said * 2).astype(np.uint64) if kind == "count" else said.view(np.float64))
+        out.append({"block": r["block"], "bucket": r["bucket"] * 2 + 1 if kind == "count" else r["bucket"], "data": data, "size": size})
+    return pa.Table.from_pylist(out, schema=_STATS)
 
-    Tokens: lower-case (A-Z) words, then one end. Single tokens have
-    Good-Turing discounted chances, what is left is the chance of the one
-    unknown type, as in the base. An n-gram that was seen has its discounted
-    relative count; else its history's backoff weight times the chance of one
-    order less, recursively; a history that wasn't seen is passed over. Weights
-    are exact: 1 - (sum of the seen) over 1 - (sum of the same, one order less).
 
-    Counts of all training documents meet by hash in buckets, which are the
-    tables' partitions; a block of documents asks for each of its n-grams once
-    and is answered with the count, written to the shared folder. One block
-    owns each n-gram and adds it to its history's sums, so a history of a third
-    of all tokens is one item a block. The driver sees counts of counts only.
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    n-grams are known by a hash of 24 bits more than the number of tokens has
-    (48 at least), so one in 16 million that weren't seen is taken for another,
-    at any size.
 
-    held_out: crc32 of the id as text, modulo `folds`, is `held_out`; null ids
-    aren't. Null texts are empty: one token, the end. Repeated rows count each.
-    An empty table gives no rows; other columns are left out. Returns doc_id,
-    held_out, n_tokens, n_known, train_tokens, base_score, score.
-    """
-    spark = docs.sparkSession
-    fold = (folds, held_out)
-    made = stored(exchange.blocks(docs, id_col, text_col, lower=True, block_words=block_words), "blocks")
-    buckets = exchange.buckets_of(made)
-    levels: dict[int, Level] = {}
-    answers: list[tuple[str, int, DataFrame]] = []
-    start_key = mix(np.array([START], np.uint64))[0]
+class Steps:
+    """What blocks have been told so far, order by order, and how they go on from it."""
 
-    def known(row: dict, said: pa.Table) -> Grams:
-        """A block with all that it has been told."""
-        g = Grams(row, fold, bits)
-        for k, (kind, m, _) in enumerate(answers_seen):
-            own = said.filter(pc.equal(said["stage"], k))
-            if kind == "count":
-                g.learn(m, _read_counts(own))
-                if m == 1:
-                    g.base(levels[1])
-            else:
-                got = own.sort_by("bucket").to_pylist()
-                sums = np.concatenate([unpack(r["data"], r["size"], np.float64) for r in got]).reshape(-1, 2) if got else np.zeros((0, 2))
-                g.back_off(m, levels[m].d, sums)
-        return g
-
-    def told() -> DataFrame:
+    def __init__(self, made: DataFrame, fold: tuple[int, int], buckets: int, levels: dict[int, Level]):
+        self.made, self.fold, self.buckets, self.levels = made, fold, buckets, levels
+        self.answers: list[tuple[str, int, DataFrame]] = []
+
+    def told(self) -> DataFrame:
         out = None
-        for k, (_, _, df) in enumerate(answers):
-            part = df.where("block <> ''").withColumn("stage", F.lit(k))
+        for k, (_, _, df) in enumerate(self.answers):
+            part = df.where("block <> '#' and not startswith(block, '=')").withColumn("stage", F.lit(k))
             out = part if out is None else out.union(part)
         return out
 
-    def keep(kind: str, m: int, df: DataFrame) -> None:
-        df = stored(df, f"{kind}{m}")
-        answers.append((kind, m, df))
-        if kind == "count":
-            stats = np.array([np.frombuffer(bytes(r.data), np.int64) for r in df.where("block = ''").select("data").toLocalIterator()]).reshape(-1, TOP + 5).sum(axis=0)
-            levels[m] = Level(stats[: TOP + 3].tolist(), int(stats[-2]), int(stats[-1]))
-
-    def asker(m: int):
-        """Asks for the counts of a block's m-grams."""
-
-        def one(row: dict, g: Grams) -> list[dict]:
-            keys, _, count, _, _ = g.distinct(m)
-            return exchange.questions(row["block"], keys, count.astype(np.uint32), buckets)
+    def each(self, one: Callable[[dict, Grams], list[dict]], schema: str, kind: pa.Schema) -> DataFrame:
+        """one(row, its Grams with all that it has been told) -> rows, for each block."""
+        fold, levels, seen = self.fold, dict(self.levels), [(k, m) for k, m, _ in self.answers]
+
+        def known(row: dict, said: pa.Table | None) -> Grams:
+            g = Grams(row, fold)
+            for k, (what, m) in enumerate(seen):
+                own = said.filter(pc.equal(said["stage"], k))
+                if what == "count":
+                    g.learn(m, _read_counts(own))
+                    if m == 1:
+                        g.base(levels[1])
+                else:
+                    got = own.sort_by("bucket").to_pylist()
+                    g.back_off(m, levels[m].d, np.concatenate([unpack(r["data"], r["size"], np.float64) for r in got]).reshape(-1, 2) if got else np.zeros((0, 2)))
+            return g
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    yield from exchange.asked(one(row, Grams(row, fold))).to_batches()
+                    yield from pa.Table.from_pylist(one(row, known(row, None)), schema=kind).to_batches()
 
         def later(t: pa.Table, said: pa.Table) -> pa.Table:
-            return exchange.asked([x for row in t.to_pylist() for x in one(row, known(row, said))])
+            return pa.Table.from_pylist([x for row in t.to_pylist() for x in one(row, known(row, said))], schema=kind)
+
+        if not seen:
+            return self.made.mapInArrow(first, schema)
+        return self.made.groupBy("block").cogroup(self.told().groupBy("block")).applyInArrow(later, schema)
+
+    def ask_counts(self, m: int) -> DataFrame:
+        """Asks for the counts of a block's m-grams, and tells its own."""
+        buckets = self.buckets
+
+        def one(row: dict, g: Grams) -> list[dict]:
+            keys, _, count, _, _ = g.distinct(m)
+            return exchange.questions(row["block"], keys, count.astype(np.uint32), buckets)
 
-        if m == 1:
-            return made.mapInArrow(first, exchange.ASK)
-        return made.groupBy("block").cogroup(told().groupBy("block")).applyInArrow(later, exchange.ASK)
+        return self.each(one, exchange.ASK, exchange._ASK)
 
-    def adder(m: int):
-        """Sends sums over owned m-grams by history, and asks for those of wanted histories."""
+    def ask_sums(self, m: int, add: bool) -> DataFrame:
+        """Asks for the sums of wanted histories; with `add`, sends those over owned m-grams too."""
+        buckets, d = self.buckets, self.levels[m].d
 
-        def add(t: pa.Table, said: pa.Table) -> pa.Table:
+        def one(row: dict, g: Grams) -> list[dict]:
             out = []
-            for row in t.to_pylist():
-                g = known(row, said)
-                keys, mass, lower = g.sums(m, levels[m].d)
-                out += exchange.questions(row["block"], keys, np.stack([mass, lower], axis=1).view("V16").reshape(-1), buckets)
-                _, keys, _ = g.wanted(m)
-                out += exchange.questions("?" + row["block"], keys, np.zeros(len(keys), "V16"), buckets)
-            return exchange.asked(out)
+            if add:
+                keys, mass, lower = g.sums(m, d)
+                out = exchange.questions(row["block"], keys, np.stack([mass, lower], axis=1).view("V16").reshape(-1), buckets)
+            _, keys, _ = g.wanted(m)
+            return out + exchange.questions(("?" if add else "") + row["block"], keys, np.zeros(len(keys), "V16"), buckets)
+
+        return self.each(one, exchange.ASK, exchange._ASK)
 
-        return made.groupBy("block").cogroup(told().groupBy("block")).applyInArrow(add, exchange.ASK)
+    def scores(self, order: int) -> DataFrame:
+        total, types = self.levels[1].tokens, self.levels[1].types
+
+        def one(row: dict, g: Grams) -> list[dict]:
+            token = np.flatnonzero(g.pos >= 1)
+            c, doc, n = g.count[1][token], g.doc[token], len(g.block.ids)
+            per = lambda x: np.bincount(doc, weights=x, minlength=n)
+            base = per(np.log10((c + 1.0) / (total + types + 1.0)))
+            best = per(np.log10(g.chance[order][token]))
+            size, seen = per(np.ones(len(token))).astype(int).tolist(), per(c > 0).astype(int).tolist()
+            return [
+                {"doc_id": doc_id, "held_out": bool(g.held[k]), "n_tokens": size[k], "n_known": seen[k], "train_tokens": total, "base_score": float(base[k]), "score": float(best[k])} for k, doc_id in enumerate(g.block.ids)
+            ]
+
+        return self.each(one, SCORED, _SCORED)
+
+
+class Model:
+    """A trained model: for each order a table of counts and one of the sums behind the backoff weights.
+
+    tables: (kind, order) -> stored rows (block, bucket, data, size), one pair
+    for each bucket of n-gram hashes; these are the partitions. levels: what the
+    driver knows of each order.
+    """
+
+    def __init__(self, order: int, buckets: int, fold: tuple[int, int], levels: dict[int, Level], tables: dict[tuple[str, int], DataFrame]):
+        self.order, self.buckets, self.fold, self.levels, self.tables = order, buckets, fold, levels, tables
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = 1 << 21) -> DataFrame:
+        """Scores of any documents by the stored tables; columns and rules as in `score`."""
+        made = stored(exchange.blocks(docs, id_col, text_col, lower=True, block_words=block_words), "blocks")
+        steps = Steps(made, self.fold, self.buckets, self.levels)
+        for m in range(1, self.order + 1):
+            for kind in ("count", "sums") if m > 1 else ("count",):
+                table = self.tables[kind, m].where("startswith(block, '=')")
+
+                def run(t: pa.Table, own: pa.Table, kind=kind) -> pa.Table:
+                    return _looked_up(kind, t, own)
+
+                asks = steps.ask_counts(m) if kind == "count" else steps.ask_sums(m, False)
+                steps.answers.append((kind, m, stored(asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_two(run), exchange.ANSWER), kind)))
+        return steps.scores(self.order)
+
+
+def _two(f):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return f(left, right)
+
+    return run
+
+
+def _learnt(docs: DataFrame, order: int, folds: int, held_out: int, id_col: str, text_col: str, block_words: int) -> tuple[Model, Steps]:
+    """The model of the documents that aren't held out, and what all documents were told on the way."""
+    made = stored(exchange.blocks(docs, id_col, text_col, lower=True, block_words=block_words), "blocks")
+    steps = Steps(made, (folds, held_out), exchange.buckets_of(made), {})
+    start_key = mix(np.array([START], np.uint64))[0]
 
     def counter(skip: np.uint64 | None):
         def run(t: pa.Table) -> pa.Table:
@@ -293,30 +351,43 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id
 
         return run
 
-    answers_seen: list = []
-    bits = 64
     for m in range(1, order + 1):
-        keep("count", m, asker(m).groupBy("bucket").applyInArrow(counter(start_key if m == 1 else None), exchange.ANSWER))
-        answers_seen = [(k, n, None) for k, n, _ in answers]
-        bits = min(64, max(48, 24 + levels[1].tokens.bit_length()))
+        df = stored(steps.ask_counts(m).groupBy("bucket").applyInArrow(counter(start_key if m == 1 else None), exchange.ANSWER), f"count{m}")
+        stats = np.array([np.frombuffer(bytes(r.data), np.int64) for r in df.where("block = '#'").select("data").toLocalIterator()]).reshape(-1, TOP + 5).sum(axis=0)
+        steps.levels[m] = Level(stats[: TOP + 3].tolist(), int(stats[-2]), int(stats[-1]))
+        steps.answers.append(("count", m, df))
         if m > 1:
-            keep("sums", m, adder(m).groupBy("bucket").applyInArrow(_totals, exchange.ANSWER))
-            answers_seen = [(k, n, None) for k, n, _ in answers]
-    kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def judge(t: pa.Table, said: pa.Table) -> pa.Table:
-        out = []
-        for row in t.to_pylist():
-            g = known(row, said)
-            token = np.flatnonzero(g.pos >= 1)
-            c, doc, n = g.count[1][token], g.doc[token], len(g.block.ids)
-            total, types = levels[1].tokens, levels[1].types
-            per = lambda x: np.bincount(doc, weights=x, minlength=n)
-            base = per(np.log10((c + 1.0) / (total + types + 1.0)))
-            best = per(np.log10(g.chance[order][token]))
-            size, seen = per(np.ones(len(token))).astype(int).tolist(), per(c > 0).astype(int).tolist()
-            for k, doc_id in enumerate(g.block.ids):
-                out.append({"doc_id": doc_id, "held_out": bool(g.held[k]), "n_tokens": size[k], "n_known": seen[k], "train_tokens": total, "base_score": float(base[k]), "score": float(best[k])})
-        return pa.Table.from_pylist(out, schema=kind)
+            steps.answers.append(("sums", m, stored(steps.ask_sums(m, True).groupBy("bucket").applyInArrow(_totals, exchange.ANSWER), f"sums{m}")))
+    return Model(order, steps.buckets, steps.fold, steps.levels, {(kind, m): df for kind, m, df in steps.answers}), steps
+
+
+def train(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block_words: int = 1 << 21) -> Model:
+    """The model of `score`, to score other documents with."""
+    return _learnt(docs, order, folds, held_out, id_col, text_col, block_words)[0]
 
-    return made.groupBy("block").cogroup(told().groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block_words: int = 1 << 21) -> DataFrame:
+    """log10 probability of every whole text under a Katz model of the documents that aren't held out.
+
+    Tokens: lower-case (A-Z) words, then one end. Single tokens have
+    Good-Turing discounted chances, what is left is the chance of the one
+    unknown type, as in the base. An n-gram that was seen has its discounted
+    relative count; else its history's backoff weight times the chance of one
+    order less, recursively; a history that wasn't seen is passed over. Weights
+    are exact: 1 - (sum of the seen) over 1 - (sum of the same, one order less).
+
+    Counts of all training documents meet by a 64-bit hash in buckets, which are
+    the partitions of the stored tables (see `Model`); a block of documents
+    asks for each of its n-grams once and is answered with the count in the same
+    pass. One block owns each n-gram and adds it to its history's sums, so a
+    history of a third of all tokens is one item a block. The driver sees counts
+    of counts only. Two n-grams of one hash would be one: with 2**40 of them, a
+    chance of one in 16 million for each.
+
+    held_out: crc32 of the id as text, modulo `folds`, is `held_out`; null ids
+    aren't. Null texts are empty: one token, the end. Very long texts are whole.
+    Repeated rows count each. An empty table gives no rows; other columns are
+    left out, whatever their names. Returns doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score.
+    """
+    return _learnt(docs, order, folds, held_out, id_col, text_col, block_words)[1].scores(order)

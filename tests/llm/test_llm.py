@@ -350,6 +350,16 @@ def test_katz_of_nothing(empty):
     assert katz.score(empty).count() == 0
 
 
+def test_katz_tables_score_other_documents(spark, docs):
+    model = katz.train(docs, order=3, block_words=400)
+    same = lambda df: sorted((ident(r), r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in df.collect())
+    assert same(model.score(docs.repartition(2), block_words=300)) == same(katz.score(docs, order=3, block_words=400))
+    other = spark.createDataFrame([(1, "term1 term2 never seen"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in model.score(other).collect()}
+    assert (got[1].n_tokens, got[1].n_known) == (5, 3) and got[2].n_tokens == 1 and got[1].score < got[2].score < 0
+    assert model.score(other.limit(0)).count() == 0
+
+
 def greedy(sizes, capacity):
     runs, room = 1, capacity
     for s in sizes:
