@@ -96,9 +96,9 @@ def length_bucket(n: Column) -> Column:
 
 
 def entity_tags(kind: Column | None, n: Column) -> Column:
-    """Tags of an entity of n characters."""
+    """Tags of an entity of n characters; none if there are none."""
     tag = (lambda p: F.lit(p)) if kind is None else (lambda p: F.concat(F.lit(p + "_"), kind))
-    return F.when(n == 1, F.array(tag("S"))).otherwise(F.concat(F.array(tag("B")), F.array_repeat(tag("M"), (n - 2).cast("int")), F.array(tag("E"))))
+    return F.when(n < 1, F.array().cast("array<string>")).when(n == 1, F.array(tag("S"))).otherwise(F.concat(F.array(tag("B")), F.array_repeat(tag("M"), (n - 2).cast("int")), F.array(tag("E"))))
 
 
 def fnv1a64(value: Column) -> Column:

@@ -59,6 +59,18 @@ def coverage(gold: DataFrame, candidates: DataFrame, key: str = "sid") -> DataFr
     return out.select(F.coalesce("type", F.lit("ALL")).alias("type"), "gold", "covered", F.round(F.when(F.col("gold") > 0, F.col("covered") / F.col("gold")).otherwise(1.0), 6).alias("coverage"))
 
 
+def density(cases: DataFrame, candidates: DataFrame, key: str = "sid") -> DataFrame:
+    """One row: characters, distinct candidates, and candidates a 1,000 characters."""
+    n = candidates.select(key, "start", "end").distinct().groupBy(key).agg(F.count("*").alias("n"))
+    out = cases.select(key, F.length("text").alias("c")).join(n, key, "left").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("chars"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
+    return out.withColumn("per_1k", F.round(_ratio(F.col("candidates") * 1000.0, F.col("chars")), 6))
+
+
+def shown(text, span):
+    """TYPE:start:end:surface of a span, for reports."""
+    return F.concat_ws(":", span["type"], span["start"].cast("string"), span["end"].cast("string"), F.substring(text, span["start"] + 1, span["end"] - span["start"]))
+
+
 def gates(metrics: DataFrame, limits: list[tuple[str, str, float]]) -> DataFrame:
     """(gate, value, limit, ok) for limits (metric, '>=' or '<=', limit) on a one-row frame."""
     rows = [F.struct(F.lit(f"{m} {op} {x}").alias("gate"), F.col(m).cast("double").alias("value"), F.lit(float(x)).alias("limit"), (F.col(m) >= x if op == ">=" else F.col(m) <= x).alias("ok")) for m, op, x in limits]

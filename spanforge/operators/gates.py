@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The pair and triple features, by the side on which they look.
@@ -46,6 +46,44 @@ def proposals(weights: DataFrame, least: float, weak: float = 0.4) -> DataFrame:
     return strong.unionByName(plain).unionByName(kept.where("arity = 3")).unionByName(instead).distinct()
 
 
+#: The multiplier of the gate's hash, in halves, and the bit that marks three code points.
+_HIGH, _LOW, _THREE = 0xD6E8FEB8, 0x6659FD93, 1 << 63
+
+
+def _wide(x) -> Column:
+    return x.cast("decimal(38,0)") if isinstance(x, Column) else F.lit(str(x)).cast("decimal(38,0)")
+
+
+def gate_key(points: Column) -> Column:
+    """Two or three code points as one number (DECIMAL(20, 0)): 21 bits each, the top bit for three, and one more."""
+    p = lambda i: _wide(F.element_at(points, i))
+    two = p(1) * _wide(1 << 21) + p(2)
+    three = _wide(_THREE) + p(1) * _wide(1 << 42) + p(2) * _wide(1 << 21) + p(3)
+    return F.when(F.size(points) == 2, two + 1).when(F.size(points) == 3, three + 1).cast("decimal(20,0)")
+
+
+def gate_hash(key: Column) -> Column:
+    """The hash of a key below 2**64 (DECIMAL(20, 0)): halves are mixed, multiplied modulo 2**64, and mixed again."""
+    half, size = _wide(1 << 32), _wide(1 << 64)
+    parts = lambda x: (((x - F.pmod(x, half)) / half).cast("long"), F.pmod(x, half).cast("long"))
+    mixed = lambda high, low: _wide(high) * half + _wide(high.bitwiseXOR(low))
+    x = mixed(*parts(_wide(key)))
+    # x * (_HIGH * 2**32 + _LOW): the upper product counts with x's lower half only.
+    x = F.pmod(x * _wide(_LOW) + F.pmod(F.pmod(x, half) * _wide(_HIGH), half) * half, size)
+    return mixed(*parts(x)).cast("decimal(20,0)")
+
+
+def records(weights: DataFrame, hashed) -> DataFrame:
+    """Weights in the order of their names' hashes: (hash, feature, o, b, m, e, s)."""
+    return weights.select(hashed(F.col("feature")).alias("hash"), "feature", "o", "b", "m", "e", "s").orderBy("hash", "feature")
+
+
+def prefix_bits(words: DataFrame, bits: int = 17) -> DataFrame:
+    """(bit) that are set in a filter of 2**bits for words of three characters or more: the hashes of their first three."""
+    first = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.ascii(F.substring(F.col("word"), i, F.lit(1))))
+    return words.where(F.length("word") >= 3).select(F.pmod(gate_hash(gate_key(first)), _wide(1 << bits)).cast("int").alias("bit")).distinct()
+
+
 def collisions(names: DataFrame, hashed) -> DataFrame:
     """(hash, n) of hashes that several names have."""
     return names.select("feature", hashed(F.col("feature")).alias("hash")).groupBy("hash").agg(F.countDistinct("feature").alias("n")).where("n > 1")

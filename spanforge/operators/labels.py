@@ -108,6 +108,12 @@ def complete(asked: DataFrame, answered: DataFrame) -> DataFrame:
     return both.select(F.coalesce("_id", "id").alias("id"), fault.alias("fault")).where("fault is not null")
 
 
+def require_none(faults: DataFrame, what: str) -> None:
+    """Raise if there is a row of faults, such as of `duplicates` or `complete`."""
+    if bad := faults.limit(3).collect():
+        raise ValueError(f"{what}: " + "; ".join(str(r.asDict()) for r in bad))
+
+
 def encode(spans: Column) -> Column:
     """start:end:type joined by commas, or a dash."""
     return F.coalesce(F.nullif(F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["type"])), ","), F.lit("")), F.lit("-"))

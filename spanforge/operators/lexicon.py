@@ -72,6 +72,35 @@ def features(matches: DataFrame, prefix: str = "lx") -> DataFrame:
     return pos.select("sid", "pos", F.explode(both).alias("feature")).distinct()
 
 
+def masks(matches: DataFrame) -> DataFrame:
+    """(sid, pos, mask): a bit for each role (B, M, E, S) and length (2, 3, 4, 5 or more) that a place has in a match."""
+    n = F.col("end") - F.col("start")
+    pos = matches.select("sid", n.alias("n"), "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
+    role = F.when(F.col("n") == 1, 3).when(F.col("pos") == F.col("start"), 0).when(F.col("pos") == F.col("end") - 1, 2).otherwise(1)
+    bit = role * 4 + F.least(F.greatest(F.col("n"), F.lit(2)), F.lit(5)) - 2
+    return pos.select("sid", "pos", F.expr("1").alias("one"), bit.alias("bit")).groupBy("sid", "pos").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("mask"))
+
+
+def trie(words: DataFrame) -> DataFrame:
+    """(prefix, word_id, score) of words (line, word, score): of equal words the last counts; null where no word ends."""
+    last = words.groupBy("word").agg(F.max(F.struct("line", "score")).alias("last"))
+    p = last.select("word", "last", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("n")).select(F.expr("substring(word, 1, n)").alias("prefix"), F.when(F.col("n") == F.length("word"), F.col("last")).alias("last"))
+    return p.groupBy("prefix").agg(F.first("last", ignorenulls=True).alias("last")).select("prefix", F.col("last.line").alias("word_id"), F.col("last.score").alias("score"))
+
+
+def union(*lists: DataFrame) -> DataFrame:
+    """The words of several lists once, without those that start with `#`."""
+    out = lists[0].select("word")
+    for more in lists[1:]:
+        out = out.unionByName(more.select("word"))
+    return out.where(~F.col("word").startswith("#")).distinct()
+
+
+def without(words: DataFrame, reserved: DataFrame) -> DataFrame:
+    """words but for the reserved ones (word)."""
+    return words.join(reserved.select("word").distinct(), "word", "left_anti")
+
+
 def prefixes(words: DataFrame) -> DataFrame:
     """The trie as a table: each prefix, and whether it is a word."""
     p = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("n"))

@@ -3,63 +3,68 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.viterbi import BEFORE, FINAL, STATES, best_path
+from spanforge.operators.viterbi import System, best_path
 
-_AT = {s: i for i, s in enumerate(STATES)}
-_CASE = "sid string, features array<array<string>>, tags array<string>"
+#: The states O, B, M, E, S.
+GENERIC = System()
 
 
 class Averaged:
-    """Sparse weights with lazy averages; a change counts from its own step on."""
+    """Sparse weights and their mean over steps.
+
+    The mean after n steps is the weight less the changes, each times the share
+    of steps that were over before it: so a change is booked twice, once as it
+    is and once times the number of steps before it.
+    """
 
     def __init__(self, given: dict | None = None):
         self.now: dict[tuple[str, str], float] = defaultdict(float, given or {})
-        self.sum: dict[tuple[str, str], float] = defaultdict(float)
-        self.since: dict[tuple[str, str], int] = defaultdict(int)
-        self.step = 0
+        self.late: dict[tuple[str, str], float] = defaultdict(float)
+        self.steps = 0
 
     def add(self, key: tuple[str, str], by: float) -> None:
-        self.sum[key] += (self.step - self.since[key]) * self.now[key]
-        self.since[key] = self.step
         self.now[key] += by
+        self.late[key] += by * self.steps
 
     def mean(self) -> dict[tuple[str, str], float]:
-        steps = max(1, self.step)
-        return {k: (self.sum[k] + (self.step - self.since[k]) * w) / steps for k, w in self.now.items()}
+        n = max(1, self.steps)
+        return {k: w - self.late[k] / n if k in self.late else w for k, w in self.now.items()}
+
 
+def predict(weights, features: list[list[str]], system: System = GENERIC) -> list[str]:
+    states = system.states
+    scores = [[sum(weights.get((f, s), 0.0) for f in fs) for s in states] for fs in features]
+    start = {i: weights.get(("T=<START>", states[i]), 0.0) for i in system.start}
+    moves = {(p, c): weights.get((f"T={states[p]}", states[c]), 0.0) for c, ps in enumerate(system.before) for p in ps}
+    return [states[i] for i in best_path(scores, start, moves, system.before, system.final)]
 
-def predict(weights, features: list[list[str]]) -> list[str]:
-    scores = [[sum(weights.get((f, s), 0.0) for f in fs) for s in STATES] for fs in features]
-    start = {_AT[s]: weights.get(("T=<START>", s), 0.0) for s in ("O", "B", "S")}
-    moves = {(p, c): weights.get((f"T={STATES[p]}", STATES[c]), 0.0) for c, ps in enumerate(BEFORE) for p in ps}
-    return [STATES[i] for i in best_path(scores, start, moves, BEFORE, FINAL)]
 
+def changes(features: list[list[str]], tags: list[str]) -> Counter:
+    """How often each weight (feature or move, state) counts for a sequence of tags."""
+    n = Counter((f, t) for fs, t in zip(features, tags, strict=True) for f in fs)
+    n.update((f"T={p}", t) for p, t in zip(["<START>", *tags], tags, strict=False))
+    return n
 
-def one_pass(model: Averaged, cases: list[tuple[list[list[str]], list[str]]]) -> int:
-    """Update on each case that is predicted wrongly; the number of those."""
+
+def one_pass(model: Averaged, cases: list[tuple[list[list[str]], list[str]]], system: System = GENERIC) -> int:
+    """Update on each case that is predicted wrongly, from its own step on; the number of those."""
     wrong = 0
     for features, gold in cases:
-        model.step += 1
-        said = predict(model.now, features)
-        if said == gold:
-            continue
-        wrong += 1
-        before = ("<START>", "<START>")
-        for fs, g, p in zip(features, gold, said, strict=True):
-            if g != p:
-                for f in fs:
-                    model.add((f, g), 1.0)
-                    model.add((f, p), -1.0)
-            if g != p or before[0] != before[1]:
-                model.add((f"T={before[0]}", g), 1.0)
-                model.add((f"T={before[1]}", p), -1.0)
-            before = (g, p)
+        said = predict(model.now, features, system)
+        if said != gold:
+            wrong += 1
+            by = changes(features, gold)
+            by.subtract(changes(features, said))
+            for key, n in by.items():
+                if n:
+                    model.add(key, float(n))
+        model.steps += 1
     return wrong
 
 
@@ -71,31 +76,33 @@ def _rows(weights: dict, least: float) -> pd.DataFrame:
 _WEIGHTS = "feature string, state string, weight double"
 
 
-def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float = 0.05) -> DataFrame:
-    """Weights (feature, state, weight) of one sequential run in a seeded order.
+def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Weights (feature, state, weight) of one sequential run in a seeded order; generic, or with states of `types`.
 
     One task sees all cases, as the updates depend on each other: for small
     sets, and to compare with. `train_mixed` is the form for many cases.
     """
 
+    system = System(types)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [([list(x) for x in f], list(t)) for f, t in pdf.sort_values("sid")[["features", "tags"]].itertuples(index=False)]
         rng, model = random.Random(seed), Averaged()
         for _ in range(epochs):
             rng.shuffle(own)
-            one_pass(model, own)
+            one_pass(model, own, system)
         return _rows(model.mean(), least)
 
     return cases.select("sid", "features", "tags", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, _WEIGHTS)
 
 
-def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int = 23, least: float = 0.05) -> DataFrame:
+def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None) -> DataFrame:
     """Iterative parameter mixing: each shard runs a pass from the mixed weights, then the means are mixed.
 
     The weights of one pass come back to the driver (one row a feature and
     state, not a case) and go out again as a broadcast.
     """
-    spark = cases.sparkSession
+    spark, system = cases.sparkSession, System(types)
     put = cases.select("sid", "features", "tags", F.pmod(F.xxhash64("sid"), F.lit(shards)).alias("shard")).persist()
     mixed: dict[tuple[str, str], float] = {}
     try:
@@ -106,7 +113,7 @@ def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int =
                 own = [([list(x) for x in f], list(t)) for f, t in pdf.sort_values("sid")[["features", "tags"]].itertuples(index=False)]
                 random.Random(seed + epoch).shuffle(own)
                 model = Averaged(given.value)
-                one_pass(model, own)
+                one_pass(model, own, system)
                 return _rows(model.mean(), 0.0)
 
             found = put.groupBy("shard").applyInPandas(_single(run), _WEIGHTS).groupBy("feature", "state").agg(F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("w"))
@@ -132,7 +139,6 @@ def train_spans(candidates: DataFrame, epochs: int = 5, seed: int = 29, least: f
         for _ in range(epochs):
             rng.shuffle(own)
             for fs, sources, gold in own:
-                model.step += 1
                 score = {c: sum(model.now.get((f, c), 0.0) for f in fs) for c in ["NONE", *sources]}
                 said = max(score, key=lambda c: score[c])
                 if said != gold:
@@ -140,6 +146,7 @@ def train_spans(candidates: DataFrame, epochs: int = 5, seed: int = 29, least: f
                     for f in fs:
                         model.add((f, gold), by)
                         model.add((f, said), -by)
+                model.steps += 1
         return _rows(model.mean(), least)
 
     return candidates.select("cid", "features", "sources", "gold", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, _WEIGHTS)

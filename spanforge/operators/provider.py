@@ -128,6 +128,18 @@ def candidates(
     return out.select(key, "start", "end", F.round(F.least(F.lit(options.most_score), F.col("margin") * options.margin_weight - options.edge_penalty), 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
+#: A table function carries at most so many words to its workers; `lexicon.match` has no such bound.
+MOST_WORDS = 200_000
+
+
+def words_of(words: DataFrame) -> list[str]:
+    """The words of a lexicon for `table_function`; more than MOST_WORDS are an error."""
+    found = [r.word for r in words.select("word").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(found) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words: use lexicon.match")
+    return sorted(found)
+
+
 def table_function(spark, name: str, words: list[str], options: Options = Options()):
     """Register a lexicon provider as a table function for SQL: name(text) -> start_char, end_char, score, source, flags."""
     from pyspark.sql.functions import udtf

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SPLITS = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
@@ -16,24 +18,26 @@ def by_group(rows: DataFrame, source: str = "source", group: str = "group_id") -
     order of SPLITS. Rows are counted before groups meet; what meets is a
     row a group of a source, which this sequential rule needs in one place.
     """
-    n = rows.groupBy(source, group).agg(F.count("*").alias("n"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.sha2(F.col(group), 256).alias("h"), F.col(group).alias("g"))))
-    per = n.groupBy(source).agg(F.sum("n").alias("total"), order.alias("groups"))
-    target = [F.greatest(F.lit(1.0), F.col("total") * F.lit(r)) for _, r in SPLITS]
-    start = F.struct(*[F.lit(0).cast("long").alias(s) for s, _ in SPLITS], F.array().cast("array<string>").alias("put"))
+    n = rows.groupBy(source, group).agg(F.count("*").alias("n")).withColumn("_h", F.sha2(F.col(group), 256))
+    kind = T.StructType([n.schema[source], n.schema[group], T.StructField("n", T.LongType()), T.StructField("split", T.StringType())])
+    names = [s for s, _ in SPLITS]
 
-    def put(acc, x):
-        share = [(acc[s] - x["k"]) / t for (s, _), t in zip(SPLITS, target, strict=True)]
-        best = F.least(*share)
-        to = F.when(share[0] == best, SPLITS[0][0]).when(share[1] == best, SPLITS[1][0]).otherwise(SPLITS[2][0])
-        return F.struct(*[F.when(to == s, acc[s] - x["k"]).otherwise(acc[s]).alias(s) for s, _ in SPLITS], F.concat(acc["put"], F.array(to)).alias("put"))
+    def put(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "descending"), ("_h", "ascending")])
+        sizes = t["n"].to_pylist()
+        target = [max(1.0, sum(sizes) * r) for _, r in SPLITS]
+        filled, to = [0] * len(SPLITS), []
+        for size in sizes:
+            best = min(range(len(SPLITS)), key=lambda i: (filled[i] + size) / target[i])  # the first of equals
+            filled[best] += size
+            to.append(names[best])
+        return t.drop_columns(["_h"]).append_column("split", pa.array(to, pa.string()))
 
-    folded = per.select(source, F.explode(F.arrays_zip(F.col("groups"), F.aggregate("groups", start, put)["put"].alias("put"))).alias("x"))
-    return folded.select(source, F.col("x.groups.g").alias(group), (-F.col("x.groups.k")).alias("n"), F.col("x.put").alias("split"))
+    return n.select(source, group, "n", "_h").groupBy(source).applyInArrow(put, kind)
 
 
 def surfaces(words: DataFrame, limit: int, seed: int) -> DataFrame:
-    """80 / 10 / 10 of a seeded order of distinct words."""
+    """80 / 10 / 10 of a seeded order of distinct words; what one task numbers is `limit` words."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("word")), 256)
     top = words.select("word").distinct().orderBy(h, "word").limit(limit)
     r = top.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(h, "word")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))

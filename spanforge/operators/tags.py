@@ -65,3 +65,9 @@ def tags_to_spans(tags: Column) -> Column:
         lambda t, i: F.when(_head(t) == "S", F.struct(i.cast("int").alias("start"), (i + 1).cast("int").alias("end"), _kind(t).alias("type"))).when(_head(t) == "B", F.struct(i.cast("int").alias("start"), close(t, i).alias("end"), _kind(t).alias("type"))),
     )
     return F.filter(at, lambda s: s.isNotNull() & s["end"].isNotNull())
+
+
+def strict_spans(tags: Column, typed: bool = True) -> Column:
+    """The spans of a legal sequence; any other is an error."""
+    told = F.raise_error(F.concat(F.lit("not a legal tag sequence: "), F.array_join(tags, " ")))
+    return F.when(legal(tags, typed), tags_to_spans(tags)).otherwise(told)

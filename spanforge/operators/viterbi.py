@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge import schema
+
 STATES = ("O", "B", "M", "E", "S")
 
 
@@ -40,6 +42,20 @@ BEFORE = [[_O, _S, _E], [_O, _S, _E], [_B, _M], [_B, _M], [_O, _S, _E]]
 FINAL = [_O, _E, _S]
 
 
+class System:
+    """The states of a tagger with what may stand before each, first and last; generic, or for some types."""
+
+    def __init__(self, types: tuple[str, ...] | None = None):
+        self.states = tuple(schema.states(types))
+        self.at = {s: i for i, s in enumerate(self.states)}
+        self.start = [i for s, i in self.at.items() if schema.may_start(s)]
+        if types is None:
+            self.before, self.final = BEFORE, FINAL
+        else:
+            self.before = [[p for a, p in self.at.items() if schema.may_follow(a, c)] for c in self.states]
+            self.final = [i for s, i in self.at.items() if schema.may_end(s)]
+
+
 def decode(emissions: DataFrame, transitions: dict[tuple[str, str], int], key: str = "sid") -> DataFrame:
     """Tags of rows (key, scores array of [o, b, m, e, s] by position) -> (key, tags)."""
     at = {s: i for i, s in enumerate(STATES)}

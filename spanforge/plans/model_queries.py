@@ -12,6 +12,7 @@ from spanforge.operators import evaluate as ev
 from spanforge.operators import features as ft
 from spanforge.operators import gates as gt
 from spanforge.operators import hmm, labels, perceptron, provider, split, synth, tags, viterbi
+from spanforge.operators import lexicon as lx
 from spanforge.operators import names as nm
 from spanforge.plans import corpus_queries as cq
 from spanforge.plans import sql
@@ -112,10 +113,15 @@ def nickname_construct(spark, sf_dir):
 _CN_WORDS = ("王明", "陆军", "李小龙", "和平", "北京", "南湖区", "小区", "人民医院", "市", "王国", "上海", "abc", "东湖市", "张", "赵钱孙李周", "长沙县法院", "云")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', {str(p).lower()}, {str(q).lower()})" for w, p, q in [
-    ("王明", True, False), ("陆军", False, False), ("李小龙", True, False), ("和平", False, False), ("北京", False, True), ("南湖区", False, True), ("小区", False, False), ("人民医院", False, False), ("市", False, False), ("王国", False, True), ("上海", False, True), ("abc", False, False),
-    ("东湖市", True, True), ("张", False, False), ("赵钱孙李周", False, False), ("长沙县法院", False, False), ("云", False, False),
-]) + ") t(word, person, place)")
+def _ends(words) -> str:
+    return "(" + " OR ".join(f"ends_with(word, '{w}')" for w in words) + ")"
+
+
+_HAN_ONLY = "regexp_full_match(word, '[\\x{3400}-\\x{9fff}]+')"
+
+
+@query("WITH w(word) AS (VALUES " + ", ".join(f"('{w}')" for w in _CN_WORDS) + f""") SELECT word, length(word) BETWEEN 2 AND 4 AND {_HAN_ONLY} AND word[1] IN ({sql.quoted(nm.SURNAMES)}) AND word NOT IN ({sql.quoted(nm.PERSON_STOP)}) AS person,
+length(word) BETWEEN 2 AND 8 AND {_HAN_ONLY} AND word NOT IN ({sql.quoted(nm.PLACE_STOP)}) AND NOT {_ends(nm.PLACE_BAD_SUFFIXES)} AND (word IN ({sql.quoted(nm.CORE_PLACES)}) OR {" OR ".join(f"(ends_with(word, '{x}') AND length(word) > {len(x)})" for x in nm.PLACE_SUFFIXES)}) AS place FROM w""")
 def name_predicates(spark, sf_dir):
     w = F.col("word")
     return spark.createDataFrame([(x,) for x in _CN_WORDS], "word string").select(
@@ -331,10 +337,13 @@ def quality_gate(spark, sf_dir):
     return ev.gates(eval_extended(spark, sf_dir), LIMITS)
 
 
-@query(_EXT.split(",\nn AS")[0] + " SELECT sid FROM c WHERE fp + fn > 0 ORDER BY sid LIMIT 10")
+@query(f"""WITH {_SYNTH} SELECT DISTINCT id AS sid FROM synth WHERE ("end" - start) % 3 = 0 OR (start = 0 AND ("end" - start) % 3 = 1) ORDER BY sid LIMIT 10""")
 def failure_sample(spark, sf_dir):
-    dev, gold, pred = _scored(spark, sf_dir)
-    return ev.failures(dev, gold, pred, 10).select("sid")
+    """Of all synthetic cases, with every third-length surface missed and a false span in those that start with it."""
+    every = cases(spark, sf_dir)
+    gold = every.select("sid", F.inline("spans"))
+    pred = gold.where((F.col("end") - F.col("start")) % 3 != 0).unionByName(gold.where((F.col("start") == 0) & ((F.col("end") - F.col("start")) % 3 == 1)).withColumn("end", F.col("end") + 1))
+    return ev.failures(every, gold, pred, 10).select("sid")
 
 
 # --- features, weights, Viterbi -------------------------------------------------
@@ -518,14 +527,20 @@ def proposal_gate(spark, sf_dir):
     return gt.proposals(weight_table(spark), 7_000_000, 400_000)
 
 
-@query(f"WITH {_W_SQL} SELECT feature AS hash, 1::BIGINT AS n FROM w WHERE false")
+@query(f"WITH names AS (SELECT DISTINCT p_name AS feature FROM part), {sql.fnv('names', 'feature')} SELECT (hash % 64)::VARCHAR AS hash, count(*) AS n FROM hashed GROUP BY 1 HAVING count(*) > 1")
 def feature_hash_collisions(spark, sf_dir):
-    return gt.collisions(weight_table(spark), tx.fnv1a64).select(F.col("hash").cast("string").alias("hash"), "n")
+    """Part names by six bits of their hash, so that there are collisions."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("feature"))
+    found = gt.collisions(names, lambda f: F.pmod(tx.fnv1a64(f), F.lit(64).cast("decimal(20,0)")))
+    return found.select(F.col("hash").cast("bigint").cast("string").alias("hash"), "n")
 
 
-@query("SELECT * FROM (VALUES ('repeated', 0::BIGINT), ('not_finite', 0::BIGINT), ('empty', 0::BIGINT)) t(rule, broken)")
+@query("""WITH w AS (SELECT p_brand AS feature, CASE WHEN p_size = 7 THEN 'nan'::DOUBLE WHEN p_size = 8 THEN 'inf'::DOUBLE ELSE p_size % 5 END AS o, p_retailprice * (p_size % 3) AS b FROM part)
+SELECT 'repeated' AS rule, count(*) - count(DISTINCT feature) AS broken FROM w UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE NOT isfinite(o) OR NOT isfinite(b)) FROM w UNION ALL SELECT 'empty', count(*) FILTER (WHERE o = 0 AND b = 0) FROM w""")
 def weight_consistency(spark, sf_dir):
-    return gt.consistency(weight_table(spark))
+    size = F.col("p_size")
+    o = F.when(size == 7, float("nan")).when(size == 8, float("inf")).otherwise((size % 5).cast("double"))
+    return gt.consistency(table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature"), o.alias("o"), (F.col("p_retailprice") * (size % 3)).alias("b")), ("o", "b"))
 
 
 _BODY = "(cp BETWEEN 48 AND 57 OR cp BETWEEN 65296 AND 65305 OR cp BETWEEN 65 AND 90 OR cp BETWEEN 97 AND 122 OR cp BETWEEN 192 AND 591 OR cp BETWEEN 880 AND 1327 OR cp BETWEEN 13312 AND 40959 OR cp BETWEEN 131072 AND 191471)"
@@ -610,9 +625,18 @@ def provider_gated(spark, sf_dir):
 # --- training and extension points (no SQL) ------------------------------------------
 
 
-def generic_cases(spark: SparkSession, sf_dir: str, which: str = "train") -> DataFrame:
-    rows = split_rows(spark, sf_dir).where(F.col("split") == which)
-    return perceptron.training_cases(ft.char_features(rows), tags.exploded(rows, typed=False))
+def generic_cases(spark: SparkSession, sf_dir: str, which: str = "train", typed: bool = False) -> DataFrame:
+    """Cases with the features of characters and those of a gazetteer: the surfaces of the train split."""
+    every = split_rows(spark, sf_dir)
+    rows = every.where(F.col("split") == which)
+    known = every.where("split = 'train'").select("text", F.inline("spans")).select(tx.slice_of(F.col("text"), F.col("start"), F.col("end")).alias("word")).distinct()
+    return perceptron.training_cases(ft.char_features(rows).unionByName(lx.features(lx.match(rows, known, 64))), tags.exploded(rows, typed=typed))
+
+
+@query()
+def perceptron_train_typed(spark, sf_dir):
+    """States of each type; the case sets of the HMM."""
+    return perceptron.train_mixed(generic_cases(spark, sf_dir, typed=True), shards=4, types=TYPES)
 
 
 @query()
@@ -625,10 +649,8 @@ def perceptron_train_mixed(spark, sf_dir):
     return perceptron.train_mixed(generic_cases(spark, sf_dir), shards=4)
 
 
-@query(sql.base(sql.LEXICON, sql.MATCHES) + r""" SELECT sid, start, "end", (60.0 * ("end" - start) - 10.0)::FLOAT AS score FROM matches WHERE word IN (SELECT unnest(string_split(p_name, ' ')) FROM part)
-AND NOT (start > 0 AND regexp_full_match(substring(text, start, 2), '[0-9A-Za-z]{2}')) AND NOT ("end" < length(text) AND regexp_full_match(substring(text, "end", 2), '[0-9A-Za-z]{2}'))""")
+@query(sql.base(sql.LEXICON, sql.MATCHES) + r""" SELECT sid, start, "end", (60.0 * ("end" - start) - 10.0)::FLOAT AS score FROM matches WHERE NOT (start > 0 AND regexp_full_match(substring(text, start, 2), '[0-9A-Za-z]{2}')) AND NOT ("end" < length(text) AND regexp_full_match(substring(text, "end", 2), '[0-9A-Za-z]{2}'))""")
 def udtf_provider(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().limit(10_000).collect()
-    provider.table_function(spark, "part_names", [r.w for r in words], provider.Options(max_chars=12))
+    provider.table_function(spark, "known_words", provider.words_of(cq.lexicon(spark, sf_dir)), provider.Options(max_chars=12))
     cq.firsts(spark, sf_dir).createOrReplaceTempView("_udtf_texts")
-    return spark.sql("select t.sid, c.start_char as start, c.end_char as `end`, c.score from _udtf_texts t, lateral part_names(t.text) c")
+    return spark.sql("select t.sid, c.start_char as start, c.end_char as `end`, c.score from _udtf_texts t, lateral known_words(t.text) c")

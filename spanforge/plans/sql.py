@@ -52,3 +52,10 @@ def class_of(c: str, cp: str) -> str:
 
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def fnv(name: str, column: str) -> str:
+    """hashed (column, hash): FNV-1a of the column of a table."""
+    return f"""fnv_bytes AS (SELECT DISTINCT {column}, encode({column}) AS e FROM {name}),
+fnv_list AS (SELECT {column}, list_transform(range(1, octet_length(e) + 1), lambda i: ('0x' || hex(e)[2 * i - 1 : 2 * i])::HUGEINT) AS l FROM fnv_bytes),
+hashed AS (SELECT {column}, list_reduce(list_concat([14695981039346656037::HUGEINT], l), lambda h, x: ((((h - h % 256) + xor((h % 256), x)) * 435) % 18446744073709551616::HUGEINT + ((((h - h % 256) + xor((h % 256), x)) % 16777216) * 1099511627776)) % 18446744073709551616::HUGEINT) AS hash FROM fnv_list)"""

@@ -21,17 +21,21 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(split).alias("i", "value")).select("path", (F.col("i") + 1).cast("long").alias("line"), "value")
 
 
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first rows in the order in which they are read."""
+    return rows if n is None else rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(n).drop("_at")
+
+
 def corpus_json(spark: SparkSession, path: str, fields: tuple[str, ...] = ("title", "desc", "answer"), scan_rows: int | None = None) -> DataFrame:
     """Rows (id, category, text) of JSON lines; fields are joined by a full stop."""
     columns = ", ".join(f"`{c}` string" for c in dict.fromkeys(("id", "category", *fields)))
-    df = spark.read.schema(columns).json(path)
-    df = df.limit(scan_rows) if scan_rows is not None else df
+    df = _first(spark.read.schema(columns).json(path), scan_rows)
     return df.select("id", "category", tx.join_fields(*[F.col(f) for f in fields]).alias("text"))
 
 
 def corpus_csv(spark: SparkSession, path: str, fields: tuple[str, ...] = ("headline", "content"), scan_rows: int | None = None) -> DataFrame:
     df = spark.read.csv(path, header=True, multiLine=True, encoding="UTF-8", escape='"')
-    df = df.limit(scan_rows) if scan_rows is not None else df
+    df = _first(df, scan_rows)
     at = lambda c: F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")
     return df.select(at("id").alias("id"), at("category").alias("category"), tx.join_fields(*[at(f) for f in fields]).alias("text"))
 
@@ -64,6 +68,21 @@ def cases_json(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ok", F.coalesce(sound & ordered & (F.col("text") != ""), F.lit(False)))
 
 
+def label_files(spark: SparkSession, path: str) -> DataFrame:
+    """Label rows of several files; an id or a text that occurs twice is an error."""
+    rows = label_rows(spark, path)
+    labels.require_none(labels.duplicates(rows, "id", "text"), "repeated")
+    return rows
+
+
+def cases_strict(spark: SparkSession, path: str) -> DataFrame:
+    """`cases_tsv`, but a case whose spans aren't known, in bounds, in order and disjoint is an error."""
+    sound = F.forall("spans", lambda s: F.coalesce((s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length("text")) & s["type"].isin(*schema.ENTITY_TYPES), F.lit(False)))
+    ordered = F.aggregate("spans", F.lit(0), lambda c, s: F.when((c >= 0) & (s["start"] >= c), s["end"]).otherwise(-1)) >= 0
+    told = F.raise_error(F.concat(F.lit("bad case in line "), F.col("line").cast("string"), F.lit(" of "), F.col("path")))
+    return cases_tsv(spark, path).withColumn("spans", F.when(sound & ordered & (F.col("text") != ""), F.col("spans")).otherwise(told))
+
+
 def cases_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, text, spans) of tab-separated cases; `#` lines are comments, a dash is no span."""
     rows = lines(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))

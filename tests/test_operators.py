@@ -212,3 +212,95 @@ def test_segments_start_from_o_and_move_to_o(spark):
     assert [(r.start, r.end) for r in provider.candidates(text, w, {}, none, gate=gate).collect()] == [(0, 2)]
     words = spark.createDataFrame([("cd",), ("b!cd",)], "word string")
     assert not provider.candidates(text, w, {}, none, gate=gate.limit(0), entities=words).collect()  # two characters, or not inside
+
+
+def naive_perceptron(cases, epochs, seed, least, types=None):
+    """Every path is tried, and the mean is taken over the weights after every step."""
+    import collections
+    import itertools
+    import random
+
+    from spanforge import schema
+
+    states = schema.states(types)
+    order = (0, 4, 3, 1, 2) if types is None else range(len(states))  # ties: O, S, E; B, M
+
+    def total(w, features, path):
+        out = sum(w[f, t] for fs, t in zip(features, path) for f in fs)
+        return out + sum(w[f"T={a}", b] for a, b in zip(("<START>", *path), path))
+
+    def legal(path):
+        return schema.may_start(path[0]) and schema.may_end(path[-1]) and all(schema.may_follow(a, b) for a, b in zip(path, path[1:]))
+
+    rank = {states[s]: i for i, s in enumerate(order)}
+    own, rng = sorted(cases), random.Random(seed)
+    w, summed, steps = collections.defaultdict(float), collections.defaultdict(float), 0
+    for _ in range(epochs):
+        rng.shuffle(own)
+        for _, features, gold in own:
+            paths = [p for p in itertools.product(states, repeat=len(gold)) if legal(p)]
+            best = max(total(w, features, p) for p in paths)
+            # Of equal paths the one whose states, from the last one back, come first.
+            said = min((p for p in paths if total(w, features, p) == best), key=lambda p: ((0, 3, 4).index(states.index(p[-1])) if types is None else rank[p[-1]], [rank[s] for s in p[-2::-1]]))
+            if list(said) != gold:
+                for path, by in ((gold, 1.0), (said, -1.0)):
+                    for fs, t in zip(features, path):
+                        for f in fs:
+                            w[f, t] += by
+                    for a, b in zip(("<START>", *path), path):
+                        w[f"T={a}", b] += by
+            steps += 1
+            for k, v in w.items():
+                summed[k] += v
+    return {(f, s): round(v / steps, 6) for (f, s), v in summed.items() if abs(v / steps) >= least}
+
+
+@pytest.mark.parametrize("types", [None, ("PER",)])
+def test_perceptron_equals_brute_force(spark, types):
+    from spanforge.operators import perceptron
+
+    end = "" if types is None else "_PER"
+    tags = lambda s: [t if t == "O" else t + end for t in s]
+    cases = [("a", [["x"], ["y", "z"], ["x"]], tags("BEO")), ("b", [["y"], ["x", "z"]], tags("OS")), ("c", [["z"], ["z"], ["y"], ["x"]], tags("BMEO")), ("d", [["x", "y"]], tags("O"))]
+    d = spark.createDataFrame(cases, "sid string, features array<array<string>>, tags array<string>")
+    got = {(r.feature, r.state): r.weight for r in perceptron.train_exact(d, epochs=4, seed=3, least=0.01, types=types).collect()}
+    want = naive_perceptron(cases, 4, 3, 0.01, types)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    one = {(r.feature, r.state): r.weight for r in perceptron.train_mixed(d, shards=1, epochs=1, seed=3, least=0.01, types=types).collect()}
+    want = naive_perceptron(cases, 1, 3, 0.01, types)
+    assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_strict_readers_refuse(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanforge.operators import labels, tags
+    from spanforge.sources import readers
+
+    (tmp_path / "good.tsv").write_text("# text\tspans\nanna left\t0:4:PER\nnone\t-\n")
+    (tmp_path / "bad.tsv").write_text("anna left\t0:40:PER\n")
+    assert readers.cases_strict(spark, str(tmp_path / "good.tsv")).count() == 2 and len(readers.cases_strict(spark, str(tmp_path / "good.tsv")).collect()) == 2
+    with pytest.raises(Exception, match="bad case in line 1"):
+        readers.cases_strict(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "rows.json").write_text('{"id": "1", "text": "a"}\n{"id": "1", "text": "b"}\n')
+    with pytest.raises(ValueError, match="repeated"):
+        readers.label_files(spark, str(tmp_path / "rows.json"))
+    assert [r.text for r in readers.corpus_json(spark, str(tmp_path / "rows.json"), ("text",), scan_rows=1).collect()] == ["a"]
+    row = spark.createDataFrame([(["B_PER", "O"],)], "t array<string>")
+    with pytest.raises(Exception, match="not a legal tag sequence"):
+        row.select(tags.strict_spans(F.col("t"))).collect()
+    labels.require_none(spark.createDataFrame([], "id string"), "nothing")
+
+
+def test_manifest_files_and_prompt_snapshot(spark, tmp_path):
+    import hashlib
+
+    from spanforge.operators import prompts
+    from spanforge.sources import manifests
+
+    (tmp_path / "a.txt").write_text("hello")
+    got = manifests.files(spark, str(tmp_path / "a.txt")).first()
+    assert (got["name"], got["size"], got["sha256"]) == ("a.txt", 5, hashlib.sha256(b"hello").hexdigest())
+    rows = spark.createDataFrame([("1", "x", 0), ("2", "y", 0), ("3", "z", 1)], "id string, text string, batch int")
+    prompts.snapshot(prompts.prompts(rows, builder=lambda b: prompts.F.to_json(b)), str(tmp_path / "prompt"))
+    assert spark.read.text(str(tmp_path / "prompt")).first().value == '[{"id":"1","text":"x"},{"id":"2","text":"y"}]'
