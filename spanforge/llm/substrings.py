@@ -139,6 +139,8 @@ def strip_reference(docs: DataFrame, reference: DataFrame, threshold: int = 13,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+#: An anchor that more documents have is common: its windows are sieved, too.
+COMMON = 64
 #: Words of a shingle among which a window's anchor is the one of the smallest hash.
 SHINGLE = 6
 _BASE = np.uint64(0x100000001B3)
@@ -180,15 +182,16 @@ class Windows:
         return _rolling(self.symbols, self.width)[self.start] if len(self.start) else np.zeros(0, np.uint64)
 
 
-def _distinct(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their smallest and largest value."""
+def _holders(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how many documents have each (255 for more)."""
     if not len(keys):
-        return keys, values, values
-    order = np.lexsort((values, keys))
-    k, v = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(k) - 1]])
-    return k[first], v[first], v[last]
+        return keys, np.zeros(0, np.uint8)
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    fresh = np.concatenate([[True], k[1:] != k[:-1]])
+    pair = fresh | np.concatenate([[True], d[1:] != d[:-1]])
+    first = np.flatnonzero(fresh)
+    return k[first], np.minimum(np.add.reduceat(pair.astype(np.int64), first), 255).astype(np.uint8)
 
 
 def _pieces(w: Windows, own: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,22 +292,25 @@ def _match_shard(t: pa.Table, width: int) -> pa.Table:
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", carried: Column | None = None, block_words: int = exchange.BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
     """Remove each word in a window of `width` words that also starts in a document of smaller id.
 
-    Windows are judged on the input, in three steps.
-
-    1. A sieve by anchors: the smallest hash of a window's shingles, which
-       equal windows share. Blocks ask which of theirs other documents have.
-    2. A sieve by windows: of those with such an anchor, blocks ask which
-       another document has (by 64-bit hash).
-    3. What is left, runs of shared windows of one anchor, goes to the shard of
-       the anchor. A shard's suffix automaton holds the runs of smaller ids;
-       documents stream through it in the order of their id for their matching
-       statistics, and a window is covered where these reach `width`.
-
-    The automata aren't broadcast whole: the reference is the corpus itself,
-    so a shard's automaton is built where its runs meet, and only documents
-    with runs of that shard come. A block sends a run once, however often it
-    has it; runs that no other document has are not sent, so a passage in
-    every document costs a few items for each block.
+    Windows are judged on the input, by the matching statistics of suffix
+    automata of shards of the corpus. What goes to a shard is sieved first;
+    the sieves let through all that could match, and decide nothing.
+
+    1. Anchors: the smallest hash of a window's shingles, which equal windows
+       share. Blocks ask which of theirs other documents have. Runs of windows
+       of one such anchor are the pieces that go on.
+    2. Of a common anchor (COMMON documents or more) only those windows go on
+       whose hash another document has: else what stands around a passage
+       that a third of all documents have would meet in one shard.
+    3. The shards of the reference are the ranges of the anchors. A shard's
+       automaton holds the pieces of smaller ids; documents stream through it
+       in the order of their id for their matching statistics, and a
+       window is covered where these reach `width`.
+
+    The automata aren't broadcast: the reference is the corpus itself, so a
+    shard's automaton is built where its pieces meet, and only documents with
+    pieces of that shard come. A block sends a piece once, however often it
+    has it, so a passage in every document costs a few items for each block.
 
     A null text has no words; a text shorter than a window loses none. Rows
     of equal id don't remove each other's words; a null id counts as the
@@ -326,11 +332,12 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                 w = Windows(Block(row), width)
                 a = w.anchors()
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (w.doc[1:] != w.doc[:-1])]) if len(a) else np.zeros(0, bool)
-                keys, low, high = _distinct(a[new], w.doc[new])
-                yield from exchange.asked(exchange.questions(w.block.name, keys, (low != high).astype(np.uint8), buckets)).to_batches()
+                yield from exchange.asked(exchange.questions(w.block.name, *_holders(a[new], w.doc[new]), buckets)).to_batches()
 
-    def shared(inverse, several, n):
-        return (np.bincount(inverse, weights=1 + several, minlength=n) > 1)[inverse]
+    def shared(inverse, holders, n):
+        """0: one document has it, 1: some have, 2: so many that it is common."""
+        n = np.bincount(inverse, weights=holders, minlength=n)
+        return ((n > 1).astype(np.uint8) + (n > COMMON))[inverse]
 
     anchors = stored(exchange.answered(made.mapInArrow(ask_anchors, exchange.ASK), shared, np.uint8, np.uint8), "anchors")
 
@@ -338,19 +345,17 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         return said.filter(pa.compute.equal(said["which"], which))
 
     def suspects(w: Windows, said: pa.Table) -> np.ndarray:
-        """Indices of the windows whose anchor other documents have."""
+        """For each window 0, 1 or 2 as for its anchor."""
         a = w.anchors()
-        keys = np.unique(a)
-        known = exchange.read_answers(told(said, 0), np.uint8).astype(bool)
-        return np.flatnonzero(known[np.searchsorted(keys, a)]) if len(a) else np.zeros(0, np.int64)
+        known = exchange.read_answers(told(said, 0), np.uint8)
+        return known[np.searchsorted(np.unique(a), a)] if len(a) else np.zeros(0, np.uint8)
 
     def ask_windows(t: pa.Table, said: pa.Table) -> pa.Table:
         rows = []
         for row in t.to_pylist():
             w = Windows(Block(row), width)
-            own = suspects(w, said)
-            keys, low, high = _distinct(w.hashes()[own], w.doc[own])
-            rows += exchange.questions(w.block.name, keys, (low != high).astype(np.uint8), buckets)
+            own = np.flatnonzero(suspects(w, said) == 2)
+            rows += exchange.questions(w.block.name, *_holders(w.hashes()[own], w.doc[own]), buckets)
         return exchange.asked(rows)
 
     mark = lambda df, which: df.select("*", F.lit(which).alias("which"))
@@ -359,11 +364,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     both = mark(anchors, 0).union(mark(windows, 1))
 
     def repeated(w: Windows, said: pa.Table) -> np.ndarray:
-        """Indices of the windows that another document has."""
-        own = suspects(w, said)
-        h = w.hashes()[own]
-        known = exchange.read_answers(told(said, 1), np.uint8).astype(bool)
-        return own[known[np.searchsorted(np.unique(h), h)]] if len(own) else own
+        """Indices of the windows that another document may have."""
+        found = suspects(w, said)
+        common = np.flatnonzero(found == 2)
+        if len(common):
+            h = w.hashes()[common]
+            known = exchange.read_answers(told(said, 1), np.uint8)
+            found[common] = known[np.searchsorted(np.unique(h), h)]
+        return np.flatnonzero(found)
 
     def send(t: pa.Table, said: pa.Table) -> pa.Table:
         rows = []
