@@ -103,7 +103,7 @@ def mix(
     """
     extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_th"), *extra)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     goal = source_targets(sizes, weights, total_share, limit)
     whole = Window.partitionBy(F.lit(0))
     goal = goal.withColumn("_total", F.sum("target").over(whole)).withColumn("party", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
