@@ -71,7 +71,7 @@ def _join_all(forest: Forest, p: np.ndarray, q: np.ndarray) -> None:
                 up[max(a, b)] = min(a, b)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of one label with cosine >= threshold; one row for each row given.
 
     Equal vectors of a label are first folded into one representative with
@@ -80,6 +80,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 102
     are multiplied as int8 codes, pairs that the error bounds can't exclude
     are computed again in double precision. A pair of tiles returns a count
     for each representative and a spanning forest of its links, never pairs.
+    Vectors of floats travel as floats, a tile of n vectors as one row; a label
+    of k tiles sends each k times, as all its vectors are compared.
 
     Vectors that are null, empty, zero, or hold null or non-finite components,
     and rows whose label is null, link with nothing; so do vectors of unlike
@@ -88,9 +90,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 102
     left out. Returns vec_id, n_links, component_id, kept.
     """
     e = F.col(vector_col)
+    narrow = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    kept, number = ("array<float>", np.float32) if narrow else ("array<double>", np.float64)
     usable = F.col(label_col).isNotNull() & e.isNotNull() & (F.size(e) > 0)
     usable = usable & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), e.cast("array<double>").alias("e"), F.coalesce(usable, F.lit(False)).alias("ok"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), e.cast(kept).alias("e"), F.coalesce(usable, F.lit(False)).alias("ok"))
     reps = rows.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = reps.withColumn("key", F.xxhash64("label", "e")).withColumn("dim", F.size("e"))
     reps = stored(reps, "vectors")
@@ -99,7 +103,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 102
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        m = np.array(pdf["e"].tolist(), dtype=np.float64)
+        m = np.array(pdf["e"].tolist(), dtype=number)
         return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "tiles": [first["tiles"]], "t": [first["t"]], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
 
     kind = rows.schema["label"].dataType.simpleString()
@@ -109,7 +113,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 102
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        load = lambda r: (np.frombuffer(r["keys"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["m"], np.float64).reshape(-1, r["dim"]))
+        load = lambda r: (np.frombuffer(r["keys"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["m"], number).astype(np.float64).reshape(-1, r["dim"]))
         ka, ca, a = load(pdf.iloc[0])
         kb, cb, b = load(pdf.iloc[-1])
         same = len(pdf) == 1

@@ -108,6 +108,27 @@ def test_isotonic_is_monotone():
     assert (np.diff(values) > 0).all() and edges[-1] == 5 and math.isclose(values[1], 1 / 3)
 
 
+def test_quality_equals_least_squares_at_once(spark):
+    """Partition sums and binned calibration against one solve, and isotonic means by their max-min formula."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "GAMMA!", "12", "d,"], int(n))) for n in rng.integers(5, 60, 120)]
+    y = (rng.random(120) < 0.6).astype(int)
+    d = spark.createDataFrame([(t, int(v)) for t, v in zip(texts, y)], "text string, y int")
+    model = quality.fit(quality.with_statistics(d, "text", "y").select("stats", "y"), n_features=20, ridge=2.0, sums=3, bins=200)
+    x = quality.matrix(texts)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-12)), rtol=1e-6)
+    f = model.features(x)
+    w = np.where(y == 1, 120 / (2 * y.sum()), 120 / (2 * (120 - y.sum())))
+    beta = np.linalg.lstsq(np.vstack([f * np.sqrt(w)[:, None], np.sqrt(2.0) * np.eye(f.shape[1])]), np.concatenate([y * np.sqrt(w), np.zeros(f.shape[1])]), rcond=None)[0]
+    assert np.allclose(f @ model.beta, f @ beta, atol=1e-6)
+    at = np.clip(np.rint(f @ model.beta * 100), -100, 200).astype(int)
+    for k in range(0, 120, 7):
+        low = [a for a in np.unique(at) if a <= at[k]]
+        high = [b for b in np.unique(at) if b >= at[k]]
+        want = max(min(y[(at >= a) & (at <= b)].mean() for b in high) for a in low)
+        assert math.isclose(model.score(x[k : k + 1])[0], want, abs_tol=1e-9)
+
+
 def windows(rows, width=13):
     seen, out = collections.defaultdict(lambda: math.inf), []
     number = lambda r: math.inf if r[0] is None else r[0]
@@ -456,9 +477,10 @@ def test_embeddings(spark):
     vectors = [(centre[k % 6] + rng.standard_normal(8) * (0.05 if k % 2 else 0.12)).astype(np.float32).tolist() for k in range(120)]
     rows = [(k, v, k % 2) for k, v in enumerate(vectors)] + [(200 + k, vectors[0], 0) for k in range(5)]
     rows += [(300, None, 0), (301, [0.0] * 8, 0), (302, [float("nan")] * 8, 0), (303, [1.0, None] * 4, 0), (304, vectors[0], None), (305, vectors[0][:4], 0), (306, [], 0), (307, [float("inf")] * 8, 0)]
+    rows += [(400, vectors[7], 1), (400, vectors[7], 1), (None, vectors[9], 1)]
     d = spark.createDataFrame([(*r, "e") for r in rows], "vec_id long, embedding array<float>, label int, key string")
-    sound = [(i, np.array(v, np.float64), c) for i, v, c in rows if c is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    links, up = collections.Counter(), {i: i for i, *_ in rows}
+    sound = [(k, np.array(v, np.float64), c) for k, (_, v, c) in enumerate(rows) if c is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links, up = collections.Counter(), list(range(len(rows)))
 
     def find(x):
         while up[x] != x:
@@ -472,8 +494,15 @@ def test_embeddings(spark):
                 p, q = find(i), find(j)
                 up[max(p, q)] = min(p, q)
     assert sum(links.values()) > 20
-    got = embeddings.near_duplicates(d, tile=16)
-    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()) == sorted((i, links[i], find(i), find(i) == i) for i, *_ in rows)
+    head = collections.defaultdict(list)  # a null id names nothing
+    for k, (i, *_) in enumerate(rows):
+        head[find(k)] += [] if i is None else [i]
+    smallest = [min(head[find(k)], default=None) for k in range(len(rows))]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = sorted((key((i, links[k], smallest[k], i is not None and i == smallest[k])) for k, (i, *_) in enumerate(rows)))
+    for table in (d, d.withColumn("embedding", F.col("embedding").cast("array<double>"))):
+        got = embeddings.near_duplicates(table, tile=16).collect()
+        assert sorted(key((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
@@ -518,3 +547,32 @@ def test_pipeline(spark, tmp_path):
     tok = Tokenizer.from_file(bpe.default_vocabulary())
     want = sorted((i, len(tok.encode(t, add_special_tokens=False).ids)) for i, t in mixed)
     assert sorted((r.doc_id, r.n_tokens) for r in got) == want
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    kind = "doc_id long, text string, source string, size int, taken string, cell double, row string, copies date, _copy long, score double, stats string, cls long, kept boolean"
+    rng = np.random.default_rng(9)
+    good = lambda n: ". ".join(" ".join(rng.choice([f"term{i}" for i in range(300)], 9)) for _ in range(n))
+    rows = [(i, good(6) if i % 2 else "SPAM !!! " * 40 + str(i), f"s{i % 3}") for i in range(60)]
+    rows += [(None, "SPAM !!! " * 41, None), (None, good(5), None), (7, "SPAM !!! " * 42, "s1"), (None, None, "s0"), (71, "", "s0"), (72, good(2000), "s2"), (73, rows[1][1], "s1"), (74, "tie " * 30, "s1"), (75, "tie " * 30, "s1")]
+    d = spark.createDataFrame([(*r, 1, "t", 0.5, "r", None, 9, 0.1, "s", 3, True) for r in rows], kind)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60) if i != 7], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (d, d.limit(0)):
+        docs, seen = table, {}
+        for k, (name, stage) in enumerate(p.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(str(tmp_path / f"{table is d}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{table is d}{k}"))
+            assert k == 4 or docs.schema.names == d.schema.names and docs.dtypes == d.dtypes
+            seen[name] = docs.collect()
+        if table is not d:
+            assert not any(seen.values())
+            continue
+        judged = [(r.doc_id, r.text) for r in seen["quality classifier"]]
+        assert not any((t or "").startswith("SPAM") for _, t in judged) and (7, rows[7][1]) in judged and (None, rows[61][1]) in judged
+        unlike = [(r.doc_id, r.text) for r in seen["n-gram Jaccard join"]]
+        assert (1, rows[1][1]) in unlike and (73, rows[1][1]) not in unlike and (72, rows[65][1]) in unlike
+        assert all(r.row == "r" and r["size"] == 1 and r.kept for r in seen["mixing sources to target weights"])
+        assert len(seen["BPE encoding and decoding"]) == len(seen["mixing sources to target weights"])
