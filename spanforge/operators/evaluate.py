@@ -59,6 +59,13 @@ def coverage(gold: DataFrame, candidates: DataFrame, key: str = "sid") -> DataFr
     return out.select(F.coalesce("type", F.lit("ALL")).alias("type"), "gold", "covered", F.round(F.when(F.col("gold") > 0, F.col("covered") / F.col("gold")).otherwise(1.0), 6).alias("coverage"))
 
 
+def require_coverage(gold: DataFrame, candidates: DataFrame, least: float = 0.99, key: str = "sid") -> None:
+    """Raise if candidates cover less than a share of the gold spans."""
+    got = coverage(gold, candidates, key).where("type = 'ALL'").first()
+    if got is not None and got.coverage < least:
+        raise ValueError(f"candidates cover {got.covered} of {got.gold} spans, {got.coverage} < {least}")
+
+
 def density(cases: DataFrame, candidates: DataFrame, key: str = "sid") -> DataFrame:
     """One row: characters, distinct candidates, and candidates a 1,000 characters."""
     n = candidates.select(key, "start", "end").distinct().groupBy(key).agg(F.count("*").alias("n"))

@@ -12,6 +12,8 @@ from spanforge.operators.viterbi import best_path
 
 #: Log-probabilities are kept as whole millionths, so sums don't depend on their order.
 SCALE = 1_000_000
+#: A model that workers hold has at most so many rows: all of Unicode with ten states or so.
+MOST_ROWS = 2_000_000
 
 
 def _log(count, total, smoothing: float, choices):
@@ -46,14 +48,16 @@ def train(tagged: DataFrame, types: tuple[str, ...] = schema.LEGACY_TYPES, smoot
 
 
 def decoder(model: dict[str, DataFrame], types: tuple[str, ...] = schema.LEGACY_TYPES):
-    """A pandas UDF text -> tags; the model (states x characters) is what the driver holds."""
+    """A pandas UDF text -> tags; the model is what the driver holds: states x characters, MOST_ROWS at most."""
     states = schema.states(types)
     at = {s: i for i, s in enumerate(states)}
     none = F.lit(None).cast("string")
     tables = [df.select(F.lit(k).alias("kind"), prev.alias("a"), F.col("state").alias("b"), char.alias("c"), "logp") for k, df, prev, char in (
         ("start", model["start"], none, none), ("transition", model["transition"], F.col("prev"), none), ("unknown", model["unknown"], none, none), ("emission", model["emission"], none, F.col("char")),
     )]
-    rows = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3]).collect()
+    rows = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3]).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a model of more than {MOST_ROWS} rows")
     start = {at[r.b]: r.logp for r in rows if r.kind == "start"}
     moves = {(at[r.a], at[r.b]): r.logp for r in rows if r.kind == "transition"}
     unknown = [0] * len(states)

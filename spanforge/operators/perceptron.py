@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.viterbi import System, best_path
 
+#: Weights that workers and the driver hold at once.
+MOST_WEIGHTS = 20_000_000
 #: The states O, B, M, E, S.
 GENERIC = System()
 
@@ -100,7 +102,8 @@ def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int =
     """Iterative parameter mixing: each shard runs a pass from the mixed weights, then the means are mixed.
 
     The weights of one pass come back to the driver (one row a feature and
-    state, not a case) and go out again as a broadcast.
+    state, not a case; MOST_WEIGHTS at most) and go out again as a broadcast.
+    A shard is what one task holds: take more shards for more cases.
     """
     spark, system = cases.sparkSession, System(types)
     put = cases.select("sid", "features", "tags", F.pmod(F.xxhash64("sid"), F.lit(shards)).alias("shard")).persist()
@@ -117,7 +120,9 @@ def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int =
                 return _rows(model.mean(), 0.0)
 
             found = put.groupBy("shard").applyInPandas(_single(run), _WEIGHTS).groupBy("feature", "state").agg(F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("w"))
-            mixed = {(r.feature, r.state): r.w / 1_000_000 / shards for r in found.toLocalIterator() if r.w}
+            mixed = {(r.feature, r.state): r.w / 1_000_000 / shards for r in found.limit(MOST_WEIGHTS + 1).toLocalIterator() if r.w}
+            if len(mixed) > MOST_WEIGHTS:
+                raise ValueError(f"more than {MOST_WEIGHTS} weights")
     finally:
         put.unpersist()
     return spark.createDataFrame(_rows(mixed, least), _WEIGHTS)

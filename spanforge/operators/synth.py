@@ -10,8 +10,18 @@ from spanforge.functions import text as tx
 
 
 def numbered(words: DataFrame, word: str = "word", by: list[str] | None = None) -> DataFrame:
-    """words with `i`, their rank from 0 in code-point order (in each group of `by`)."""
-    return words.withColumn("i", (F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(word)) - 1).cast("long"))
+    """words with `i`, their rank from 0 in code-point order (in each group of `by`).
+
+    Without groups, words are counted by their first two characters, and
+    ranked among those of the same two: no task numbers all.
+    """
+    if by:
+        return words.withColumn("i", (F.row_number().over(Window.partitionBy(*by).orderBy(word)) - 1).cast("long"))
+    head = words.withColumn("_head", F.substring(word, 1, 2))
+    before = head.groupBy("_head").agg(F.count("*").alias("_n"))
+    before = before.select("_head", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n")).alias("_before"))  # a row a beginning
+    rank = F.row_number().over(Window.partitionBy("_head").orderBy(word)) - 1
+    return head.withColumn("_rank", rank).join(before, "_head").withColumn("i", (F.col("_rank") + F.col("_before")).cast("long")).drop("_head", "_rank", "_before")
 
 
 def from_templates(words: DataFrame, templates: list[str], kind: str, prefix: str, both: bool = True) -> DataFrame:
