@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.llm.common import parallelism, stored, words
 
-#: At most so many ranges of ids; each is a task's share.
+#: So many quantiles of ids at most are told to the driver.
 MOST_RANGES = 4096
 #: A text needs so many terms that aren't too frequent.
 FEW = 4
@@ -54,22 +56,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(by_level)
 
 
+def _ranges(rows: DataFrame, id_col: str, text_col: str, wanted: int) -> Column:
+    """The range of a row: the larger, the earlier in descending order of ids, null ids (below 0) last.
+
+    Quantiles cut the ids into up to MOST_RANGES ranges, and equal widths cut
+    each of these, until there are `wanted`. An id that holds several quantiles,
+    and null ids, are cut by the hash of the text, in whose order such rows stand.
+    """
+    coarse = max(1, min(MOST_RANGES, wanted))
+    fine = -(-wanted // coarse)
+    i = F.col(id_col)
+    asked = [k / coarse for k in range(1, coarse)]
+    got = rows.agg(F.percentile_approx(id_col, asked, 100 * coarse) if asked else F.lit(None), F.min(id_col), F.max(id_col), F.count("*"), F.count(id_col)).first()
+    borders, low, high, total, known = sorted(got[0] or []), got[1], got[2], got[3], got[4]
+    share = F.xxhash64(text_col) / F.lit(2.0**64) + 0.5
+    none = F.lit(-1) - F.floor(share * max(1, -(-(total - known) * wanted // max(1, total))))
+    if low is None:
+        return none.cast("int")
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<long>"), lambda b: b <= i)) if borders else F.lit(0)
+    first, last = (F.element_at(F.array(*[F.lit(x) for x in ends]).cast("array<long>"), part + 1) for ends in ([low, *borders], [*borders, high + 1]))
+    inside = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((i - first) / F.greatest(F.lit(1), last - first) * fine)))
+    number = part * fine + inside
+    held = Counter(borders)
+    for b, n in held.items():
+        if n > 1:  # rows of this id: down from the number that its first place has
+            number = F.when(i == b, part * fine - F.floor(share * ((n - 1) * fine + 1))).otherwise(number)
+    return F.when(i.isNull(), none).otherwise(number).cast("int")
+
+
 def in_order(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds next_text, the text of the row with the next smaller id (after the last: the first).
 
-    Rows are dealt into ranges of ids by quantiles, MOST_RANGES at most, of
-    which the driver knows only the borders, and shuffled once; the last row of
-    a range takes the first text of the next range that has rows. Equal ids
-    stand in the order of their texts' hashes, null ids come last. Also adds
-    _row, which is unique and the same on every run.
+    Rows are dealt into ranges of ids (see `_ranges`), of which the driver knows
+    only the borders, and shuffled once; the last row of a range takes the first
+    text of the next range that has rows. Equal ids stand in the order of their
+    texts' hashes, null ids come last. Also adds _row, which is unique and the
+    same on every run.
     """
-    ranges = max(1, min(MOST_RANGES, parallelism(rows.sparkSession)))
-    borders: list[int] = []
-    if ranges > 1:
-        asked = [i / ranges for i in range(1, ranges)]
-        borders = sorted(set(rows.agg(F.percentile_approx(id_col, asked, 100 * ranges)).first()[0] or []))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<long>"), lambda b: b <= F.col(id_col))) if borders else F.lit(0)
-    part = F.when(F.col(id_col).isNull(), -1).otherwise(part).cast("int")
+    part = _ranges(rows, id_col, text_col, parallelism(rows.sparkSession))
     order = [F.col(id_col).desc_nulls_last(), F.xxhash64(text_col), F.col(text_col)]
     put = rows.withColumn("_part", part)
     w = Window.partitionBy("_part").orderBy(*order)
@@ -81,7 +105,7 @@ def in_order(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     follow = parts.select("_part", F.coalesce(F.lead("_part").over(down), F.first("_part").over(down)).alias("_then"))
     heads = follow.join(firsts.withColumnRenamed("_part", "_then"), "_then").select("_part", "_text")
     out = out.join(heads, "_part")
-    return out.select(*rows.columns, F.coalesce("_next", "_text").alias("next_text"), (F.shiftleft(F.col("_part").cast("long") + 1, 40) + F.col("_rn")).alias("_row"))
+    return out.select(*rows.columns, F.coalesce("_next", "_text").alias("next_text"), (F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_rn")).alias("_row"))
 
 
 def fingerprint_edited(docs: DataFrame, lexicons: int = 16, least_docs: int = 2, one_in: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

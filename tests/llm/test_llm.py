@@ -81,6 +81,22 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_edited(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_next_texts_of_repeated_and_null_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(fingerprints, "MOST_RANGES", most)
+    monkeypatch.setattr(fingerprints, "parallelism", lambda s: 12)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), f"t{k}") for k, i in enumerate(rng.integers(-50, 1000, 60))] + [(77, f"same{k}") for k in range(80)] + [(None, f"none{k}") for k in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r.text: r.h for r in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    got = fingerprints.in_order(d, "doc_id", "text")
+    assert {r.text: r.next_text for r in got.collect()} == {r[1]: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    assert got.select("_row").distinct().count() == len(rows)
+    parts = d.select(fingerprints._ranges(d, "doc_id", "text", 12).alias("p"), "doc_id")
+    assert parts.where("doc_id is null").distinct().count() > 1 and (most < 12 or parts.where("doc_id = 77").distinct().count() > 1)
+
+
 def test_likeness_of_equal_and_unlike(spark):
     rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s t u v w")], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.fingerprint_edited(rows).collect()}
