@@ -466,7 +466,37 @@ def candidate_labels(spark, sf_dir):
     return cn.generate(bad_cases(spark)).join(gold, ["sid", "start", "end"], "left").groupBy(F.coalesce("type", F.lit("NONE")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _any_sql(test: str, words) -> str:
+    return "(" + " OR ".join(test.format(f"'{w}'") for w in words) + ")"
+
+
+def _longest_sql(words) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with(v, '{w}') THEN '{w}'" for w in sorted(words, key=lambda w: (-len(w), w))) + " ELSE '-' END"
+
+
+def _span_features_sql() -> str:
+    out = ["'bias'", "'length=' || length(v)", "'sources=' || shown", "'first=' || v[1]", "'left1=' || lc", "'right1=' || rc", "'left_class=' || lk", "'right_class=' || rk", "CASE WHEN start = 0 THEN 'start=BOS' END", "CASE WHEN \"end\" = length(text) THEN 'end=EOS' END"]
+    cues = []
+    for k in ("PER", "LOC", "ORG"):
+        cues += [f"{_any_sql('ends_with(bf, {})', nm.LEFT_CUES[k])} AS l_{k}", f"{_any_sql('starts_with(af, {})', nm.RIGHT_CUES[k])} AS r_{k}", f"{_any_sql('contains(v, {})', [c for c in nm.LEFT_CUES[k] if len(c) > 1])} AS i_{k}", f"list_contains(ks, '{k}') AS h_{k}"]
+        out += [f"CASE WHEN h_{k} AND {test} THEN '{name}={k}' END" for test, name in ((f"l_{k}", "left_cue"), (f"r_{k}", "right_cue"), (f"i_{k}", "contains_left_cue"), (f"l_{k} AND r_{k}", "both_cues"))]
+    for k, name, words in (("LOC", "place", nm.PLACE_SUFFIXES), ("ORG", "org", nm.ALL_ORG_SUFFIXES)):
+        cues.append(f"{_longest_sql(words)} AS s_{k}")
+        out += [f"CASE WHEN h_{k} THEN '{name}_suffix=' || s_{k} END", f"CASE WHEN h_{k} THEN '{name}_stem_length=' || (length(v) - CASE WHEN s_{k} = '-' THEN 0 ELSE length(s_{k}) END) END"]
+    cues.append("(" + " + ".join(f"contains(v[1 : length(v) - 1], '{w}')::INT" for w in nm.PLACE_SUFFIXES) + ") AS inner_n")
+    cues.append(f"list_contains(ks, 'LOC') AND v IN ({sql.quoted(nm.CORE_PLACES_MORE)}) AS core")
+    out += [
+        "CASE WHEN h_PER THEN 'per_length=' || length(v) END", "CASE WHEN h_PER THEN 'surname=' || v[1] END", f"CASE WHEN h_PER AND v[1] IN ({sql.quoted(nm.NICKNAME_PREFIXES)}) THEN 'nickname' END", "CASE WHEN h_LOC THEN 'internal_place_suffixes=' || least(inner_n, 3) END",
+        "CASE WHEN core THEN 'core_place' END", "CASE WHEN core AND start = 0 THEN 'core_place_at_bos' END", "CASE WHEN core AND l_LOC THEN 'core_place_left_cue' END", "CASE WHEN core AND r_LOC THEN 'core_place_right_cue' END", *[f"CASE WHEN h_{k} THEN 'source={k}' END" for k in ("PER", "LOC", "ORG")],
+    ]
+    return f"""WITH {_CAND}, near AS (SELECT *, text[start + 1 : "end"] AS v, text[1 : start] AS bf, text["end" + 1 :] AS af, CASE WHEN start = 0 THEN '<BOS1>' ELSE text[start] END AS lc, CASE WHEN "end" >= length(text) THEN '<EOS1>' ELSE text["end" + 1] END AS rc,
+  concat_ws('+', CASE WHEN list_contains(ks, 'PER') THEN 'PER' END, CASE WHEN list_contains(ks, 'LOC') THEN 'LOC' END, CASE WHEN list_contains(ks, 'ORG') THEN 'ORG' END) AS shown FROM cand),
+classed AS (SELECT *, {sql.class_of("lc", "unicode(lc)")} AS lk, {sql.class_of("rc", "unicode(rc)")} AS rk, {", ".join(cues)} FROM near),
+named AS (SELECT unnest([{", ".join(out)}]) AS feature FROM classed)
+SELECT feature, count(*) AS n FROM named WHERE feature IS NOT NULL GROUP BY feature"""
+
+
+@query(_span_features_sql())
 def span_features(spark, sf_dir):
     return cn.features(cn.generate(bad_cases(spark))).select("sid", "start", "end", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
 
