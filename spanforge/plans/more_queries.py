@@ -199,3 +199,15 @@ def key_sets(spark, sf_dir):
     """Keys that stand on one side only; `labels.require_none` makes this an assertion."""
     asked, said = (table(spark, sf_dir, t).select(F.col("doc_id").alias("id")).distinct() for t in ("documents", "labels"))
     return labels.complete(asked, said)
+
+
+@query("SELECT d.doc_id, source, place FROM documents d JOIN (SELECT DISTINCT doc_id, (doc_id * 7 % 101)::BIGINT AS place FROM labels) l USING (doc_id)")
+def review_order(spark, sf_dir):
+    wanted = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") * 7 % 101).alias("place")).distinct()
+    return corpus.keep_order(wanted, table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "place").select("doc_id", "source", "place")
+
+
+@query("WITH w(feature, state, weight) AS (VALUES " + ", ".join(f"('{f}', '{s}', {w} / 1000000)" for f, s, w in mq.WEIGHTS) + ") SELECT feature, state, round(weight, 6) AS weight FROM w WHERE abs(weight) >= 0.5")
+def weights_pruned(spark, sf_dir):
+    w = spark.createDataFrame(list(mq.WEIGHTS), "feature string, state string, weight long").withColumn("weight", F.col("weight") / 1_000_000)
+    return features.prune(w, 0.5)

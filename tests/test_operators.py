@@ -304,3 +304,15 @@ def test_manifest_files_and_prompt_snapshot(spark, tmp_path):
     rows = spark.createDataFrame([("1", "x", 0), ("2", "y", 0), ("3", "z", 1)], "id string, text string, batch int")
     prompts.snapshot(prompts.prompts(rows, builder=lambda b: prompts.F.to_json(b)), str(tmp_path / "prompt"))
     assert spark.read.text(str(tmp_path / "prompt")).first().value == '[{"id":"1","text":"x"},{"id":"2","text":"y"}]'
+
+
+def test_candidates_of_a_stream(spark, tmp_path):
+    from spanforge.streaming import annotate
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": "1", "text": "we met anna there"}\n{"id": "2", "text": "annabel"}\n{"id": "3"}\n')
+    provider.table_function(spark, "stream_words", ["anna", "met"], provider.Options())
+    texts = spark.readStream.schema("id string, text string").json(str(tmp_path / "in"))
+    q = annotate.candidates_stream(texts, "stream_words").writeStream.format("memory").queryName("stream_found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.id, r.start_char, r.end_char) for r in spark.table("stream_found").collect()) == [("1", 3, 6), ("1", 7, 11)]
