@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ class Averaged:
 
 
 def predict(weights, features: list[list[str]], system: System = GENERIC) -> list[str]:
+    """The best tags by weights (feature or move, state)."""
     states = system.states
     scores = [[sum(weights.get((f, s), 0.0) for f in fs) for s in states] for fs in features]
     start = {i: weights.get(("T=<START>", states[i]), 0.0) for i in system.start}
@@ -47,27 +49,73 @@ def predict(weights, features: list[list[str]], system: System = GENERIC) -> lis
     return [states[i] for i in best_path(scores, start, moves, system.before, system.final)]
 
 
-def changes(features: list[list[str]], tags: list[str]) -> Counter:
-    """How often each weight (feature or move, state) counts for a sequence of tags."""
-    n = Counter((f, t) for fs, t in zip(features, tags, strict=True) for f in fs)
-    n.update((f"T={p}", t) for p, t in zip(["<START>", *tags], tags, strict=False))
-    return n
+class Tagger:
+    """A sequence perceptron over cases whose features are numbered: a row of weights for each feature, a column a state.
 
+    Row 0 is of no feature and stays zero; moves have the row of the state
+    before, the last row is of the start. Means as in `Averaged`.
+    """
+
+    def __init__(self, cases: list[tuple[list[list[str]], list[str]]], system: System = GENERIC, given: dict | None = None):
+        self.system, n = system, len(system.states)
+        self.number: dict[str, int] = {}
+        for features, _ in cases:
+            for fs in features:
+                for f in fs:
+                    self.number.setdefault(f, len(self.number) + 1)
+        self.now, self.moves = np.zeros((len(self.number) + 1, n)), np.zeros((n + 1, n))
+        self.other = {k: w for k, w in (given or {}).items() if not self._put(k, w)}
+        self.late, self.late_moves, self.steps = np.zeros_like(self.now), np.zeros_like(self.moves), 0
+        self.cases = []
+        for features, tags in cases:
+            flat = np.array([i for fs in features for i in (0, *(self.number[f] for f in fs))], np.int64)
+            size = np.array([1 + len(fs) for fs in features])
+            self.cases.append((flat, np.cumsum(size) - size, size, np.array([system.at[t] for t in tags], np.int64)))
+
+    def _put(self, key: tuple[str, str], w: float) -> bool:
+        """Take in a given weight; false if its feature isn't in the cases."""
+        f, state = key
+        if f.startswith("T=") and (f[2:] in self.system.at or f == "T=<START>"):
+            self.moves[self.system.at.get(f[2:], len(self.system.states)), self.system.at[state]] = w
+            return True
+        if f in self.number:
+            self.now[self.number[f], self.system.at[state]] = w
+        return f in self.number
+
+    def predict(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+        s, t = self.system, self.moves.tolist()
+        scores = np.add.reduceat(self.now[flat], first, axis=0).tolist() if len(first) else []
+        moves = {(p, c): t[p][c] for c, ps in enumerate(s.before) for p in ps}
+        return np.array(best_path(scores, {i: t[-1][i] for i in s.start}, moves, s.before, s.final), np.int64)
+
+    def one_pass(self, order: list[int]) -> int:
+        """Update on each case that is predicted wrongly, from its own step on; the number of those."""
+        wrong, start = 0, len(self.system.states)
+        for k in order:
+            flat, first, size, gold = self.cases[k]
+            said = self.predict(flat, first)
+            if not np.array_equal(said, gold):
+                wrong += 1
+                for path, by in ((gold, 1.0), (said, -1.0)):
+                    place = (flat, np.repeat(path, size))
+                    before = (np.concatenate([[start], path[:-1]]), path)
+                    np.add.at(self.now, place, by)
+                    np.add.at(self.late, place, by * self.steps)
+                    np.add.at(self.moves, before, by)
+                    np.add.at(self.late_moves, before, by * self.steps)
+                self.now[0] = self.late[0] = 0.0
+            self.steps += 1
+        return wrong
 
-def one_pass(model: Averaged, cases: list[tuple[list[list[str]], list[str]]], system: System = GENERIC) -> int:
-    """Update on each case that is predicted wrongly, from its own step on; the number of those."""
-    wrong = 0
-    for features, gold in cases:
-        said = predict(model.now, features, system)
-        if said != gold:
-            wrong += 1
-            by = changes(features, gold)
-            by.subtract(changes(features, said))
-            for key, n in by.items():
-                if n:
-                    model.add(key, float(n))
-        model.steps += 1
-    return wrong
+    def mean(self) -> dict[tuple[str, str], float]:
+        n, states = max(1, self.steps), self.system.states
+        own, moves = self.now - self.late / n, self.moves - self.late_moves / n
+        out = dict(self.other)
+        for f, i in self.number.items():
+            out.update({(f, states[c]): float(own[i, c]) for c in np.flatnonzero(own[i]).tolist()})
+        for p, name in enumerate((*states, "<START>")):
+            out.update({(f"T={name}", states[c]): float(moves[p, c]) for c in np.flatnonzero(moves[p]).tolist()})
+        return out
 
 
 def _rows(weights: dict, least: float) -> pd.DataFrame:
@@ -89,10 +137,10 @@ def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [([list(x) for x in f], list(t)) for f, t in pdf.sort_values("sid")[["features", "tags"]].itertuples(index=False)]
-        rng, model = random.Random(seed), Averaged()
+        rng, model, order = random.Random(seed), Tagger(own, system), list(range(len(own)))
         for _ in range(epochs):
-            rng.shuffle(own)
-            one_pass(model, own, system)
+            rng.shuffle(order)
+            model.one_pass(order)
         return _rows(model.mean(), least)
 
     return cases.select("sid", "features", "tags", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, _WEIGHTS)
@@ -114,9 +162,10 @@ def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int =
 
             def run(pdf: pd.DataFrame, epoch=epoch, given=given) -> pd.DataFrame:
                 own = [([list(x) for x in f], list(t)) for f, t in pdf.sort_values("sid")[["features", "tags"]].itertuples(index=False)]
-                random.Random(seed + epoch).shuffle(own)
-                model = Averaged(given.value)
-                one_pass(model, own, system)
+                order = list(range(len(own)))
+                random.Random(seed + epoch).shuffle(order)
+                model = Tagger(own, system, given.value)
+                model.one_pass(order)
                 return _rows(model.mean(), 0.0)
 
             found = put.groupBy("shard").applyInPandas(_single(run), _WEIGHTS).groupBy("feature", "state").agg(F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("w"))
