@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
+from spanforge.operators import lexicon
 from spanforge.operators.viterbi import STATES
 
 
@@ -15,20 +16,43 @@ def characters(sentences: DataFrame, key: str = "sid", text: str = "text") -> Da
     return sentences.where(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("pos"))
 
 
+def _named(c: list[Column], k: list[Column]) -> list[Column]:
+    """The 15 features of the five characters around a place, and of the classes of the middle three."""
+    cat = lambda name, *parts: F.concat(F.lit(name), *parts)
+    colon = F.lit(":")
+    # The names of the features.
+    return [
+        F.lit("bias"), cat("c0=", c[2]), cat("c-1=", c[1]), cat("c+1=", c[3]), cat("c-2=", c[0]), cat("c+2=", c[4]), cat("c-1c0=", c[1], c[2]), cat("c0c+1=", c[2], c[3]), cat("c-2c-1c0=", c[0], c[1], c[2]),
+        cat("c0c+1c+2=", c[2], c[3], c[4]), cat("k0=", k[1]), cat("k-1=", k[0]), cat("k+1=", k[2]), cat("k-1k0=", k[0], colon, k[1]), cat("k0k+1=", k[1], colon, k[2]),
+    ]
+
+
 def char_features(sentences: DataFrame, key: str = "sid", text: str = "text") -> DataFrame:
     """(key, pos, feature): the 15 features of characters, classes and their pairs and triples."""
     at = lambda d: tx.char_at(F.col(text), F.col("pos") + d)
     c = characters(sentences, key, text).select(key, "pos", *[at(d).alias(f"c{d + 2}") for d in range(-2, 3)])
     c = c.select(key, "pos", *[f"c{i}" for i in range(5)], *[tx.char_class(F.col(f"c{i}")).alias(f"k{i}") for i in (1, 2, 3)])
-    cat = lambda name, *cols: F.concat(F.lit(name), *[F.col(x) if isinstance(x, str) and x[0] in "ck" else F.lit(":") for x in cols])
-    # The names of the features.
-    out = [
-        F.lit("bias"), cat("c0=", "c2"), cat("c-1=", "c1"), cat("c+1=", "c3"), cat("c-2=", "c0"), cat("c+2=", "c4"), cat("c-1c0=", "c1", "c2"), cat("c0c+1=", "c2", "c3"), cat("c-2c-1c0=", "c0", "c1", "c2"),
-        cat("c0c+1c+2=", "c2", "c3", "c4"), cat("k0=", "k2"), cat("k-1=", "k1"), cat("k+1=", "k3"), cat("k-1k0=", "k1", ":", "k2"), cat("k0k+1=", "k2", ":", "k3"),
-    ]
+    out = _named([F.col(f"c{i}") for i in range(5)], [F.col(f"k{i}") for i in (1, 2, 3)])
     return c.select(key, "pos", F.explode(F.array(*out)).alias("feature"))
 
 
+def windows(text: Column, matches: Column) -> Column:
+    """Array of (text, pos, roles) by position: what its features depend on, the text two characters around and its roles in lexicon matches.
+
+    Texts have many fewer of these than positions with features; `spelt` makes the features of one.
+    """
+    before = lambda i: F.least(i, F.lit(2))
+    near = lambda i: F.struct(F.substring(text, i - before(i) + 1, before(i) + 3).alias("text"), before(i).alias("pos"), lexicon.roles(matches, i).alias("roles"))
+    n = F.length(text)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), near))
+
+
+def spelt(window: Column) -> Column:
+    """The features of one of `windows`: those of `char_features` and `lexicon.features`."""
+    c = [tx.char_at(window["text"], window["pos"] + d) for d in range(-2, 3)]
+    return F.concat(F.array(*_named(c, [tx.char_class(x) for x in c[1:4]])), lexicon.of_roles(window["roles"]))
+
+
 def emissions(features: DataFrame, weights: DataFrame, key: str = "sid") -> DataFrame:
     """(key, pos, o, b, m, e, s): summed weights (feature, o, b, m, e, s) of each place; unknown ones count 0.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
@@ -47,10 +47,11 @@ def match(sentences: DataFrame, words: DataFrame, most: int = 12, keep: tuple[st
     broadcast only if it is small enough.
     """
     lex = bounded(words.select("word").distinct(), most)
-    rows = lex.count()
-    heads = lex.groupBy(F.substring("word", 1, 2).alias("_head")).agg(F.collect_set(F.length("word")).alias("_lengths"))
+    head = F.substring("word", 1, 2)
+    rows, n_heads = lex.agg(F.count("*"), F.count_distinct(head)).first()
+    heads = lex.groupBy(head.alias("_head")).agg(F.collect_set(F.length("word")).alias("_lengths"))
     starts = sentences.where(F.length("text") >= 2).select(*keep, F.explode(F.sequence(F.lit(0), F.length("text") - 2)).alias("start"))
-    near = starts.withColumn("_head", F.substring(F.col("text"), F.col("start") + 1, F.lit(2))).join(_side(heads, rows), "_head")
+    near = starts.withColumn("_head", F.substring(F.col("text"), F.col("start") + 1, F.lit(2))).join(_side(heads, n_heads), "_head")
     spans = near.select(*keep, "start", F.explode(F.filter("_lengths", lambda n: F.col("start") + n <= F.length("text"))).alias("_n"))
     spans = spans.select(*keep, "start", (F.col("start") + F.col("_n")).alias("end"), F.substring(F.col("text"), F.col("start") + 1, F.col("_n")).alias("word"))
     return spans.join(_side(lex, rows), "word").select(*keep, "start", "end", "word")
@@ -67,11 +68,27 @@ def features(matches: DataFrame, prefix: str = "lx") -> DataFrame:
     """(sid, pos, feature): role of each position in a match, plain and with its length bucket."""
     n = F.col("end") - F.col("start")
     pos = matches.select("sid", "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
-    role = F.when(F.col("pos") == F.col("start"), "B").when(F.col("pos") == F.col("end") - 1, "E").otherwise("M")
+    role = _role(F.col("pos"), F.col("start"), F.col("end"))
     both = F.array(F.concat(F.lit(prefix + "="), role), F.concat(F.lit(prefix + "="), role, F.lit(":"), tx.length_bucket(n)))
     return pos.select("sid", "pos", F.explode(both).alias("feature")).distinct()
 
 
+def _role(pos: Column, start: Column, end: Column) -> Column:
+    return F.when(pos == start, "B").when(pos == end - 1, "E").otherwise("M")
+
+
+def roles(matches: Column, pos: Column) -> Column:
+    """The roles of a position in an array of matches (start, end), with their length buckets, each once."""
+    own = F.filter(matches, lambda m: (m["start"] <= pos) & (pos < m["end"]))
+    return F.array_sort(F.array_distinct(F.transform(own, lambda m: F.concat(_role(pos, m["start"], m["end"]), F.lit(":"), tx.length_bucket(m["end"] - m["start"])))))
+
+
+def of_roles(found: Column, prefix: str = "lx") -> Column:
+    """The features of `features` for a position of these roles."""
+    name = lambda r: F.concat(F.lit(prefix + "="), r)
+    return F.array_distinct(F.concat(F.transform(found, lambda r: name(F.substring_index(r, ":", 1))), F.transform(found, name)))
+
+
 def masks(matches: DataFrame) -> DataFrame:
     """(sid, pos, mask): a bit for each role (B, M, E, S) and length (2, 3, 4, 5 or more) that a place has in a match."""
     n = F.col("end") - F.col("start")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.viterbi import System, best_path
@@ -50,74 +52,223 @@ def predict(weights, features: list[list[str]], system: System = GENERIC) -> lis
 
 
 class Tagger:
-    """A sequence perceptron over cases whose features are numbered: a row of weights for each feature, a column a state.
+    """A sequence perceptron over cases whose places are numbers of feature lists: a row of weights for each feature, a column a state.
 
-    Row 0 is of no feature and stays zero; moves have the row of the state
-    before, the last row is of the start. Means as in `Averaged`.
+    Weights are held in whole parts, `unit` to 1, so that sums don't depend on
+    their order (exact below 2**53). Feature 0 is none and stays zero; moves
+    have the row of the state before, the last row is of the start. Means as
+    in `Averaged`. Weights change only at a case that is predicted wrongly,
+    so the cases up to the next one are predicted together.
     """
 
-    def __init__(self, cases: list[tuple[list[list[str]], list[str]]], system: System = GENERIC, given: dict | None = None):
-        self.system, n = system, len(system.states)
-        self.number: dict[str, int] = {}
-        for features, _ in cases:
-            for fs in features:
-                for f in fs:
-                    self.number.setdefault(f, len(self.number) + 1)
-        self.now, self.moves = np.zeros((len(self.number) + 1, n)), np.zeros((n + 1, n))
-        self.other = {k: w for k, w in (given or {}).items() if not self._put(k, w)}
+    #: Cases that are predicted together at least, places at most; lists that are summed at once.
+    LEAST_CASES, MOST_PLACES, MOST_LISTS = 8, 1 << 17, 1 << 14
+
+    def __init__(self, names: list[str], lists: tuple[np.ndarray, np.ndarray], cases: tuple[np.ndarray, np.ndarray, np.ndarray], system: System = GENERIC, given: dict | None = None, unit: int = 1):
+        """names of features from 1 on; lists: numbers of features, sizes; cases: numbers of lists, states, sizes."""
+        self.system, self.names, self.unit, n = system, names, unit, len(system.states)
+        (self.flat, self.list_size), (self.places, self.gold, self.size) = lists, cases
+        self.list_first, self.first = (np.cumsum(x) - x for x in (self.list_size, self.size))
+        self.now, self.moves = np.zeros((len(names) + 1, n)), np.zeros((n + 1, n))
+        number = {f: i for i, f in enumerate(names, 1)} if given else {}
+        self.other = {k: w for k, w in (given or {}).items() if not self._put(number, k, w)}
         self.late, self.late_moves, self.steps = np.zeros_like(self.now), np.zeros_like(self.moves), 0
-        self.cases = []
-        for features, tags in cases:
-            flat = np.array([i for fs in features for i in (0, *(self.number[f] for f in fs))], np.int64)
-            size = np.array([1 + len(fs) for fs in features])
-            self.cases.append((flat, np.cumsum(size) - size, size, np.array([system.at[t] for t in tags], np.int64)))
-
-    def _put(self, key: tuple[str, str], w: float) -> bool:
-        """Take in a given weight; false if its feature isn't in the cases."""
+        self._changed()
+
+    def _put(self, number: dict[str, int], key: tuple[str, str], w: int) -> bool:
+        """Take in a given weight, in parts; false if its feature isn't in the cases."""
         f, state = key
         if f.startswith("T=") and (f[2:] in self.system.at or f == "T=<START>"):
             self.moves[self.system.at.get(f[2:], len(self.system.states)), self.system.at[state]] = w
             return True
-        if f in self.number:
-            self.now[self.number[f], self.system.at[state]] = w
-        return f in self.number
+        if f in number:
+            self.now[number[f], self.system.at[state]] = w
+        return f in number
+
+    def _changed(self) -> None:
+        self.table, self.asked = None, 0
+
+    def _sums(self, lists: np.ndarray) -> np.ndarray:
+        """The scores of the states for lists of features."""
+        out = np.empty((len(lists), len(self.system.states)))
+        for i in range(0, len(lists), self.MOST_LISTS):
+            part = lists[i : i + self.MOST_LISTS]
+            size = self.list_size[part]
+            first = np.cumsum(size) - size
+            flat = self.flat[np.repeat(self.list_first[part] - first, size) + np.arange(size.sum())]
+            out[i : i + self.MOST_LISTS] = np.add.reduceat(self.now[flat], first, axis=0)
+        return out
 
-    def predict(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _scores(self, lists: np.ndarray) -> np.ndarray:
+        """As `_sums`; from a table of all lists once more places than lists were scored since the last change."""
+        if self.table is None and self.asked > len(self.list_size):
+            self.table = self._sums(np.arange(len(self.list_size)))
+        if self.table is not None:
+            return self.table[lists]
+        self.asked += len(lists)
+        return self._sums(lists)
+
+    def predict(self, k: int) -> np.ndarray:
         s, t = self.system, self.moves.tolist()
-        scores = np.add.reduceat(self.now[flat], first, axis=0).tolist() if len(first) else []
+        scores = self._scores(self.places[self.first[k] : self.first[k] + self.size[k]]).tolist()
         moves = {(p, c): t[p][c] for c, ps in enumerate(s.before) for p in ps}
         return np.array(best_path(scores, {i: t[-1][i] for i in s.start}, moves, s.before, s.final), np.int64)
 
+    def _right(self, order: np.ndarray) -> int:
+        """The number of cases before the first that `predict` gets wrong: `best_path` over all at once, the longest first."""
+        s, size = self.system, self.size[order]
+        by = np.argsort(-size, kind="stable")
+        size, first = size[by], self.first[order][by]
+        live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # cases that have the place t
+        last, back, now = np.zeros((len(s.states), len(order))), [], None
+        for t, k in enumerate(live):
+            e = self._scores(self.places[first[:k] + t]).T
+            then = np.full((len(s.states), k), -np.inf)
+            if now is None:
+                then[s.start] = e[s.start] + self.moves[-1, s.start][:, None]
+            else:
+                via, x, more = np.zeros(then.shape, np.int8), np.empty(k), np.empty(k, bool)
+                for c, ps in enumerate(s.before):
+                    np.add(now[ps[0], :k], self.moves[ps[0], c], out=then[c])
+                    via[c] = ps[0]
+                    for p in ps[1:]:
+                        np.add(now[p, :k], self.moves[p, c], out=x)
+                        np.greater(x, then[c], out=more)
+                        np.copyto(via[c], p, where=more)
+                        np.maximum(x, then[c], out=then[c])
+                    then[c] += e[c]
+                back.append(via)
+            now, ended = then, live[t + 1] if t + 1 < len(live) else 0
+            last[:, ended:k] = now[:, ended:k]
+        right, state = np.ones(len(order), bool), np.array(s.final)[np.argmax(last[s.final], axis=0)]
+        for t in range(len(live) - 1, -1, -1):
+            k = live[t]
+            right[:k] &= state[:k] == self.gold[first[:k] + t]
+            if t:
+                state[:k] = back[t - 1][state[:k], np.arange(k)]
+        return int(by[~right].min()) if not right.all() else len(order)
+
+    def _update(self, k: int) -> None:
+        at, start = slice(self.first[k], self.first[k] + self.size[k]), len(self.system.states)
+        lists, gold = self.places[at], self.gold[at].astype(np.int64)
+        size = self.list_size[lists]
+        flat = np.concatenate([self.flat[i : i + n] for i, n in zip(self.list_first[lists], size)])
+        for path, by in ((gold, 1), (self.predict(k), -1)):
+            place, before = (flat, np.repeat(path, size)), (np.concatenate([[start], path[:-1]]), path)
+            for now, late, where in ((self.now, self.late, place), (self.moves, self.late_moves, before)):
+                np.add.at(now, where, by * self.unit)
+                np.add.at(late, where, by * self.steps)
+        self.now[0] = self.late[0] = 0
+        self._changed()
+
     def one_pass(self, order: list[int]) -> int:
         """Update on each case that is predicted wrongly, from its own step on; the number of those."""
-        wrong, start = 0, len(self.system.states)
-        for k in order:
-            flat, first, size, gold = self.cases[k]
-            said = self.predict(flat, first)
-            if not np.array_equal(said, gold):
-                wrong += 1
-                for path, by in ((gold, 1.0), (said, -1.0)):
-                    place = (flat, np.repeat(path, size))
-                    before = (np.concatenate([[start], path[:-1]]), path)
-                    np.add.at(self.now, place, by)
-                    np.add.at(self.late, place, by * self.steps)
-                    np.add.at(self.moves, before, by)
-                    np.add.at(self.late_moves, before, by * self.steps)
-                self.now[0] = self.late[0] = 0.0
-            self.steps += 1
+        order, done, wrong, room = np.array(order, np.int64), 0, 0, self.LEAST_CASES
+        while done < len(order):
+            some = order[done : done + room]
+            some = some[: max(1, np.searchsorted(np.cumsum(self.size[some]), self.MOST_PLACES, side="right"))]
+            right = self._right(some)
+            self.steps, done = self.steps + right, done + right
+            if right == len(some):
+                room = 2 * len(some)
+                continue
+            self._update(some[right])
+            self.steps, done, wrong, room = self.steps + 1, done + 1, wrong + 1, max(self.LEAST_CASES, 2 * right)
         return wrong
 
     def mean(self) -> dict[tuple[str, str], float]:
         n, states = max(1, self.steps), self.system.states
-        own, moves = self.now - self.late / n, self.moves - self.late_moves / n
-        out = dict(self.other)
-        for f, i in self.number.items():
-            out.update({(f, states[c]): float(own[i, c]) for c in np.flatnonzero(own[i]).tolist()})
+        own, moves = self.now / self.unit - self.late / n, self.moves / self.unit - self.late_moves / n
+        out = {k: w / self.unit for k, w in self.other.items()}
+        for i, c in np.argwhere(own).tolist():
+            out[self.names[i - 1], states[c]] = float(own[i, c])
         for p, name in enumerate((*states, "<START>")):
             out.update({(f"T={name}", states[c]): float(moves[p, c]) for c in np.flatnonzero(moves[p]).tolist()})
         return out
 
 
+class _Shard:
+    """What a task holds of a shard: features numbered, lists by their code, cases as numbers of lists."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.codes, self.flat, self.list_size, self.places, self.gold, self.size = [], [], [], [], [], []
+        self.known = None
+
+    def lists(self, codes: pa.Array, features: pa.ListArray) -> None:
+        said = features.flatten().dictionary_encode()
+        number = np.array([self.number.setdefault(f, len(self.number) + 1) for f in said.dictionary.to_pylist()], np.int32)
+        size = features.value_lengths().to_numpy() + 1
+        own = np.ones(size.sum(), bool)
+        own[np.cumsum(size) - size] = False
+        flat = np.zeros(len(own), np.int32)  # feature 0 begins each list, as a sum needs one at least
+        flat[own] = number[said.indices.to_numpy()]
+        self.flat.append(flat)
+        self.list_size.append(size)
+        self.codes.append(codes.flatten().to_numpy())
+
+    def cases(self, codes: pa.ListArray, states: pa.ListArray) -> None:
+        if self.known is None:
+            every = np.concatenate([np.zeros(0, np.int64), *self.codes])
+            self.order = np.argsort(every).astype(np.int32)
+            self.known, self.codes = every[self.order], []
+            if (self.known[1:] == self.known[:-1]).any():
+                raise ValueError("two feature lists have one 64-bit code")
+        size, gold = codes.value_lengths().to_numpy(), states.flatten().to_numpy()
+        if not np.array_equal(size, states.value_lengths().to_numpy()) or (gold < 0).any():
+            raise ValueError("cases must have a known tag for each place")
+        self.places.append(self.order[np.searchsorted(self.known, codes.flatten().to_numpy())])
+        self.gold.append(gold)
+        self.size.append(size)
+
+    def tagger(self, system: System, given: dict | None = None, unit: int = 1) -> Tagger:
+        one = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        lists = one(self.flat, np.int32), one(self.list_size, np.int64)
+        cases = one(self.places, np.int32), one(self.gold, np.int8), one(self.size, np.int64)
+        self.flat, self.places, self.gold = [], [], []
+        return Tagger(list(self.number), lists, cases, system, given, unit)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    """The shards of rows of `_coded`, one after the other."""
+    held, own = None, None
+    for b in batches:
+        kinds = np.stack([b["shard"].to_numpy(), b["features"].is_null().to_numpy(zero_copy_only=False)])
+        cuts = [0, *(np.flatnonzero((kinds[:, 1:] != kinds[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            shard, case = kinds[:, i].tolist()
+            if shard != own:
+                if held is not None:
+                    yield held
+                held, own = _Shard(), shard
+            x = b.slice(i, j - i)
+            if case:
+                held.cases(x["codes"], x["states"])
+            else:
+                held.lists(x["codes"], x["features"])
+    if held is not None:
+        yield held
+
+
+def _coded(cases: DataFrame, shards: int, system: System, spell: Callable[[Column], Column]) -> DataFrame:
+    """(shard, codes, states, features) by shard: first a row for each feature list, then the cases in the order of sid.
+
+    A list is told by its 64-bit hash (two of the same in a shard are an
+    error), so that a place of a case is a number, and features are spelt
+    once for each list that differs.
+    """
+    put = cases.select((F.lit(0) if shards == 1 else F.pmod(F.xxhash64("sid"), F.lit(shards))).cast("int").alias("shard"), "sid", "features", "tags")
+    state = F.array(*[F.lit(s) for s in system.states])
+    lists = put.select("shard", F.explode_outer("features").alias("f")).where("f is not null").distinct()  # outer: else Spark makes the arrays once more, to filter empty ones
+    lists = lists.select("shard", F.lit(None).cast("string").alias("sid"), F.array(F.xxhash64("f")).alias("codes"), F.lit(None).cast("array<tinyint>").alias("states"), spell(F.col("f")).alias("features"))
+    own = put.select("shard", "sid", F.transform("features", lambda f: F.xxhash64(f)).alias("codes"), F.transform("tags", lambda t: (F.array_position(state, t) - 1).cast("tinyint")).alias("states"), F.lit(None).cast("array<string>").alias("features"))
+    rows = lists.unionByName(own)
+    dealt = rows.repartition(1) if shards == 1 else rows.repartitionById(shards, "shard")
+    return dealt.sortWithinPartitions("shard", F.col("features").isNull(), "sid", "states").drop("sid")
+
+
 def _rows(weights: dict, least: float) -> pd.DataFrame:
     found = sorted((f, s, round(w, 6)) for (f, s), w in weights.items() if abs(w) >= least)
     return pd.DataFrame(found, columns=["feature", "state", "weight"])
@@ -126,62 +277,63 @@ def _rows(weights: dict, least: float) -> pd.DataFrame:
 _WEIGHTS = "feature string, state string, weight double"
 
 
-def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None) -> DataFrame:
+def _batch(rows: pd.DataFrame) -> pa.RecordBatch:
+    kind = pa.schema([("feature", pa.string()), ("state", pa.string()), ("weight", pa.float64())])
+    return pa.RecordBatch.from_pandas(rows, kind, preserve_index=False)
+
+
+def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None, spell: Callable[[Column], Column] = lambda f: f) -> DataFrame:
     """Weights (feature, state, weight) of one sequential run in a seeded order; generic, or with states of `types`.
 
-    One task sees all cases, as the updates depend on each other: for small
-    sets, and to compare with. `train_mixed` is the form for many cases.
+    Cases are (sid, features by position, tags by position); `spell` makes an
+    array of features of what `features` has for a position, if it isn't one.
+    One task sees all cases, as the updates depend on each other; it holds a
+    number and a tag for each position, and each list of features once.
     """
-
     system = System(types)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [([list(x) for x in f], list(t)) for f, t in pdf.sort_values("sid")[["features", "tags"]].itertuples(index=False)]
-        rng, model, order = random.Random(seed), Tagger(own, system), list(range(len(own)))
-        for _ in range(epochs):
-            rng.shuffle(order)
-            model.one_pass(order)
-        return _rows(model.mean(), least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            rng, model = random.Random(seed), shard.tagger(system)
+            order = list(range(len(model.size)))
+            for _ in range(epochs):
+                rng.shuffle(order)
+                model.one_pass(order)
+            yield _batch(_rows(model.mean(), least))
 
-    return cases.select("sid", "features", "tags", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, _WEIGHTS)
+    return _coded(cases, 1, system, spell).mapInArrow(run, _WEIGHTS)
 
 
-def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None) -> DataFrame:
+def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None, spell: Callable[[Column], Column] = lambda f: f) -> DataFrame:
     """Iterative parameter mixing: each shard runs a pass from the mixed weights, then the means are mixed.
 
-    The weights of one pass come back to the driver (one row a feature and
-    state, not a case; MOST_WEIGHTS at most) and go out again as a broadcast.
+    Cases and `spell` as in `train_exact`. The weights of one pass come back
+    to the driver (one row a feature and state, not a case; MOST_WEIGHTS at
+    most) and go out again as a broadcast, in whole millionths of a shard.
     A shard is what one task holds: take more shards for more cases.
     """
-    spark, system = cases.sparkSession, System(types)
-    put = cases.select("sid", "features", "tags", F.pmod(F.xxhash64("sid"), F.lit(shards)).alias("shard")).persist()
-    mixed: dict[tuple[str, str], float] = {}
+    spark, system, unit = cases.sparkSession, System(types), 1_000_000 * shards
+    put = _coded(cases, shards, system, spell).persist()
+    mixed: dict[tuple[str, str], int] = {}
     try:
         for epoch in range(epochs):
             given = spark.sparkContext.broadcast(mixed)
 
-            def run(pdf: pd.DataFrame, epoch=epoch, given=given) -> pd.DataFrame:
-                own = [([list(x) for x in f], list(t)) for f, t in pdf.sort_values("sid")[["features", "tags"]].itertuples(index=False)]
-                order = list(range(len(own)))
-                random.Random(seed + epoch).shuffle(order)
-                model = Tagger(own, system, given.value)
-                model.one_pass(order)
-                return _rows(model.mean(), 0.0)
+            def run(batches: Iterator[pa.RecordBatch], epoch=epoch, given=given) -> Iterator[pa.RecordBatch]:
+                for shard in _shards(batches):
+                    model = shard.tagger(system, given.value, unit)
+                    order = list(range(len(model.size)))
+                    random.Random(seed + epoch).shuffle(order)
+                    model.one_pass(order)
+                    yield _batch(_rows(model.mean(), 0.0))
 
-            found = put.groupBy("shard").applyInPandas(_single(run), _WEIGHTS).groupBy("feature", "state").agg(F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("w"))
-            mixed = {(r.feature, r.state): r.w / 1_000_000 / shards for r in found.limit(MOST_WEIGHTS + 1).toLocalIterator() if r.w}
+            found = put.mapInArrow(run, _WEIGHTS).groupBy("feature", "state").agg(F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("w"))
+            mixed = {(r.feature, r.state): r.w for r in found.limit(MOST_WEIGHTS + 1).toLocalIterator() if r.w}
             if len(mixed) > MOST_WEIGHTS:
                 raise ValueError(f"more than {MOST_WEIGHTS} weights")
     finally:
         put.unpersist()
-    return spark.createDataFrame(_rows(mixed, least), _WEIGHTS)
-
-
-def _single(f):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return f(pdf)
-
-    return run
+    return spark.createDataFrame(_rows({k: w / unit for k, w in mixed.items()}, least), _WEIGHTS)
 
 
 def train_spans(candidates: DataFrame, epochs: int = 5, seed: int = 29, least: float = 0.05, positive: float = 4.0) -> DataFrame:

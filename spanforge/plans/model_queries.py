@@ -656,27 +656,30 @@ def provider_gated(spark, sf_dir):
 
 
 def generic_cases(spark: SparkSession, sf_dir: str, which: str = "train", typed: bool = False) -> DataFrame:
-    """Cases with the features of characters and those of a gazetteer: the surfaces of the train split."""
+    """Cases with the features of characters and those of a gazetteer, the surfaces of the train split, as `ft.windows`."""
     every = split_rows(spark, sf_dir)
     rows = every.where(F.col("split") == which)
     known = every.where("split = 'train'").select("text", F.inline("spans")).select(tx.slice_of(F.col("text"), F.col("start"), F.col("end")).alias("word")).distinct()
-    return perceptron.training_cases(ft.char_features(rows).unionByName(lx.features(lx.match(rows, known, 64))), tags.exploded(rows, typed=typed))
+    found = lx.match(rows, known, 64).groupBy("sid").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    met = rows.where(F.length("text") > 0).join(found, "sid", "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return met.select("sid", ft.windows(F.col("text"), F.coalesce("found", none)).alias("features"), tags.spans_to_tags(F.col("text"), F.col("spans"), typed).alias("tags"))
 
 
 @query()
 def perceptron_train_typed(spark, sf_dir):
     """States of each type; the case sets of the HMM."""
-    return perceptron.train_mixed(generic_cases(spark, sf_dir, typed=True), shards=4, types=TYPES)
+    return perceptron.train_mixed(generic_cases(spark, sf_dir, typed=True), shards=4, types=TYPES, spell=ft.spelt)
 
 
 @query()
 def perceptron_train_exact(spark, sf_dir):
-    return perceptron.train_exact(generic_cases(spark, sf_dir))
+    return perceptron.train_exact(generic_cases(spark, sf_dir), spell=ft.spelt)
 
 
 @query()
 def perceptron_train_mixed(spark, sf_dir):
-    return perceptron.train_mixed(generic_cases(spark, sf_dir), shards=4)
+    return perceptron.train_mixed(generic_cases(spark, sf_dir), shards=4, spell=ft.spelt)
 
 
 @query(sql.base(sql.LEXICON, sql.MATCHES) + r""" SELECT sid, start, "end", (60.0 * ("end" - start) - 10.0)::FLOAT AS score FROM matches WHERE NOT (start > 0 AND regexp_full_match(substring(text, start, 2), '[0-9A-Za-z]{2}')) AND NOT ("end" < length(text) AND regexp_full_match(substring(text, "end", 2), '[0-9A-Za-z]{2}'))""")

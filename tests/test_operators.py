@@ -316,3 +316,91 @@ def test_candidates_of_a_stream(spark, tmp_path):
     q = annotate.candidates_stream(texts, "stream_words").writeStream.format("memory").queryName("stream_found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.id, r.start_char, r.end_char) for r in spark.table("stream_found").collect()) == [("1", 3, 6), ("1", 7, 11)]
+
+
+def test_windows_spell_the_same_features(spark):
+    words = spark.createDataFrame([("北京",), ("北京大学",), ("ab",), ("b<c",), ("𠀀𠀁𠀂𠀃𠀄𠀅",)], "word string")
+    rows = spark.createDataFrame([("a", "访问北京大学"), ("b", "x"), ("c", ""), ("d", None), ("e", "ab<c ab"), ("f", "<BOS1>ab"), ("g", "𠀀𠀁𠀂𠀃𠀄𠀅 1"), ("h", "ab")], "sid string, text string")
+    found = lexicon.match(rows, words, 64)
+    want = {}
+    for r in features.char_features(rows).unionByName(lexicon.features(found)).collect():
+        want.setdefault((r.sid, r.pos), []).append(r.feature)
+    met = rows.join(found.groupBy("sid").agg(F.collect_set(F.struct("start", "end")).alias("m")), "sid", "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    got = met.select("sid", F.posexplode(features.windows(F.col("text"), F.coalesce("m", none))).alias("pos", "w")).select("sid", "pos", features.spelt(F.col("w")).alias("fs"))
+    assert {(r.sid, r.pos): sorted(r.fs) for r in got.collect()} == {k: sorted(v) for k, v in want.items()}
+
+
+def noisy_cases(n, types=None, seed=5):
+    """Cases whose tags often contradict each other, of 0 to 12 places, some without features."""
+    import random
+
+    rng, end = random.Random(seed), "" if types is None else "_PER"
+    out = []
+    for i in range(n):
+        tags, size = [], rng.randrange(13)
+        while len(tags) < size:
+            k = rng.choice([0, 0, 0, 1, 2, 3])
+            tags += ["O"] if k == 0 else ["S" + end] if k == 1 else ["B" + end, *["M" + end] * (k - 2), "E" + end]
+        out.append((f"{i:05d}", [[f"{t[0]}{rng.randrange(4)}" for _ in range(rng.randrange(3))] for t in tags], tags))
+    return out
+
+
+def one_by_one(cases, model, order, by):
+    """A pass that predicts each case by itself."""
+    from spanforge.operators import viterbi
+
+    system = viterbi.System(None if "_" not in "".join(t for _, _, ts in cases for t in ts) else ("PER", "ORG"))
+    for k in order:
+        _, fs, gold = cases[k]
+        said = perceptron.predict(model.now, fs, system)
+        if said != gold:
+            for path, sign in ((gold, 1), (said, -1)):
+                for f, t in zip(fs, path):
+                    for x in f:
+                        model.add((x, t), sign * by)
+                for a, b in zip(("<START>", *path), path):
+                    model.add((f"T={a}", b), sign * by)
+        model.steps += 1
+
+
+@pytest.mark.parametrize("types", [None, ("PER", "ORG")])
+def test_exact_equals_one_case_at_a_time(spark, types):
+    import random
+
+    cases = noisy_cases(400, types)
+    d = spark.createDataFrame(cases, "sid string, features array<array<string>>, tags array<string>").repartition(5)
+    got = {(r.feature, r.state): r.weight for r in perceptron.train_exact(d, epochs=3, seed=11, least=0.0, types=types).collect()}
+    rng, model, order = random.Random(11), perceptron.Averaged(), list(range(len(cases)))
+    for _ in range(3):
+        rng.shuffle(order)
+        one_by_one(cases, model, order, 1.0)
+    want = {k: w for k, w in model.mean().items() if abs(w) > 1e-9}
+    got = {k: w for k, w in got.items() if abs(w) > 0}
+    assert all(abs(got.get(k, 0) - want.get(k, 0)) < 2e-6 for k in got.keys() | want.keys()) and len(got) > 20
+
+
+MANY = 30_000
+
+
+def trained_in_time(spark, form, types=None, **more):
+    """Weights of many cases of two sentences, within a minute."""
+    import time
+
+    end = "" if types is None else "_ORG"
+    text = ["w%d" % (i % 9) for i in range(30)]
+    tags = [["O"] * 10 + ["B" + end, *["M" + end] * 8, "E" + end] + ["O"] * 10, ["O"] * 30]
+    one = [(i, [[w, f"{w}{i}", "bias", *(["in"] if t[0] in "BME" else []), f"t{t[0]}"] for w, t in zip(text, ts)], ts) for i, ts in enumerate(tags)]
+    two = spark.createDataFrame(one, "i long, features array<array<string>>, tags array<string>")
+    d = spark.range(MANY).select(F.col("id").cast("string").alias("sid"), F.pmod("id", F.lit(2)).alias("i")).join(F.broadcast(two), "i").drop("i")
+    began = time.time()
+    w = {(r.feature, r.state): r.weight for r in form(d, types=types, **more).collect()}
+    took = time.time() - began
+    from spanforge.operators import viterbi
+
+    assert all(perceptron.predict(w, fs, viterbi.System(types)) == ts for _, fs, ts in one)
+    assert took < 60, took
+
+
+def test_exact_trains_on_many_cases_in_time(spark):
+    trained_in_time(spark, perceptron.train_exact)
