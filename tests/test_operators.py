@@ -404,3 +404,32 @@ def trained_in_time(spark, form, types=None, **more):
 
 def test_exact_trains_on_many_cases_in_time(spark):
     trained_in_time(spark, perceptron.train_exact)
+
+
+@pytest.mark.parametrize("types", [None])
+def test_mixed_equals_shards_of_one_case_at_a_time(spark, types):
+    """Mixed weights are whole parts, so that equal scores are equal however they are added."""
+    import random
+
+    shards, cases = 3, noisy_cases(240, types)
+    d = spark.createDataFrame(cases, "sid string, features array<array<string>>, tags array<string>").repartition(5)
+    at = {r.sid: r.k for r in d.select("sid", F.pmod(F.xxhash64("sid"), F.lit(shards)).alias("k")).collect()}
+    unit, mixed = 1_000_000 * shards, {}
+    for epoch in range(3):
+        total = {}
+        for k in range(shards):
+            own, model = [c for c in cases if at[c[0]] == k], perceptron.Averaged(mixed)
+            order = list(range(len(own)))
+            random.Random(7 + epoch).shuffle(order)
+            one_by_one(own, model, order, unit)
+            for key, w in model.mean().items():
+                total[key] = total.get(key, 0) + round(w / unit * 1_000_000)
+        mixed = total
+    want = {k: w / unit for k, w in mixed.items() if w}
+    got = {(r.feature, r.state): r.weight for r in perceptron.train_mixed(d, shards=shards, epochs=3, seed=7, least=0.0, types=types).collect()}
+    # A mean that lies between two millionths may be rounded either way.
+    assert all(abs(got.get(k, 0) - want.get(k, 0)) < 1e-5 for k in got.keys() | want.keys()) and len(got) > 20
+
+
+def test_mixed_trains_on_many_cases_in_time(spark):
+    trained_in_time(spark, perceptron.train_mixed, shards=2)
