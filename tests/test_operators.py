@@ -406,7 +406,7 @@ def test_exact_trains_on_many_cases_in_time(spark):
     trained_in_time(spark, perceptron.train_exact)
 
 
-@pytest.mark.parametrize("types", [None])
+@pytest.mark.parametrize("types", [None, ("PER", "ORG")])
 def test_mixed_equals_shards_of_one_case_at_a_time(spark, types):
     """Mixed weights are whole parts, so that equal scores are equal however they are added."""
     import random
@@ -433,3 +433,7 @@ def test_mixed_equals_shards_of_one_case_at_a_time(spark, types):
 
 def test_mixed_trains_on_many_cases_in_time(spark):
     trained_in_time(spark, perceptron.train_mixed, shards=2)
+
+
+def test_typed_trains_on_many_cases_in_time(spark):
+    trained_in_time(spark, perceptron.train_mixed, types=("PER", "LOC", "ORG", "BRAND"), shards=2)
