@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +56,66 @@ def spelt(window: Column) -> Column:
     return F.concat(F.array(*_named(c, [tx.char_class(x) for x in c[1:4]])), lexicon.of_roles(window["roles"]))
 
 
+class _Numbers:
+    """Numbers of keys from 0 on, in the order in which they are first seen."""
+
+    def __init__(self):
+        self.known, self.numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def put(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of keys, and where in them each new key stands first."""
+        at, seen = pd.factorize(keys)
+        place, n = np.searchsorted(self.known, seen), len(self.known)
+        fresh = np.ones(len(seen), bool)
+        inside = place < n
+        fresh[inside] = self.known[place[inside]] != seen[inside]
+        number, new = np.empty(len(seen), np.int64), np.flatnonzero(fresh)
+        number[~fresh] = self.numbers[place[~fresh]]
+        number[new] = n + np.arange(len(new))
+        by = new[np.argsort(seen[new])]
+        self.known, self.numbers = np.insert(self.known, place[by], seen[by]), np.insert(self.numbers, place[by], number[by])
+        first = np.empty(len(seen), np.int64)
+        first[at[::-1]] = np.arange(len(keys) - 1, -1, -1)
+        return number[at], first[new]
+
+
+class Windows:
+    """The `windows` of texts that come in batches, as numbers from 0 on in the order in which they are first seen.
+
+    Keys are the code points themselves and a bit a role, so that no two windows have one number.
+    """
+
+    #: The type of a window; what stands for a place outside a text.
+    KIND, OUTSIDE = "struct<text:string,pos:int,roles:array<string>>", 0x110000
+    #: Roles in code-point order, as `lexicon.roles` has them.
+    ROLES = [f"{r}:{n}" for r in "BEM" for n in ("1", "2", "3", "4", "5+")]
+
+    def __init__(self):
+        self.left, self.right, self.both = _Numbers(), _Numbers(), _Numbers()
+
+    def put(self, texts: pa.Array, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+        """Numbers by position, sizes of texts, and the new windows; found: lexicon matches (start, end) of each text."""
+        said = texts.to_pylist()
+        size = np.fromiter(map(len, said), np.int64, len(said))
+        first, place = np.cumsum(size) - size, np.arange(size.sum()) + np.repeat(4 * np.arange(len(size)) + 2, size)
+        char = np.full(size.sum() + 4 * len(size), self.OUTSIDE, np.int64)
+        char[place] = np.frombuffer("".join(said).encode("utf-32-le"), np.uint32)
+        of, i, start, end, _ = lexicon.places(found, size)
+        n = np.minimum(end - start, 5)
+        role = np.where(i == start, 0, np.where(i == end - 1, 1, 2))
+        mask = np.zeros(size.sum(), np.int64)
+        np.bitwise_or.at(mask, first[of] + i, 1 << (role * 5 + n - 1))
+        left = self.left.put(char[place - 2] << 42 | char[place - 1] << 21 | char[place])[0]
+        right = self.right.put(mask << 42 | char[place + 1] << 21 | char[place + 2])[0]
+        number, new = self.both.put(left << 31 | right)
+        around = char[place[new][:, None] + np.arange(-2, 3)]
+        fresh = [
+            {"text": "".join(chr(c) for c in cs if c != self.OUTSIDE), "pos": 2 - cs[:2].count(self.OUTSIDE), "roles": [r for k, r in enumerate(self.ROLES) if m >> k & 1]}
+            for cs, m in zip(around.tolist(), mask[new].tolist())
+        ]
+        return number, size, fresh
+
+
 def emissions(features: DataFrame, weights: DataFrame, key: str = "sid") -> DataFrame:
     """(key, pos, o, b, m, e, s): summed weights (feature, o, b, m, e, s) of each place; unknown ones count 0.
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.operators import features as ft
+from spanforge.operators import tags as tg
 from spanforge.operators.viterbi import System, best_path
 
 #: Weights that workers and the driver hold at once.
@@ -61,8 +63,8 @@ class Tagger:
     so the cases up to the next one are predicted together.
     """
 
-    #: Cases that are predicted together at least, places at most; lists that are summed at once.
-    LEAST_CASES, MOST_PLACES, MOST_LISTS = 8, 1 << 17, 1 << 14
+    #: Cases that are predicted together at least, places at most; lists that are summed at once, and whose sums are kept at most.
+    LEAST_CASES, MOST_PLACES, MOST_LISTS, MOST_KEPT = 8, 1 << 17, 1 << 14, 1 << 20
 
     def __init__(self, names: list[str], lists: tuple[np.ndarray, np.ndarray], cases: tuple[np.ndarray, np.ndarray, np.ndarray], system: System = GENERIC, given: dict | None = None, unit: int = 1):
         """names of features from 1 on; lists: numbers of features, sizes; cases: numbers of lists, states, sizes."""
@@ -73,7 +75,22 @@ class Tagger:
         number = {f: i for i, f in enumerate(names, 1)} if given else {}
         self.other = {k: w for k, w in (given or {}).items() if not self._put(number, k, w)}
         self.late, self.late_moves, self.steps = np.zeros_like(self.now), np.zeros_like(self.moves), 0
-        self._changed()
+        self.kept = np.empty((len(self.list_size), n)) if len(self.list_size) <= self.MOST_KEPT else None
+        self.summed = np.zeros(len(self.list_size), bool)
+        # States in an order that has those before each in the order of ties; states that the same may stand before, by size of both.
+        self.order = np.array(list(dict.fromkeys(p for ps in system.before for p in ps)))
+        same: dict[tuple, list[int]] = {}
+        for c, ps in enumerate(system.before):
+            same.setdefault(tuple(ps), []).append(c)
+        if any(sorted(ps, key=self.order.tolist().index) != list(ps) for ps in same):
+            raise ValueError("states must have one order of ties")
+        shapes: dict[tuple[int, int], list] = {}
+        for ps, cs in same.items():
+            shapes.setdefault((len(ps), len(cs)), []).append((ps, cs))
+        self.steps_of = [(np.array([ps for ps, _ in x]), np.array([cs for _, cs in x])) for x in shapes.values()]
+        self.barred = np.full((len(self.order), n), -np.inf)
+        for c, ps in enumerate(system.before):
+            self.barred[np.isin(self.order, ps), c] = 0
 
     def _put(self, number: dict[str, int], key: tuple[str, str], w: int) -> bool:
         """Take in a given weight, in parts; false if its feature isn't in the cases."""
@@ -85,9 +102,6 @@ class Tagger:
             self.now[number[f], self.system.at[state]] = w
         return f in number
 
-    def _changed(self) -> None:
-        self.table, self.asked = None, 0
-
     def _sums(self, lists: np.ndarray) -> np.ndarray:
         """The scores of the states for lists of features."""
         out = np.empty((len(lists), len(self.system.states)))
@@ -99,53 +113,60 @@ class Tagger:
             out[i : i + self.MOST_LISTS] = np.add.reduceat(self.now[flat], first, axis=0)
         return out
 
-    def _scores(self, lists: np.ndarray) -> np.ndarray:
-        """As `_sums`; from a table of all lists once more places than lists were scored since the last change."""
-        if self.table is None and self.asked > len(self.list_size):
-            self.table = self._sums(np.arange(len(self.list_size)))
-        if self.table is not None:
-            return self.table[lists]
-        self.asked += len(lists)
-        return self._sums(lists)
+    def _scores(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A table of `_sums`, and the rows of lists in it; a list is summed once between two changes, if they aren't too many to be kept."""
+        if self.kept is None:
+            own, at = np.unique(lists, return_inverse=True)
+            return self._sums(own), at
+        new = np.zeros(len(self.summed), bool)
+        new[lists] = True
+        own = np.flatnonzero(new & ~self.summed)
+        self.kept[own], self.summed[own] = self._sums(own), True
+        return self.kept, lists
 
     def predict(self, k: int) -> np.ndarray:
         s, t = self.system, self.moves.tolist()
-        scores = self._scores(self.places[self.first[k] : self.first[k] + self.size[k]]).tolist()
+        table, at = self._scores(self.places[self.first[k] : self.first[k] + self.size[k]])
         moves = {(p, c): t[p][c] for c, ps in enumerate(s.before) for p in ps}
-        return np.array(best_path(scores, {i: t[-1][i] for i in s.start}, moves, s.before, s.final), np.int64)
+        return np.array(best_path(table[at].tolist(), {i: t[-1][i] for i in s.start}, moves, s.before, s.final), np.int64)
 
     def _right(self, order: np.ndarray) -> int:
-        """The number of cases before the first that `predict` gets wrong: `best_path` over all at once, the longest first."""
+        """The number of cases before the first that `predict` gets wrong: `best_path` over all at once, the longest first.
+
+        A case is right if the best way to the last tag, and to each tag from the one before, is that of its own tags.
+        """
         s, size = self.system, self.size[order]
         by = np.argsort(-size, kind="stable")
         size, first = size[by], self.first[order][by]
         live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # cases that have the place t
-        last, back, now = np.zeros((len(s.states), len(order))), [], None
+        start = np.cumsum(live) - live
+        at = np.concatenate([np.zeros(0, np.int64), *[first[:k] + t for t, k in enumerate(live)]])
+        table, lists = self._scores(self.places[at])
+        gold, moves = self.gold[at], self.moves[:-1]
+        own, first_moves = moves[self.order] + self.barred, self.moves[-1, s.start][:, None]
+        last, right, now = np.zeros((len(s.states), len(order))), np.ones(len(order), bool), None
         for t, k in enumerate(live):
-            e = self._scores(self.places[first[:k] + t]).T
+            here = slice(start[t], start[t] + k)
+            e = table[lists[here]].T
             then = np.full((len(s.states), k), -np.inf)
             if now is None:
-                then[s.start] = e[s.start] + self.moves[-1, s.start][:, None]
+                then[s.start] = e[s.start] + first_moves
             else:
-                via, x, more = np.zeros(then.shape, np.int8), np.empty(k), np.empty(k, bool)
-                for c, ps in enumerate(s.before):
-                    np.add(now[ps[0], :k], self.moves[ps[0], c], out=then[c])
-                    via[c] = ps[0]
-                    for p in ps[1:]:
-                        np.add(now[p, :k], self.moves[p, c], out=x)
-                        np.greater(x, then[c], out=more)
-                        np.copyto(via[c], p, where=more)
-                        np.maximum(x, then[c], out=then[c])
-                    then[c] += e[c]
-                back.append(via)
+                now = now[:, :k]
+                for before, after in self.steps_of:
+                    best = now[before[:, 0]][:, None] + moves[before[:, :1], after][:, :, None]
+                    x = np.empty_like(best)
+                    for p in before.T[1:]:
+                        np.maximum(best, np.add(now[p][:, None], moves[p[:, None], after][:, :, None], out=x), out=best)
+                    then[after.ravel()] = best.reshape(-1, k)
+                then += e
+                via = np.argmax(now[self.order] + own[:, gold[here]], axis=0)  # the first of equals
+                right[:k] &= self.order[via] == gold[start[t - 1] : start[t - 1] + k]
             now, ended = then, live[t + 1] if t + 1 < len(live) else 0
             last[:, ended:k] = now[:, ended:k]
-        right, state = np.ones(len(order), bool), np.array(s.final)[np.argmax(last[s.final], axis=0)]
-        for t in range(len(live) - 1, -1, -1):
-            k = live[t]
-            right[:k] &= state[:k] == self.gold[first[:k] + t]
-            if t:
-                state[:k] = back[t - 1][state[:k], np.arange(k)]
+        filled = size > 0
+        ends = gold[(start[size[filled] - 1] + np.flatnonzero(filled))]
+        right[filled] &= np.array(s.final)[np.argmax(last[s.final], axis=0)][filled] == ends
         return int(by[~right].min()) if not right.all() else len(order)
 
     def _update(self, k: int) -> None:
@@ -159,7 +180,7 @@ class Tagger:
                 np.add.at(now, where, by * self.unit)
                 np.add.at(late, where, by * self.steps)
         self.now[0] = self.late[0] = 0
-        self._changed()
+        self.summed[:] = False
 
     def one_pass(self, order: list[int]) -> int:
         """Update on each case that is predicted wrongly, from its own step on; the number of those."""
@@ -221,6 +242,14 @@ class _Shard:
         self.gold.append(gold)
         self.size.append(size)
 
+    def texts(self, blocks: pa.RecordBatch) -> None:
+        """Lists and cases of `_numbered`."""
+        said = blocks["features"].filter(blocks["features"].is_valid())
+        if len(said):
+            self.lists(pa.array([np.zeros(0, np.int64)]), said)
+        for name, held, kind in (("places", self.places, np.int32), ("gold", self.gold, np.int8), ("size", self.size, np.int64)):
+            held += [np.frombuffer(x, kind) for x in blocks[name].drop_null().to_pylist()]
+
     def tagger(self, system: System, given: dict | None = None, unit: int = 1) -> Tagger:
         one = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
         lists = one(self.flat, np.int32), one(self.list_size, np.int64)
@@ -229,10 +258,24 @@ class _Shard:
         return Tagger(list(self.number), lists, cases, system, given, unit)
 
 
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of equal ones."""
+    cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+    return ((int(shard[i]), i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
-    """The shards of rows of `_coded`, one after the other."""
+    """The shards of rows of `_coded` or `_numbered`, one after the other."""
     held, own = None, None
     for b in batches:
+        if "places" in b.schema.names:
+            for shard, i, j in _runs(b["shard"].to_numpy()):
+                if shard != own:
+                    if held is not None:
+                        yield held
+                    held, own = _Shard(), shard
+                held.texts(b.slice(i, j - i))
+            continue
         kinds = np.stack([b["shard"].to_numpy(), b["features"].is_null().to_numpy(zero_copy_only=False)])
         cuts = [0, *(np.flatnonzero((kinds[:, 1:] != kinds[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:]):
@@ -253,7 +296,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
 
 
 def _coded(cases: DataFrame, shards: int, system: System, spell: Callable[[Column], Column]) -> DataFrame:
-    """(shard, codes, states, features) by shard: first a row for each feature list, then the cases in the order of sid.
+    """(shard, codes, states, features) of cases (sid, features, tags) by shard: first a row for each feature list, then the cases in the order of sid.
 
     A list is told by its 64-bit hash (two of the same in a shard are an
     error), so that a place of a case is a number, and features are spelt
@@ -269,11 +312,53 @@ def _coded(cases: DataFrame, shards: int, system: System, spell: Callable[[Colum
     return dealt.sortWithinPartitions("shard", F.col("features").isNull(), "sid", "states").drop("sid")
 
 
+_BLOCK = pa.schema([("shard", pa.int32()), ("window", pa.struct([("text", pa.string()), ("pos", pa.int32()), ("roles", pa.list_(pa.string()))])), ("places", pa.binary()), ("gold", pa.binary()), ("size", pa.binary())])
+
+
+def _numbered(texts: DataFrame, shards: int, system: System, typed: bool, spell: Callable[[Column], Column]) -> DataFrame:
+    """(shard, features, places, gold, size) of texts (sid, text, spans, found): the features of windows by their number, and blocks of cases.
+
+    The windows of a shard are numbered as its texts come, in the order of
+    sid, and told once each; a block has numbers of windows and states as
+    bytes, so that no row or array element stands for a place.
+    """
+    shard = (F.lit(0) if shards == 1 else F.pmod(F.xxhash64("sid"), F.lit(shards))).cast("int").alias("shard")
+    put = texts.select(shard, "sid", "text", "spans", "found")
+    dealt = put.repartition(1) if shards == 1 else put.repartitionById(shards, "shard")
+    rows = dealt.sortWithinPartitions("shard", "sid", "text", "spans").drop("sid")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, own = None, None
+        for b in batches:
+            for k, i, j in _runs(b["shard"].to_numpy()):
+                if k != own:
+                    windows, own = ft.Windows(), k
+                x = b.slice(i, j - i)
+                if x["text"].null_count or x["spans"].null_count:
+                    raise ValueError("cases must have a text and spans")
+                places, size, fresh = windows.put(x["text"], x["found"])
+                gold = tg.numbers(size, x["spans"], system.states, typed)
+                if (gold < 0).any():
+                    raise ValueError("cases must have a known tag for each place")
+                held = [places.astype(np.int32), gold, size]
+                none = [None] * len(fresh)
+                yield pa.record_batch([[k] * (len(fresh) + 1), [*fresh, None], *[[*none, a.tobytes()] for a in held]], schema=_BLOCK)
+
+    coded = rows.mapInArrow(code, f"shard int, window {ft.Windows.KIND}, places binary, gold binary, size binary")
+    return coded.select("shard", F.when(F.col("window").isNotNull(), spell(F.col("window"))).alias("features"), "places", "gold", "size")
+
+
 def _rows(weights: dict, least: float) -> pd.DataFrame:
     found = sorted((f, s, round(w, 6)) for (f, s), w in weights.items() if abs(w) >= least)
     return pd.DataFrame(found, columns=["feature", "state", "weight"])
 
 
+def _held(cases: DataFrame, shards: int, system: System, types: tuple[str, ...] | None, spell: Callable[[Column], Column] | None) -> DataFrame:
+    if "features" in cases.columns:
+        return _coded(cases, shards, system, spell or (lambda f: f))
+    return _numbered(cases, shards, system, types is not None, spell or ft.spelt)
+
+
 _WEIGHTS = "feature string, state string, weight double"
 
 
@@ -282,11 +367,14 @@ def _batch(rows: pd.DataFrame) -> pa.RecordBatch:
     return pa.RecordBatch.from_pandas(rows, kind, preserve_index=False)
 
 
-def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None, spell: Callable[[Column], Column] = lambda f: f) -> DataFrame:
+def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None, spell: Callable[[Column], Column] | None = None) -> DataFrame:
     """Weights (feature, state, weight) of one sequential run in a seeded order; generic, or with states of `types`.
 
     Cases are (sid, features by position, tags by position); `spell` makes an
     array of features of what `features` has for a position, if it isn't one.
+    Or they are texts (sid, text, spans, found) with their spans and lexicon
+    matches (start, end): then a position has the features of its window, by
+    `features.spelt` if `spell` isn't given, and the tag of its span.
     One task sees all cases, as the updates depend on each other; it holds a
     number and a tag for each position, and each list of features once.
     """
@@ -301,10 +389,10 @@ def train_exact(cases: DataFrame, epochs: int = 5, seed: int = 23, least: float
                 model.one_pass(order)
             yield _batch(_rows(model.mean(), least))
 
-    return _coded(cases, 1, system, spell).mapInArrow(run, _WEIGHTS)
+    return _held(cases, 1, system, types, spell).mapInArrow(run, _WEIGHTS)
 
 
-def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None, spell: Callable[[Column], Column] = lambda f: f) -> DataFrame:
+def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int = 23, least: float = 0.05, types: tuple[str, ...] | None = None, spell: Callable[[Column], Column] | None = None) -> DataFrame:
     """Iterative parameter mixing: each shard runs a pass from the mixed weights, then the means are mixed.
 
     Cases and `spell` as in `train_exact`. The weights of one pass come back
@@ -313,7 +401,7 @@ def train_mixed(cases: DataFrame, shards: int = 8, epochs: int = 5, seed: int =
     A shard is what one task holds: take more shards for more cases.
     """
     spark, system, unit = cases.sparkSession, System(types), 1_000_000 * shards
-    put = _coded(cases, shards, system, spell).persist()
+    put = _held(cases, shards, system, types, spell).persist()
     mixed: dict[tuple[str, str], int] = {}
     try:
         for epoch in range(epochs):

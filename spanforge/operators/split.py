@@ -27,8 +27,13 @@ def by_group(rows: DataFrame, source: str = "source", group: str = "group_id") -
         sizes = t["n"].to_pylist()
         target = [max(1.0, sum(sizes) * r) for _, r in SPLITS]
         filled, to = [0] * len(SPLITS), []
+        others = range(1, len(SPLITS))
         for size in sizes:
-            best = min(range(len(SPLITS)), key=lambda i: (filled[i] + size) / target[i])  # the first of equals
+            best, least = 0, (filled[0] + size) / target[0]
+            for i in others:
+                share = (filled[i] + size) / target[i]
+                if share < least:  # the first of equals stays
+                    best, least = i, share
             filled[best] += size
             to.append(names[best])
         return t.drop_columns(["_h"]).append_column("split", pa.array(to, pa.string()))

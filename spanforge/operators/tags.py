@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge import schema
+from spanforge.operators import lexicon
 
 
 def spans_to_tags(text: Column, spans: Column, typed: bool = True) -> Column:
@@ -21,6 +24,19 @@ def spans_to_tags(text: Column, spans: Column, typed: bool = True) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), tag))
 
 
+def numbers(size: np.ndarray, spans: pa.ListArray, states: tuple[str, ...], typed: bool) -> np.ndarray:
+    """The tags of `spans_to_tags` of texts of a size, as numbers of states; -1 if there is none."""
+    of, i, start, end, rank = lexicon.places(spans, size)
+    role = np.where(end - start == 1, 3, np.where(i == start, 0, np.where(i == end - 1, 2, 1)))
+    kind = spans.flatten().field("type").dictionary_encode() if typed else None
+    at, names = {s: k for k, s in enumerate(states)}, kind.dictionary.to_pylist() if typed else [None]
+    state = np.array([[at.get(r if t is None else f"{r}_{t}", -1) for r in "BMES"] for t in names] + [[-1] * 4], np.int8)
+    own = kind.indices.fill_null(len(names)).to_numpy()[rank] if typed else 0
+    out = np.full(size.sum(), at["O"], np.int8)
+    out[((np.cumsum(size) - size)[of] + i)[::-1]] = state[own, role][::-1]  # the first span of a place counts
+    return out
+
+
 def exploded(cases: DataFrame, key: str = "sid", typed: bool = True) -> DataFrame:
     """(key, pos, char, tag) of cases (key, text, spans)."""
     return cases.select(key, "text", F.posexplode(spans_to_tags(F.col("text"), F.col("spans"), typed)).alias("pos", "tag")).select(

@@ -655,22 +655,20 @@ def provider_gated(spark, sf_dir):
 # --- training and extension points (no SQL) ------------------------------------------
 
 
-def generic_cases(spark: SparkSession, sf_dir: str, which: str = "train", typed: bool = False, every: DataFrame | None = None) -> DataFrame:
-    """Cases with the features of characters and those of a gazetteer, the surfaces of the train split, as `ft.windows`."""
+def generic_cases(spark: SparkSession, sf_dir: str, which: str = "train", every: DataFrame | None = None) -> DataFrame:
+    """Cases (sid, text, spans, found), whose features are those of characters and of a gazetteer, the surfaces of the train split."""
     every = split_rows(spark, sf_dir) if every is None else every
     rows = every.where(F.col("split") == which)
     known = every.where("split = 'train'").select("text", F.inline("spans")).select(tx.slice_of(F.col("text"), F.col("start"), F.col("end")).alias("word")).distinct()
     found = lx.match(rows, known, 64).groupBy("sid").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    met = rows.where(F.length("text") > 0).join(found, "sid", "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return met.select("sid", ft.windows(F.col("text"), F.coalesce("found", none)).alias("features"), tags.spans_to_tags(F.col("text"), F.col("spans"), typed).alias("tags"))
+    return rows.where(F.length("text") > 0).join(found, "sid", "left").select("sid", "text", "spans", "found")
 
 
-def _mixed(spark: SparkSession, sf_dir: str, typed: bool, types: tuple[str, ...] | None) -> DataFrame:
+def _mixed(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None) -> DataFrame:
     """The split rows are kept while it trains: they are read several times, and plans that make them each time fill the driver."""
-    every = split_rows(spark, sf_dir).persist()
+    every = split_rows(spark, sf_dir).select("sid", "text", "spans", "split").persist()
     try:
-        return perceptron.train_mixed(generic_cases(spark, sf_dir, typed=typed, every=every), shards=4, types=types, spell=ft.spelt)
+        return perceptron.train_mixed(generic_cases(spark, sf_dir, every=every), shards=4, types=types)
     finally:
         every.unpersist()
 
@@ -678,17 +676,17 @@ def _mixed(spark: SparkSession, sf_dir: str, typed: bool, types: tuple[str, ...]
 @query()
 def perceptron_train_typed(spark, sf_dir):
     """States of each type; the case sets of the HMM."""
-    return _mixed(spark, sf_dir, True, TYPES)
+    return _mixed(spark, sf_dir, TYPES)
 
 
 @query()
 def perceptron_train_exact(spark, sf_dir):
-    return perceptron.train_exact(generic_cases(spark, sf_dir), spell=ft.spelt)
+    return perceptron.train_exact(generic_cases(spark, sf_dir))
 
 
 @query()
 def perceptron_train_mixed(spark, sf_dir):
-    return _mixed(spark, sf_dir, False, None)
+    return _mixed(spark, sf_dir, None)
 
 
 @query(sql.base(sql.LEXICON, sql.MATCHES) + r""" SELECT sid, start, "end", (60.0 * ("end" - start) - 10.0)::FLOAT AS score FROM matches WHERE NOT (start > 0 AND regexp_full_match(substring(text, start, 2), '[0-9A-Za-z]{2}')) AND NOT ("end" < length(text) AND regexp_full_match(substring(text, "end", 2), '[0-9A-Za-z]{2}'))""")

@@ -437,3 +437,40 @@ def test_mixed_trains_on_many_cases_in_time(spark):
 
 def test_typed_trains_on_many_cases_in_time(spark):
     trained_in_time(spark, perceptron.train_mixed, types=("PER", "LOC", "ORG", "BRAND"), shards=2)
+
+
+ODD_TEXTS = [
+    ("a", "we met anna there", [(7, 11, "PER")], [(7, 11), (7, 9), (8, 11)]), ("b", "we met bob there", [(7, 10, "PER"), (7, 16, "ORG")], None), ("c", "<BOS1>anna", [(6, 10, "ORG")], [(6, 10)]), ("d", "x", [(0, 1, "PER")], []),
+    ("e", "𠀀𠀁𠀂𠀃𠀄𠀅 1", [(0, 6, "ORG")], [(0, 6), (1, 3)]), ("f", "北京大学 anna", [(0, 4, "ORG"), (5, 9, "PER")], [(0, 2), (0, 4), (5, 9)]), ("g", "nobody", [], None), ("a", "we met anna there", [(7, 11, "PER")], [(8, 11), (7, 11), (7, 9)]), ("h", "late", [(2, 9, "PER")], []),
+]
+
+
+@pytest.mark.parametrize("types", [None, ("PER", "ORG")])
+def test_texts_train_as_their_features(spark, types):
+    """Cases given as texts have the weights of cases whose windows and tags are made by expressions."""
+    span = "array<struct<start:int,end:int,type:string>>"
+    rows = spark.createDataFrame([(f"{k}{i}", *more) for i in range(6) for k, *more in ODD_TEXTS], f"sid string, text string, spans {span}, found array<struct<start:int,end:int>>").repartition(5)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spelt = rows.select("sid", features.windows(F.col("text"), F.coalesce("found", none)).alias("features"), tags.spans_to_tags(F.col("text"), F.col("spans"), types is not None).alias("tags"))
+    for form, more in ((perceptron.train_exact, {}), (perceptron.train_mixed, {"shards": 3})):
+        got, want = ({tuple(r[:2]): r.weight for r in form(d, epochs=3, seed=5, least=0.0, types=types, spell=features.spelt, **more).collect()} for d in (rows, spelt))
+        assert got == want and len(got) > 50
+    assert perceptron.train_mixed(rows, types=types, epochs=1).count() > 0
+    with pytest.raises(Exception, match="known tag"):
+        perceptron.train_mixed(rows, types=("PER",), epochs=1).count()
+
+
+@pytest.mark.parametrize("kept", [1 << 20, 0])
+def test_lists_are_summed_once_between_changes(monkeypatch, kept):
+    """A pass without errors sums a feature list once, however many places have it; without kept sums once a batch."""
+    import numpy as np
+
+    summed = []
+    monkeypatch.setattr(perceptron.Tagger, "MOST_KEPT", kept, raising=False)
+    monkeypatch.setattr(perceptron.Tagger, "_sums", lambda self, lists, f=perceptron.Tagger._sums: summed.extend(lists.tolist()) or f(self, lists))
+    size = np.full(500, 20)
+    places = np.tile(np.arange(10, dtype=np.int32), 1000)
+    flat = np.arange(20, dtype=np.int32) // 2 * (np.arange(20) % 2)  # list i has feature i, and 0
+    model = perceptron.Tagger([f"f{i}" for i in range(1, 11)], (flat, np.full(10, 2)), (places, np.zeros(len(places), np.int8), size), viterbi.System(("PER", "ORG")))
+    assert model.one_pass(list(range(500))) == 0 and model.steps == 500
+    assert len(summed) == (10 if kept else 10 * 6) and set(summed) == set(range(10))
